@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.bpe import bpe_round_trip
+from tideline.llm.decontaminate import find_contamination
 from tideline.llm.tiff import tiff_digests, to_tiff
 
 #: The rank file that op9 encodes with.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = find_contamination(documents, benchmark)
+    sha = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha, "contaminated")
+
+
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return tiff_digests(to_tiff(documents, payload="text"))
@@ -25,8 +34,24 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op8_tiff_media": op8_tiff_media,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_OP3_WORDS.format("text")}, []) AS w FROM documents),
+items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_OP3_WORDS.format("text")} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+lengths AS (SELECT DISTINCT k FROM windows),
+grams AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, lengths WHERE len(w) >= k)),
+found AS (SELECT g.r, g.k, g.i, x.item_id FROM grams g JOIN windows x ON g.s = x.s AND g.k = x.k),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)""",
+}
