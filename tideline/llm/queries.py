@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from tideline.llm.bpe import bpe_round_trip
 from tideline.llm.decontaminate import find_contamination
+from tideline.llm.ngram_join import ngram_components
 from tideline.llm.tiff import tiff_digests, to_tiff
 
 #: The rank file that op9 encodes with.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ngram_components(documents, n_words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = find_contamination(documents, benchmark)
@@ -34,6 +40,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
     "op8_tiff_media": op8_tiff_media,
     "op9_bpe_codec": op9_bpe_codec,
