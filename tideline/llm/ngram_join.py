@@ -9,9 +9,9 @@ Tokens are 64-bit hashes of a document's distinct n-grams. The steps:
    ``n - ceil(threshold * n) + need`` tokens, so prefixes are all that has to
    be shuffled. (Any order gives whole results; frequent tokens at its end only
    keep them out of most prefixes.)
-3. Classes that share prefix tokens are partitioned into groups: each takes
-   the least token that it can reach in two steps over shared tokens; groups
-   are split into blocks of bounded size.
+3. Classes that share enough prefix tokens are partitioned into groups: those
+   with the same least shared token and about the same length; groups are split
+   into blocks of bounded size.
 4. The matrix holds each block's union of prefix tokens, as rows (token,
    block, how many members have it). Joined with a class's prefix it bounds
    the class's overlap with every member of the block; only blocks where that
@@ -52,15 +52,25 @@ from tideline.llm.graph import components
 FREQUENT_SHARE, MOST_FREQUENT = 1 / (1 << 18), 1 << 17
 #: A block's tokens and classes, in expectation.
 BLOCK_TOKENS, BLOCK_CLASSES = 1 << 17, 512
-#: need = 1 + floor(n / SPARE): the share of a prefix that must be met.
-SPARE = 50
+#: need = 1 + floor(n / SPARE): how many tokens of the prefix must be met.
+SPARE = 20
+#: Bits of the filter of the keys whose sets are needed; 16 MB at any size of the tables.
+FILTER_BITS = 1 << 27
 #: Columns of a slice of the incidence matrix.
 COLUMNS = 4096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a worker remembers the hash of.
 _REMEMBERED = 1 << 20
-_known: dict[bytes, int] = {}
+
+
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_known = _Known()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,17 +83,26 @@ def tokens_of(several: list[str], n_words: int) -> list[np.ndarray]:
     """Sorted distinct 63-bit hashes of each text's n-grams of words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased."""
     if len(_known) > _REMEMBERED:
         _known.clear()
-    words = [x.encode().translate(_LOWER).split() for x in several]
-    for w in set().union(*words) - _known.keys() if words else ():
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    out = []
-    for w in words:
-        h = np.fromiter(map(_known.__getitem__, w), np.uint64, len(w))
-        k = min(n_words, len(h))
-        t = np.full(len(h) - k + 1 if k else 0, k, np.uint64)
-        for i in range(k):
-            t = _mix(t + h[i : len(h) - k + 1 + i])
-        out.append(np.unique(t >> np.uint64(1)).astype(np.int64))
+    hashes, sizes = [], []
+    for x in several:
+        w = x.encode().translate(_LOWER).split()
+        hashes.append(np.fromiter(map(_known.__getitem__, w), np.uint64, len(w)))
+        sizes.append(len(w))
+    h = np.concatenate([*hashes, np.zeros(n_words, np.uint64)])
+    t = np.full(len(h) - n_words + 1, n_words, np.uint64)
+    for i in range(n_words):
+        t = _mix(t + h[i : len(h) - n_words + 1 + i])
+    t = (t >> np.uint64(1)).view(np.int64)
+    out, at = [], 0
+    for n in sizes:
+        if n >= n_words:
+            out.append(np.unique(t[at : at + n - n_words + 1]))
+        else:  # the whole sequence is one token
+            one = np.full(min(n, 1), n, np.uint64)
+            for i in range(n):
+                one = _mix(one + h[at + i : at + i + 1])
+            out.append((one >> np.uint64(1)).view(np.int64))
+        at += n
     return out
 
 
@@ -118,13 +137,15 @@ def frequent_tokens(docs: DataFrame, text: str, n_words: int) -> DataFrame:
 def profiles(docs: DataFrame, key: str, text: str, n_words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Per row: key, n_shingles, set (hash of the token set, null if empty) and prefix (no tokens for a set that the task has met before).
 
-    Tokens of a prefix have bit 62 set if they are frequent.
+    ``frequent``: tokens in order, and their ranks by count. In a prefix they are their rank with bit 62 set.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, count = shared.value
+        token, rank = shared.value
+        maybe = np.zeros(1 << 20, bool)
+        maybe[token & (1 << 20) - 1] = True
         met: set[int] = set()
         for b in slices(batches, "__text"):
             n, of, prefixes = [], [], []
@@ -136,11 +157,12 @@ def profiles(docs: DataFrame, key: str, text: str, n_words: int, percent: int, f
                     continue
                 met.add(of[-1])
                 length = len(t) + percent * -len(t) // 100 + need_of(len(t))
-                at = np.minimum(np.searchsorted(token, t), max(0, len(token) - 1))
-                often = np.where(token[at] == t, count[at], 0) if len(token) else np.zeros(len(t), np.int64)
-                mixed = (t >> 1) & ((1 << 62) - 1)
-                order = np.lexsort((mixed, often))[:length]
-                prefixes.append(np.where(often[order] > 0, mixed[order] >> 1 | 1 << 62, mixed[order] >> 1))
+                order = t & (1 << 62) - 1
+                if len(at := np.flatnonzero(maybe[t & (1 << 20) - 1])):
+                    place = np.minimum(np.searchsorted(token, t[at]), len(token) - 1)
+                    hit = token[place] == t[at]
+                    order[at[hit]] = rank[place[hit]] | 1 << 62
+                prefixes.append(np.partition(order, length)[:length] if length < len(t) else order)
             if len(met) > _REMEMBERED:
                 met.clear()
             ends = np.cumsum([0 if p is None else len(p) for p in prefixes])
@@ -210,8 +232,10 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
 
     Two documents link when 100 * intersection >= percent * union of their sets of n-grams.
     """
-    found = frequent_tokens(docs, text, n_words).toPandas().sort_values("token")
-    frequent = (found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    found = frequent_tokens(docs, text, n_words).toPandas().sort_values(["n", "token"])
+    found["rank"] = range(len(found))
+    found = found.sort_values("token")
+    frequent = (found["token"].to_numpy(np.int64), found["rank"].to_numpy(np.int64))
     profile = scratch.table(profiles(docs, key, text, n_words, percent, frequent), "profiles")
     classes = scratch.table(profile.where("set is not null").groupBy("set").agg(F.min("key").alias("least"), F.max("n_shingles").alias("n")), "classes")
     links = class_links(docs, profile, classes, key, text, n_words, percent)
@@ -226,41 +250,40 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
 
 def class_links(docs: DataFrame, profile: DataFrame, classes: DataFrame, key: str, text: str, n_words: int, percent: int) -> DataFrame:
     """(a, b): links between classes that span every component."""
-    exploded = profile.select("set", F.explode("prefix").alias("token"))
+    exploded = profile.select("set", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
     shared = exploded.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("token")
     shared = scratch.table(shared, "shared")
-    rows = scratch.table(exploded.join(shared, "token").distinct(), "prefixes")
-    # groups: the least token within two steps
-    first = rows.groupBy("set").agg(F.min("token").alias("g"))
-    second = scratch.table(rows.join(first, "set").groupBy("token").agg(F.min("g").alias("g")), "steps")
-    groups = rows.join(second, "token").groupBy("set").agg(F.min("g").alias("g"))
-    groups = scratch.table(groups.join(classes.select("set", "n"), "set"), "groups")
+    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
+    rows = exploded.join(shared, "token").groupBy("set").agg(F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
+    # groups: the least shared token, and the length within a factor
+    rows = rows.where(F.size("tokens") >= need).select("set", "n", "tokens", F.xxhash64(F.array_min("tokens"), F.floor(F.log(F.col("n")) / np.log(1.25))).alias("g"))
+    rows = scratch.table(rows, "rows")
     parts = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_CLASSES))
-    large = scratch.table(groups.groupBy("g").agg(parts.alias("parts")).where("parts > 1"), "large")
+    large = scratch.table(rows.groupBy("g").agg(parts.alias("parts")).where("parts > 1"), "large")
     part = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
-    blocks = scratch.table(groups.join(large, "g", "left").select("set", "n", F.xxhash64("g", part).alias("block")), "blocks")
-    placed = scratch.table(rows.join(blocks, "set"), "placed")
+    placed = scratch.table(rows.join(large, "g", "left").select("set", "n", F.xxhash64("g", part).alias("block"), "tokens"), "placed")
+    blocks = placed.select("set", "block")
+    cells = placed.select("set", "n", "block", F.explode("tokens").alias("token"))
     # the matrix, and the bound of each class's overlap with each block
-    matrix = scratch.table(placed.groupBy("token", "block").agg(F.count("*").alias("members")), "matrix")
-    own = placed.select("token", "set", "n", F.col("block").alias("home")).join(matrix, "token")
-    own = own.where((F.col("home") > F.col("block")) | (F.col("block") == F.col("home")) & (F.col("members") > 1))
-    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
-    bound = own.groupBy("set", "home", "block").agg(F.count("*").alias("overlap"), F.max("n").alias("n"))
-    qualified = scratch.table(bound.where(F.col("overlap") >= need).select("set", "home", "block"), "qualified")
+    matrix = cells.groupBy("token", "block").agg(F.count("*").alias("members"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    matrix = scratch.table(matrix.withColumnRenamed("block", "other"), "matrix")
+    fits = (F.col("n") * 100 >= F.col("least_n") * percent) & (F.col("most_n") * 100 >= F.col("n") * percent)
+    own = cells.join(matrix, "token").where(fits & ((F.col("block") > F.col("other")) | (F.col("block") == F.col("other")) & (F.col("members") > 1)))
+    bound = own.groupBy("set", "block", "other").agg(F.count("*").alias("overlap"), F.max("n").alias("n"))
+    qualified = scratch.table(bound.where(F.col("overlap") >= need).select("set", F.col("block").alias("home"), F.col("other").alias("block")), "qualified")
     # whole sets of the classes that open a block or lie in an opened one
-    opened = qualified.where("home <> block").select("home", "block").distinct()
-    inside = qualified.where("home = block")
-    wanted = inside.select("set").union(qualified.where("home <> block").select("set")).union(blocks.join(opened.select("block").distinct(), "block", "left_semi").select("set")).distinct()
-    wanted = wanted.join(classes, "set").select("set", F.col("least").alias("__key"))
-    sets = scratch.table(whole_sets(docs, wanted, key, text, n_words), "sets")
-    jobs = scratch.table(
-        inside.select("home", "block", "set", F.lit(True).alias("member"))
-        .union(qualified.where("home <> block").select("home", "block", "set", F.lit(False)))
-        .union(opened.join(blocks.select("block", "set"), "block").select("home", "block", "set", F.lit(True))),
-        "jobs",
+    outside = qualified.where("home <> block")
+    jobs = (
+        qualified.where("home = block").select("home", "block", "set", F.lit(True).alias("member"))
+        .union(outside.select("home", "block", "set", F.lit(False)))
+        .union(outside.select("home", "block").distinct().join(blocks, "block").select("home", "block", "set", F.lit(True)))
     )
+    jobs = scratch.table(jobs, "jobs")
+    wanted = jobs.select("set").distinct().join(classes, "set").select(F.col("least").alias("key"))
+    sets = whole_sets(docs, wanted, key, text, n_words)
 
     def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(np.unique(rows.column("set").to_numpy() * 2 + rows.column("member").to_numpy(), return_index=True)[1])
         member = rows.column("member").to_numpy()
         ids = rows.column("set").to_numpy()
         tokens = [np.frombuffer(x, np.int64) for x in rows.column("tokens").to_pylist()]
@@ -274,16 +297,33 @@ def class_links(docs: DataFrame, profile: DataFrame, classes: DataFrame, key: st
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n_words: int) -> DataFrame:
-    """(set, tokens): the tokens, 8 bytes each, of the classes in ``wanted`` (set, __key: a document of the class)."""
-    source = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).join(wanted, "__key").select("set", "__text")
+    """(set, tokens): the tokens, 8 bytes each, at least of the documents whose keys are in ``wanted``.
+
+    Keys are looked up in a bit filter of fixed size, so texts are not shuffled;
+    a key that it lets through by mistake gives a row that no join will find.
+    """
+    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    bits = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+    filled = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096  # buckets count from 1, and so do their bits
+        filled[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    source = docs.select(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).alias("bit"), F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, met = shared.value, set()
         for b in slices(batches, "__text"):
+            at = b.column("bit").to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
             ids, tokens = [], []
-            for i, t in zip(b.column("set").to_pylist(), tokens_of(texts(b, "__text"), n_words), strict=True):
-                if _fingerprint(t) == i:  # rows with one key may have other texts
+            for t in tokens_of(texts(b, "__text"), n_words):
+                if len(t) and (i := _fingerprint(t)) not in met:
+                    met.add(i)
                     ids.append(i)
                     tokens.append(t.tobytes())
+            if len(met) > _REMEMBERED:
+                met.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], ["set", "tokens"])
 
-    return source.mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"])
+    return source.mapInArrow(run, "set long, tokens binary")
