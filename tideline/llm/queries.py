@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import bpe_round_trip
+from tideline.llm.chat_format import preference_pairs
 from tideline.llm.decontaminate import find_contamination
+from tideline.llm.line_dedup import line_dedup
 from tideline.llm.ngram_join import ngram_components
 from tideline.llm.tiff import tiff_digests, to_tiff
+from tideline.llm.url_filter import judge, labelled_by_rules, train
 
 #: The rank file that op9 encodes with.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge(pages, train(labelled_by_rules(pages)))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return ngram_components(documents, n_words=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -29,6 +37,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha, "contaminated")
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 i and 2 i + 1 are a pair; the even one is the chosen one."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return preference_pairs(conversations, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+
+
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return tiff_digests(to_tiff(documents, payload="text"))
@@ -39,11 +53,20 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents, RANKS, public_tokenizers.PATTERN)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return line_dedup(documents).select("row.doc_id", "n_lines", "n_dropped", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
+    "op7_preference_format": op7_preference_format,
     "op8_tiff_media": op8_tiff_media,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _OP3_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -61,4 +84,26 @@ named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)""",
+    "op7_preference_format": """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT pair_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (good) AS a, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (NOT good) AS b FROM t GROUP BY pair_id),
+u AS (SELECT pair_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM s),
+k AS (SELECT *, coalesce(list_min([i - 1 FOR i IN range(1, least(len(a), len(b)) + 1) IF a[i] <> b[i]]), least(len(a), len(b))) AS k FROM u),
+r AS (SELECT *, a[k + 1:] AS ra, b[k + 1:] AS rb FROM k)
+SELECT pair_id, array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN a[1:k]], '') AS prompt, CAST(k AS BIGINT) AS prompt_turns,
+  CASE WHEN len(a) > 0 THEN array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN ra], '') END AS chosen,
+  CASE WHEN len(b) > 0 THEN array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN rb], '') END AS rejected,
+  CASE WHEN len(a) > 0 THEN array_to_string([(length(x.role) + 5) || ':0,' || (length(x.text) + 8) || ':' || CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END FOR x IN ra], ',') END AS chosen_mask,
+  CASE WHEN len(b) > 0 THEN array_to_string([(length(x.role) + 5) || ':0,' || (length(x.text) + 8) || ':' || CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END FOR x IN rb], ',') END AS rejected_mask,
+  CAST(len(a) AS BIGINT) AS chosen_turns, CAST(len(b) AS BIGINT) AS rejected_turns
+FROM r""",
+    "op10_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT DISTINCT source, text, trim(line) AS line FROM (SELECT source, text, unnest(ls) AS line FROM d WHERE source IS NOT NULL) WHERE trim(line) <> ''),
+n AS (SELECT source, count(DISTINCT text) AS n FROM d WHERE source IS NOT NULL GROUP BY source),
+b AS (SELECT source, list(line) AS bad FROM (SELECT l.source, l.line, count(*) AS c, any_value(n.n) AS n FROM l JOIN n ON l.source = n.source GROUP BY l.source, l.line) WHERE c >= 3 AND c > n * 0.1 GROUP BY source),
+k AS (SELECT d.*, bad, [x FOR x IN ls IF trim(x) = '' OR NOT list_contains(bad, trim(x))] AS kept_lines FROM d LEFT JOIN b ON d.source = b.source)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN bad IS NULL OR text IS NULL THEN 0 ELSE len(ls) - len(kept_lines) END AS BIGINT) AS n_dropped,
+  CASE WHEN bad IS NULL THEN text ELSE array_to_string(kept_lines, chr(10)) END AS kept
+FROM k""",
 }
