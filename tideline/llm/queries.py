@@ -13,6 +13,8 @@ from tideline.llm.chat_format import preference_pairs
 from tideline.llm.decontaminate import find_contamination
 from tideline.llm.line_dedup import line_dedup
 from tideline.llm.ngram_join import ngram_components
+from tideline.llm.quality import classify, fit
+from tideline.llm.sharding import shard
 from tideline.llm.tiff import tiff_digests, to_tiff
 from tideline.llm.url_filter import judge, labelled_by_rules, train
 
@@ -37,6 +39,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha, "contaminated")
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    few = documents.select("doc_id", "text")
+    return classify(few, fit(few, labels)).select("row.doc_id", "log_weight", "value", "keep")
+
+
+def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    placed = shard(documents, shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2 i and 2 i + 1 are a pair; the even one is the chosen one."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -63,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
+    "op5_quality_resampling": op5_quality_resampling,
+    "op6_shard_packing": op6_shard_packing,
     "op7_preference_format": op7_preference_format,
     "op8_tiff_media": op8_tiff_media,
     "op9_bpe_codec": op9_bpe_codec,
