@@ -10,8 +10,8 @@ Tokens are 64-bit hashes of a document's distinct n-grams. The steps:
    be shuffled. (Any order gives whole results; frequent tokens at its end only
    keep them out of most prefixes.)
 3. Classes that share enough prefix tokens are partitioned into groups: those
-   with the same least shared token and about the same length; groups are split
-   into blocks of bounded size.
+   that reach the same least token in two steps over shared tokens and have
+   about the same length; groups are split into blocks of bounded size.
 4. The matrix holds each block's union of prefix tokens, as rows (token,
    block, how many members have it). Joined with a class's prefix it bounds
    the class's overlap with every member of the block; only blocks where that
@@ -61,7 +61,7 @@ COLUMNS = 4096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a worker remembers the hash of.
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 18
 
 
 class _Known(dict):
@@ -255,9 +255,12 @@ def class_links(docs: DataFrame, profile: DataFrame, classes: DataFrame, key: st
     shared = scratch.table(shared, "shared")
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
     rows = exploded.join(shared, "token").groupBy("set").agg(F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
-    # groups: the least shared token, and the length within a factor
-    rows = rows.where(F.size("tokens") >= need).select("set", "n", "tokens", F.xxhash64(F.array_min("tokens"), F.floor(F.log(F.col("n")) / np.log(1.25))).alias("g"))
-    rows = scratch.table(rows, "rows")
+    rows = scratch.table(rows.where(F.size("tokens") >= need).select("set", "n", "tokens", F.array_min("tokens").alias("g")), "rows")
+    # groups: the least token within two steps over shared tokens, and the length within a factor
+    steps = scratch.table(rows.select(F.explode("tokens").alias("token"), "g").groupBy("token").agg(F.min("g").alias("g")), "steps")
+    near = rows.select("set", F.explode("tokens").alias("token")).join(steps, "token").groupBy("set").agg(F.min("g").alias("g"))
+    rows = rows.drop("g").join(near, "set").withColumn("g", F.xxhash64("g", F.floor(F.log(F.col("n")) / np.log(1.25))))
+    rows = scratch.table(rows, "grouped")
     parts = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_CLASSES))
     large = scratch.table(rows.groupBy("g").agg(parts.alias("parts")).where("parts > 1"), "large")
     part = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
