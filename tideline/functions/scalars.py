@@ -45,8 +45,8 @@ def total_of(columns: list[str]) -> Column:
 def proportions(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column over the row's total; a total of 0 counts as 1."""
     total = total_of(columns)
-    whole = F.when(total == 0, 1).otherwise(total)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) / whole for c in columns})
+    df = df.withColumn("__total", F.when(total == 0, 1).otherwise(total))  # a column of its own, so that it isn't added up for each hour
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) / F.col("__total") for c in columns}).drop("__total")
 
 
 def is_whole(c: Column) -> Column:

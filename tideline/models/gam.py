@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,21 +134,19 @@ class Gam:
 
     def transform(self, df: DataFrame, out: str = "prediction", effects: bool = False) -> DataFrame:
         """Add the prediction, and with ``effects`` each term's part as effect_<column>. Null inputs give null."""
-        import pandas as pd
-
         model, columns = self, [t.column for t in self.terms]
         kind = "struct<p:double," + ",".join(f"e{i}:double" for i in range(len(columns))) + ">"
 
         @F.pandas_udf(kind)
-        def run(*cells: pd.Series) -> pd.DataFrame:
-            x = np.column_stack([c.to_numpy(float) for c in cells])
+        def run(cells: pd.DataFrame) -> pd.DataFrame:
+            x = cells.to_numpy(float, na_value=np.nan)
             bad = np.isnan(x).any(1)
             x[bad] = 0
             got = pd.DataFrame({"p": model.predict(x)} | {f"e{i}": model.effect(x, i) for i in range(len(columns))})
             got[bad] = np.nan
             return got
 
-        result = df.withColumn("__gam", run(*(F.col(c).cast("double") for c in columns)))
+        result = df.withColumn("__gam", run(F.struct(*(F.col(c).cast("double").alias(c) for c in columns))))
         clean = lambda c: F.when(~F.isnan(c), c)
         result = result.withColumn(out, clean(F.col("__gam.p")))
         if effects:

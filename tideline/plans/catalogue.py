@@ -115,7 +115,7 @@ def month_mismatch_by_month(spark, sf_dir):
     return mismatches_by_month(_trips(spark, sf_dir), F.col("l_shipdate"), F.year(at), F.month(at), F.col("l_returnflag"))
 
 
-@query(f"WITH {_T}, u AS (SELECT o_orderdate, CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_shipdate END AS at FROM t) SELECT count(*) AS input_rows, count(*) FILTER (at IS NULL) AS parse_fail, count(*) FILTER (at IS NOT NULL AND NOT same) AS mismatch, count(*) FILTER (at IS NOT NULL AND same) AS after_filters FROM (SELECT at, year(at) = year(o_orderdate) AND month(at) = month(o_orderdate) AS same FROM u)")
+@query(f"WITH {_T}, u AS (SELECT o_orderdate, CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_shipdate END AS shipped FROM t) SELECT count(*) AS input_rows, count(*) FILTER (shipped IS NULL) AS parse_fail, count(*) FILTER (shipped IS NOT NULL AND NOT same) AS mismatch, count(*) FILTER (shipped IS NOT NULL AND same) AS after_filters FROM (SELECT shipped, year(shipped) = year(o_orderdate) AND month(shipped) = month(o_orderdate) AS same FROM u)")
 def discard_accounting(spark, sf_dir):
     """Every seventh line's date is made unreadable text, to be coerced to null."""
     text = F.when(F.col("l_linenumber") % 7 == 0, F.lit("not_a_date")).otherwise(F.col("l_shipdate").cast("string"))
@@ -495,7 +495,8 @@ def gbt_accuracy(spark, sf_dir):
 @query()
 def gbt_profiles(spark, sf_dir):
     """Type of a key from its hours' principal scores and calendar features."""
-    wide = _enriched(low_count_cleanup(proportions(_wide(spark, sf_dir), HOURS), 0)).where("event_type in ('click', 'view')")
+    # cached: the plan's cells are otherwise copied into every score
+    wide = _enriched(proportions(_wide(spark, sf_dir).where("event_type in ('click', 'view')"), HOURS)).cache()
     model = fit_pca(wide, 5)
     rows = wide.withColumns({f"pc{k + 1}": model.score(k) for k in range(5)}).withColumn("label", (F.col("event_type") == "view").cast("int"))
     features = [f"pc{k + 1}" for k in range(5)] + ["month", "dow", "loc_id", "region"]
