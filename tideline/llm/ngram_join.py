@@ -17,9 +17,10 @@ Tokens are 64-bit hashes of a document's distinct n-grams. The steps:
    the class's overlap with every member of the block; only blocks where that
    bound reaches ``need`` qualify.
 5. A qualifying block is opened together with the classes that it qualifies
-   for. Their overlap with the union of all the block's tokens bounds again;
-   what is left is compared with the members by one product of incidence
-   matrices, in slices of columns. This comparison of whole sets decides.
+   for: first their prefixes, by a product of incidence matrices in slices of
+   columns, which leaves the classes and members that share ``need`` tokens with
+   one partner; then the whole sets of those. Overlap with the union of all the
+   block's tokens bounds again, and the product of whole sets decides.
    Of the links found, a spanning forest leaves the task.
 6. Connected components of the links give each document's class id.
 
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm import scratch
+from tideline.llm import bitfilter, scratch
 from tideline.llm.batches import slices, texts
 from tideline.llm.graph import components
 
@@ -54,8 +55,6 @@ FREQUENT_SHARE, MOST_FREQUENT = 1 / (1 << 18), 1 << 17
 BLOCK_TOKENS, BLOCK_CLASSES = 1 << 17, 512
 #: need = 1 + floor(n / SPARE): how many tokens of the prefix must be met.
 SPARE = 20
-#: Bits of the filter of the keys whose sets are needed; 16 MB at any size of the tables.
-FILTER_BITS = 1 << 27
 #: Columns of a slice of the incidence matrix.
 COLUMNS = 4096
 
@@ -174,6 +173,36 @@ def profiles(docs: DataFrame, key: str, text: str, n_words: int, percent: int, f
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def overlaps(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
+    """How many values each query shares with each member, by products of slices of their incidence matrices."""
+    union = np.unique(np.concatenate(members))
+    row_q, row_m = np.repeat(np.arange(len(queries)), [len(x) for x in queries]), np.repeat(np.arange(len(members)), [len(x) for x in members])
+    col_q, col_m = np.concatenate(queries), np.concatenate(members)
+    kept = np.isin(col_q, union)
+    row_q, col_q, col_m = row_q[kept], np.searchsorted(union, col_q[kept]), np.searchsorted(union, col_m)
+    by_q, by_m = np.argsort(col_q, kind="stable"), np.argsort(col_m, kind="stable")
+    row_q, col_q, row_m, col_m = row_q[by_q], col_q[by_q], row_m[by_m], col_m[by_m]
+    out = np.zeros((len(queries), len(members)), np.float32)  # whole numbers below 2^24 are exact
+    for at in range(0, len(union), COLUMNS):
+        a, b = np.searchsorted(col_q, [at, at + COLUMNS]), np.searchsorted(col_m, [at, at + COLUMNS])
+        if a[0] == a[1]:
+            continue
+        x, y = np.zeros((len(queries), COLUMNS), np.float32), np.zeros((len(members), COLUMNS), np.float32)
+        x[row_q[a[0] : a[1]], col_q[a[0] : a[1]] - at] = 1
+        y[row_m[b[0] : b[1]], col_m[b[0] : b[1]] - at] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def prefix_partners(queries: list[np.ndarray], n_q: np.ndarray, members: list[np.ndarray], n_m: np.ndarray, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries and which members have a partner whose length fits and whose prefix shares what two linked sets must share."""
+    least, most = np.minimum(n_q[:, None], n_m[None, :]), np.maximum(n_q[:, None], n_m[None, :])
+    fits = (overlaps(queries, members) >= need_of(least)) & (100 * least >= percent * most)
+    if same:
+        np.fill_diagonal(fits, False)
+    return fits.any(1), fits.any(0)
+
+
 def link_blocks(members: list[np.ndarray], queries: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Links of a block's members with each other (queries None), or with queries; as pairs (query, member) that span all links.
 
@@ -182,31 +211,14 @@ def link_blocks(members: list[np.ndarray], queries: list[np.ndarray] | None, per
     same = queries is None
     q = members if same else queries
     n_q, n_m = np.array([len(x) for x in q]), np.array([len(x) for x in members])
-    union = np.unique(np.concatenate(members))
+    opened = np.arange(len(q))
     if not same:
+        union = np.unique(np.concatenate(members))
         bound = np.array([np.isin(x, union, assume_unique=True).sum() for x in q])
         opened = np.flatnonzero(100 * bound >= percent * n_q)
-    else:
-        opened = np.arange(len(q))
     if not len(opened):
         return []
-    row_q, row_m = np.repeat(np.arange(len(opened)), n_q[opened]), np.repeat(np.arange(len(members)), n_m)
-    col_q, col_m = np.concatenate([q[i] for i in opened]), np.concatenate(members)
-    kept = np.isin(col_q, union)
-    row_q, col_q = row_q[kept], np.searchsorted(union, col_q[kept])
-    col_m = np.searchsorted(union, col_m)
-    by_q, by_m = np.argsort(col_q, kind="stable"), np.argsort(col_m, kind="stable")
-    row_q, col_q, row_m, col_m = row_q[by_q], col_q[by_q], row_m[by_m], col_m[by_m]
-    overlap = np.zeros((len(opened), len(members)), np.float32)  # whole numbers below 2^24 are exact
-    for at in range(0, len(union), COLUMNS):
-        a, b = np.searchsorted(col_q, [at, at + COLUMNS]), np.searchsorted(col_m, [at, at + COLUMNS])
-        if a[0] == a[1]:
-            continue
-        x, y = np.zeros((len(opened), COLUMNS), np.float32), np.zeros((len(members), COLUMNS), np.float32)
-        x[row_q[a[0] : a[1]], col_q[a[0] : a[1]] - at] = 1
-        y[row_m[b[0] : b[1]], col_m[b[0] : b[1]] - at] = 1
-        overlap += x @ y.T
-    common = overlap.astype(np.int64)
+    common = overlaps([q[i] for i in opened], members)
     linked = 100 * common >= percent * (n_q[opened][:, None] + n_m[None, :] - common)
     if same:
         linked = np.triu(linked, 1)
@@ -281,6 +293,20 @@ def class_links(docs: DataFrame, profile: DataFrame, classes: DataFrame, key: st
         .union(outside.select("home", "block", "set", F.lit(False)))
         .union(outside.select("home", "block").distinct().join(blocks, "block").select("home", "block", "set", F.lit(True)))
     )
+    jobs = jobs.join(placed.select("set", "n", "tokens"), "set")
+
+    def narrow(rows: pa.Table) -> pa.Table:
+        member, n = rows.column("member").to_numpy(), rows.column("n").to_numpy()
+        tokens = [np.array(x, np.int64) for x in rows.column("tokens").to_pylist()]
+        inner = rows.column("home")[0] == rows.column("block")[0]
+        m, q = np.flatnonzero(member), np.flatnonzero(member if inner else ~member)
+        if not len(m) or not len(q):
+            return rows.slice(0, 0).select(["home", "block", "set", "member"])
+        of_q, of_m = prefix_partners([tokens[i] for i in q], n[q], [tokens[i] for i in m], n[m], percent, inner)
+        kept = m[of_m] if inner else np.concatenate([q[of_q], m[of_m]])
+        return rows.take(np.sort(kept)).select(["home", "block", "set", "member"])
+
+    jobs = jobs.groupBy("home", "block").applyInArrow(narrow, "home long, block long, set long, member boolean")
     jobs = scratch.table(jobs, "jobs")
     wanted = jobs.select("set").distinct().join(classes, "set").select(F.col("least").alias("key"))
     sets = whole_sets(docs, wanted, key, text, n_words)
@@ -305,20 +331,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n_words:
     Keys are looked up in a bit filter of fixed size, so texts are not shuffled;
     a key that it lets through by mistake gives a row that no join will find.
     """
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    bits = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.toLocalIterator():
-        at = (r["bucket"] - 1) * 4096  # buckets count from 1, and so do their bits
-        filled[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
-    source = docs.select(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).alias("bit"), F.col(text).cast("string").alias("__text"))
+    shared = bitfilter.build(wanted.select(bitfilter.bit_of(F.col("key")).alias("bit")))
+    source = docs.select(bitfilter.bit_of(F.col(key)).alias("bit"), F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, met = shared.value, set()
         for b in slices(batches, "__text"):
-            at = b.column("bit").to_numpy()
-            b = b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            b = b.filter(pa.array(bitfilter.holds(bits, b.column("bit").to_numpy())))
             ids, tokens = [], []
             for t in tokens_of(texts(b, "__text"), n_words):
                 if len(t) and (i := _fingerprint(t)) not in met:

@@ -15,6 +15,7 @@ from tideline.llm.line_dedup import line_dedup
 from tideline.llm.ngram_join import ngram_components
 from tideline.llm.quality import classify, fit
 from tideline.llm.sharding import shard
+from tideline.llm.substring import passages
 from tideline.llm.tiff import tiff_digests, to_tiff
 from tideline.llm.url_filter import judge, labelled_by_rules, train
 
@@ -39,6 +40,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha, "contaminated")
 
 
+def op4_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return passages(documents).withColumnRenamed("other", "other_id")
+
+
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     few = documents.select("doc_id", "text")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
+    "op4_substring_chains": op4_substring_chains,
     "op5_quality_resampling": op5_quality_resampling,
     "op6_shard_packing": op6_shard_packing,
     "op7_preference_format": op7_preference_format,
