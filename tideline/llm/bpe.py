@@ -195,18 +195,21 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
-    """The columns ``keep`` and ``out``: array of the text's ids."""
+def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", check: str | None = None) -> DataFrame:
+    """The columns ``keep`` and ``out``: array of the text's ids. ``check``: a further column, whether decoding them gives the text back."""
     names = [f.name for f in df.select(*keep).schema.fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields] + [f"`{out}` array<int>"])
+    more = [f"`{out}` array<int>"] + ([f"`{check}` boolean"] if check else [])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields] + more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in slices(batches, "__text"):
-            ids = c.encode(texts(b, "__text"))
+            several = texts(b, "__text")
+            ids = c.encode(several)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), lists], [*names, out])
+            more = [lists] + ([pa.array([c.decode(x.tolist()) == t.encode() for x, t in zip(ids, several, strict=True)], pa.bool_())] if check else [])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *more], [*names, out, *([check] if check else [])])
 
     return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 

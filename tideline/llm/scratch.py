@@ -16,7 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_written: list[str] = []
+#: Paths of the tables written, in order.
+written: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -35,13 +36,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/tideline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables written so far. Only for callers that have stored what they derived from them."""
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables and empty the list. Only for callers that have stored what they derived from them."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables written so far."""
+    delete(spark, written)
