@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.batches import slices, texts
+from tideline.llm.batches import at_end, slices, texts
 
 #: Bytes from which a piece is merged by the heap.
 LONG = 512
 #: Distinct pieces that a worker remembers; a full memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Cells of one matrix.
 CELLS = 1 << 21
 NO_PAIR = np.iinfo(np.int32).max
@@ -83,7 +83,6 @@ class Codec:
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {(self.ranks[b[:k]] << 32 | self.ranks[b[k:]]): i for b, i in self.ranks.items() for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks}
         self.pairs = PairTable(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
-        self.joined = pairs
         self._forget()
 
     def _forget(self) -> None:
@@ -130,12 +129,15 @@ class Codec:
                 ok = (side >= 0) & (side < rank.shape[1])
                 rank[every[ok], side[ok]] = self.pairs.get(cells[every[ok], side[ok]], cells[every[ok], side[ok] + 1])
 
+    def _joined(self, left: int, right: int) -> int | None:
+        return self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+
     def heap(self, piece: bytes) -> np.ndarray:
         """Ids of a long piece: the same merges, in time n log n."""
         ids: list[int] = [int(x) for x in self.single[np.frombuffer(piece, np.uint8)]]
         n = len(ids)
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        waiting = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.joined.get(ids[i] << 32 | ids[i + 1])) is not None]
+        waiting = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self._joined(ids[i], ids[i + 1])) is not None]
         heapq.heapify(waiting)
         while waiting:
             r, i, a, b = heapq.heappop(waiting)
@@ -146,7 +148,7 @@ class Codec:
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (s := self.joined.get(ids[x] << 32 | ids[y])) is not None:
+                if x >= 0 and y < n and (s := self._joined(ids[x], ids[y])) is not None:
                     heapq.heappush(waiting, (s, x, ids[x], ids[y]))
         return np.array([x for x, ok in zip(ids, live, strict=True) if ok], np.int32)
 
@@ -190,9 +192,11 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    c = Codec(path, pattern)
+    at_end(c._forget)
+    return c
 
 
 def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", check: str | None = None) -> DataFrame:

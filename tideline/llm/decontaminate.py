@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.batches import slices, texts
+from tideline.llm.batches import slices, texts, with_row
 
 #: Words of a window.
 WINDOW = 10
 #: Most bytes of items in a broadcast.
 BLOCK_BYTES = 8 << 20
 #: Bytes of texts in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -188,8 +188,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     ``items``: ids as strings, in order; ``matches``: the longest verbatim matches of a window or more, with the first word's place in both texts.
     """
     broadcasts = _blocks(items, item_id, item_text, window, block_bytes)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    source = docs.select(row.alias("row"), F.col(text).cast("string").alias("__text"))
+    source, at = with_row(docs, text)
     schema = T.StructType([source.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType()), T.StructField("matches", _MATCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +203,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
                 for b in broadcasts:
                     yield Items(b.value, window)
 
-        for b in slices(batches, "__text", SHARD_BYTES):
-            found = scan_slice(texts(b, "__text"), blocks())
+        for b in slices(batches, at, SHARD_BYTES):
+            found = scan_slice(texts(b, at), blocks())
             n, h, names, bad, matches = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(bad, pa.bool_()), pa.array(matches, _MATCH_ARROW)],
+                [b.column("row"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(bad, pa.bool_()), pa.array(matches, _MATCH_ARROW)],
                 ["row", "n_words", "n_hit", "items", "contaminated", "matches"],
             )
 

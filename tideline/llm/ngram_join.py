@@ -46,11 +46,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm import bitfilter, scratch
-from tideline.llm.batches import slices, texts
+from tideline.llm.batches import at_end, slices, texts
 from tideline.llm.graph import components
 
 #: Frequent tokens: those that make up this share of a slice's tokens, and at most so many.
 FREQUENT_SHARE, MOST_FREQUENT = 1 / (1 << 18), 1 << 17
+#: Bytes of texts whose tokens are counted together.
+COUNTED_BYTES = 4 << 20
 #: A block's tokens and classes, in expectation.
 BLOCK_TOKENS, BLOCK_CLASSES = 1 << 17, 512
 #: need = 1 + floor(n / SPARE): how many tokens of the prefix must be met.
@@ -60,7 +62,7 @@ COLUMNS = 4096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a worker remembers the hash of.
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 17
 
 
 class _Known(dict):
@@ -70,6 +72,7 @@ class _Known(dict):
 
 
 _known = _Known()
+at_end(_known.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -123,7 +126,7 @@ def frequent_tokens(docs: DataFrame, text: str, n_words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", COUNTED_BYTES):
             found = np.concatenate([*tokens_of(texts(b, "__text"), n_words), np.empty(0, np.int64)])
             token, n = np.unique(found, return_counts=True)
             kept = (n >= 3) & (n >= len(found) * FREQUENT_SHARE)

@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm import scratch
-from tideline.llm.batches import slices
+from tideline.llm.batches import slices, texts, with_row
 
 #: Bytes of an n-gram; hash buckets; labelled rows used at most, about.
 N, BUCKETS, LABELLED = 5, 1 << 18, 50_000
 #: Grams of the standard length that weights refer to; good texts that k leaves out.
 LENGTH, LOSS = 1000, 0.005
+#: Bytes of texts whose n-grams are looked at together; a gram takes some 60 bytes meanwhile.
+SLICE = 1 << 20
 #: Bins of one narrowing step, and values that are looked at one by one.
 BINS, FEW = 1024, 10_000
 
@@ -56,8 +58,8 @@ def grams(several: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64), counts
 
 
-def _bytes(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("__text").to_pylist()]
+def _bytes(batch: pa.RecordBatch, column: str = "__text") -> list[bytes]:
+    return [x.encode() for x in texts(batch, column)]
 
 
 @dataclass
@@ -85,11 +87,11 @@ def _gumbel(key: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Count both models, weigh all texts, find k and the k-th largest value."""
     part = F.broadcast(scratch.table(_labelled(labels, key), "labelled"))  # LABELLED rows at most, about
-    source = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
+    source = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", SLICE):
             bucket, n = grams(_bytes(b))
             raw += np.bincount(bucket, minlength=BUCKETS)
             good = np.array([x == 1 for x in b.column("__part").to_pylist()], bool)
@@ -145,7 +147,7 @@ def _weigh(source: DataFrame, ratio: np.ndarray) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", SLICE):
             yield pa.RecordBatch.from_arrays([b.column("__key"), pa.array(weights_of(_bytes(b), shared.value))], ["__key", "log_weight"])
 
     return source.mapInArrow(run, T.StructType([source.schema["__key"], T.StructField("log_weight", T.DoubleType())]))
@@ -160,8 +162,13 @@ def weights_of(several: list[bytes], ratio: np.ndarray) -> np.ndarray:
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``row`` (struct of all its columns), log_weight, value (with Gumbel noise), keep."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    source = docs.select(F.struct(row.alias("row"), F.col(key).alias("key")).alias("__key"), F.col(text).cast("binary").alias("__text"))
-    weighed = _weigh(source, model.ratio).select("__key.row", "__key.key", "log_weight")
-    weighed = weighed.withColumn("value", F.col("log_weight") + _gumbel("key")).drop("key")
-    return weighed.withColumn("keep", F.col("value") >= model.threshold)
+    source, at = with_row(docs, text, _gumbel(key).alias("noise"))
+    shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at, SLICE):
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("noise"), pa.array(weights_of(_bytes(b, at), shared.value))], ["row", "noise", "log_weight"])
+
+    weighed = source.mapInArrow(run, T.StructType([source.schema["row"], T.StructField("noise", T.DoubleType()), T.StructField("log_weight", T.DoubleType())]))
+    value = F.col("log_weight") + F.col("noise")
+    return weighed.select("row", "log_weight", value.alias("value"), (value >= model.threshold).alias("keep"))

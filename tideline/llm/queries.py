@@ -60,7 +60,7 @@ def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2 i and 2 i + 1 are a pair; the even one is the chosen one."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return preference_pairs(conversations, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    return preference_pairs(conversations, F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)) == 0)
 
 
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)""",
     "op7_preference_format": """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS good, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 s AS (SELECT pair_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (good) AS a, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (NOT good) AS b FROM t GROUP BY pair_id),
 u AS (SELECT pair_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM s),
 k AS (SELECT *, coalesce(list_min([i - 1 FOR i IN range(1, least(len(a), len(b)) + 1) IF a[i] <> b[i]]), least(len(a), len(b))) AS k FROM u),

@@ -99,7 +99,7 @@ def _with_suffixes(df: DataFrame, suffixes: DataFrame, prior: float) -> DataFram
 def train(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int = SAMPLE, trees: int = 20, depth: int = 4) -> UrlModel:
     """Fit on rows with a url and a label (1: block, 0: allow); rows with null in either are left out.
 
-    A url with several labels takes the larger. Statistics of suffixes come from the sample's other half.
+    A url with several labels takes the larger.
     """
     rows = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).where("url is not null and label is not null")
     rows = scratch.table(rows.groupBy("url").agg(F.max("label").alias("label")), "labelled")
