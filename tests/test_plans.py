@@ -110,3 +110,37 @@ def test_against_sql(spark, sf, name):
     want = sorted((tuple(clean(v) for v in r) for r in cursor.fetchall()), key=str)
     got = sorted((tuple(clean(r[c]) for c in columns) for r in catalogue.QUERIES[name](spark, sf).collect()), key=str)
     assert got == want
+
+
+def _raw_trips(spark, sf, shift=0.0):
+    """Line items as trips with the column names of trip files."""
+    trips = catalogue._trips(spark, sf).where("l_shipdate > o_orderdate")
+    return trips.selectExpr("o_orderdate as tpep_pickup_datetime", "l_shipdate as tpep_dropoff_datetime", f"l_quantity + {shift} as trip_distance", f"500 + 40 * l_quantity + l_extendedprice / 1000 + {shift} as fare_amount", "cast(l_linenumber as string) as passenger_count", "l_suppkey % 7 as PULocationID")
+
+
+def test_fares(spark, sf):
+    from tideline.plans import fares
+
+    features = fares.fare_features(_raw_trips(spark, sf)).cache()
+    assert features.where("fare_amount <= 0 or passenger_count < 1").count() == 0
+    scores = spark.createDataFrame([(float(i), i * 0.1, -i * 0.2) for i in range(5)], "pickup_place double, pc1 double, pc2 double")
+    scored, used = fares.add_scores(features, scores)
+    assert used and scored.where("pc1 is null").count() == 0
+    model, metrics, held = fares.fit_fares(scored, True, resamples=3)
+    assert metrics.first().r2 > 0.5 and held.where("prediction is null").count() == 0
+    zones = spark.createDataFrame([(i, b) for i, b in enumerate(["Manhattan", "Queens", "Bronx", "EWR"])], "locationid int, borough string")
+    grid, models = fares.by_borough(fares.add_boroughs(scored, zones))
+    assert "Unknown" not in {r.borough for r in grid.collect()} and set(models) == {"Manhattan", "Queens", "Bronx"}
+    stats, trend, models = fares.compare_services([("yellow", _raw_trips(spark, sf)), ("green", _raw_trips(spark, sf, 5.0)), ("fhv", None)], 2000)
+    assert {r.service for r in stats.collect()} == {r.service for r in trend.collect()} == set(models) == {"yellow", "green"}
+
+
+def test_classes(spark, sf):
+    from tideline.plans import classes
+
+    found = classes.classify_trips({0: _raw_trips(spark, sf), 1: _raw_trips(spark, sf, 60.0)}, 400, trees=3)
+    assert found["accuracy"] > 0.9 and found["importances"][0][0] == "trip_distance"
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").selectExpr("ts as pickup_datetime", "user_id % 5 as pickup_place", "event_type")
+    wide = classes.profiles({"yellow": events.where("event_type = 'click'"), "green": events.where("event_type <> 'click'")}, fraction=1.0, min_rides=10)
+    found = classes.classify_profiles(wide, trees=2)
+    assert 0 <= found["accuracy"] <= 1 and len(found["importances"]) == 10

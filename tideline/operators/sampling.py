@@ -29,7 +29,7 @@ def sample_balanced(df: DataFrame, label: str, n: int, *keys: str, seed: int = 4
     return out
 
 
-def stratified_split(df: DataFrame, label: str, *keys: str, fraction: float = 0.8, seed: int = 42, salts: int = 64) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, *keys: str, fraction: float = 0.8, seed: int = 42, salts: int = 1024) -> DataFrame:
     """Add ``split``: exactly floor(fraction x n) rows of each label are train, the rest valid.
 
     Ranks are made of ranks within ranges of the order key, on top of the counts
