@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.llm import substring
 from tideline.llm.decontaminate import decontaminate, find_contamination
 from tideline.llm.graph import components
 from tideline.llm.line_dedup import line_dedup
@@ -189,6 +191,35 @@ def test_passages(spark):
     assert sum(all(x in t.split() for x in shared) for t in cut.values() if t) == 1
 
 
+def test_passages_apart(spark):
+    """Two exact passages with other text between, in one order, are both found, with their own bounds."""
+    r = random.Random(5)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows, want = [], set()
+    for i, (n, gap) in enumerate([(60, 40), (100, 60), (100, 100), (100, 150)]):
+        one, two = words(n), words(n)
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, " ".join(words(30) + one + words(gap) + two + words(30)), "s", 0))
+            want |= {(d, 30, 30 + n), (d, 30 + n + gap, 30 + 2 * n + gap)}
+    found = passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(p.doc_id, p.start, p.end) for p in found} == want
+    assert all(p.matches == p.end - p.start for p in found)
+
+
+def test_alignment_in_halves():
+    r = random.Random(6)
+    a, b = ([r.randrange(5) for _ in range(n)] for n in (70, 90))
+    whole, cells = substring._between(np.array(a), np.array(b)), substring.CELLS
+    substring.CELLS = 50
+    try:
+        halves = substring._between(np.array(a), np.array(b))
+    finally:
+        substring.CELLS = cells
+    assert len(whole) == len(halves)
+    for pairs in (whole, halves):
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 def test_passages_empty(spark):
     assert passages(spark.createDataFrame([], DOCS)).collect() == []
 
