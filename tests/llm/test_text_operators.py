@@ -206,6 +206,18 @@ def test_passages_apart(spark):
     assert all(p.matches == p.end - p.start for p in found)
 
 
+def test_passages_copies_in_any_order(spark):
+    """The least key of a text has its passages, also where a task reads another copy first."""
+    r = random.Random(8)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    shared = words(70)
+    rows = [(d, " ".join(words(30) + shared + words(30)), "s", 0) for d in (1, 90)]
+    rows = [(d, " ".join(text), "s", 0) for text in [words(40) + shared + words(40)] for d in (17, 12, 15)] + rows
+    found = passages(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    assert {(p.doc_id, p.other) for p in found} >= {(12, 1), (12, 90), (17, 12), (15, 12)}
+    assert all((p.start, p.end) == (40, 110) for p in found if p.doc_id == 12)
+
+
 def test_alignment_in_halves():
     r = random.Random(6)
     a, b = ([r.randrange(5) for _ in range(n)] for n in (70, 90))
