@@ -218,6 +218,20 @@ def test_passages_copies_in_any_order(spark):
     assert all((p.start, p.end) == (40, 110) for p in found if p.doc_id == 12)
 
 
+def test_passages_within_a_document(spark):
+    """A passage that stands twice in a text is found at both places, and the text alone is enough."""
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    own, shared = words(70), words(80)
+    rows = [(1, words(20) + own + words(40) + own + words(20)), (2, words(15) + shared + words(15)), (3, words(10) + shared + words(50) + shared + words(10))]
+    df = spark.createDataFrame([(d, " ".join(w), "s", 0) for d, w in rows], DOCS)
+    found = passages(df)
+    got = {(p.doc_id, p.other, p.start, p.end, p.other_start) for p in found.collect()}
+    assert {(1, 1, 130, 200, 20), (3, 2, 10, 90, 15), (3, 2, 140, 220, 15)} <= got
+    cut = {p.doc_id: p.text.split() for p in drop_passages(df, found).collect()}
+    assert cut[1].count(own[0]) == 1 and shared[0] not in cut[3] and cut[2] == rows[1][1]
+
+
 def test_alignment_in_halves():
     r = random.Random(6)
     a, b = ([r.randrange(5) for _ in range(n)] for n in (70, 90))
