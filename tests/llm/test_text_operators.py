@@ -232,6 +232,28 @@ def test_passages_within_a_document(spark):
     assert cut[1].count(own[0]) == 1 and shared[0] not in cut[3] and cut[2] == rows[1][1]
 
 
+def test_passages_recall(spark):
+    """Substituted words, near the thresholds: recall against all pairs that were planted."""
+    r = random.Random(10)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows, asked = [], {}
+    for n, differ in ((50, 5), (80, 12), (100, 15), (100, 18)):
+        for _ in range(20):
+            one = words(n)
+            two = list(one)
+            for i in r.sample(range(1, n - 1), differ):
+                two[i] = words(1)[0]
+            asked.setdefault((n, differ), []).append(len(rows) + 1)
+            rows += [(len(rows), words(30) + one + words(30)), (len(rows) + 1, words(30) + two + words(30))]
+    one = words(120)
+    asked["every 8th"] = [len(rows) + 1]
+    rows += [(len(rows), words(30) + one + words(30)), (len(rows) + 1, words(30) + [words(1)[0] if i % 8 == 7 else w for i, w in enumerate(one)] + words(30))]
+    found = {(p.doc_id, p.other) for p in passages(spark.createDataFrame([(d, " ".join(w), "s", 0) for d, w in rows], DOCS)).collect()}
+    for kind, ids in asked.items():
+        assert sum((d, d - 1) in found for d in ids) >= 0.9 * len(ids), kind
+    assert all(abs(d - o) == 1 for d, o in found)
+
+
 def test_alignment_in_halves():
     r = random.Random(6)
     a, b = ([r.randrange(5) for _ in range(n)] for n in (70, 90))
