@@ -1,5 +1,6 @@
 """Components, distributions, splines and trees against direct computation."""
 
+import inspect
 import math
 import random
 
@@ -126,3 +127,37 @@ def test_trees(spark):
     b = accuracy_bootstrap(held, "label", "prediction", ["id"], 20).first()
     assert b.low <= b["mean"] <= b.high
     assert len(sweep(df, ["a", "b"], "label", ["id"], (2,), (0.1, 0.3), 2)) == 2
+
+
+def test_queries_run_the_whole_models(spark, sf, monkeypatch):
+    """The registered queries fit with the reference's trees, grid and resamples."""
+    from tideline.models import trees
+    from tideline.plans import catalogue
+
+    class Seen(Exception):
+        pass
+
+    def fitted(name):
+        got = []
+
+        def see(f):
+            def run(*args, **options):
+                bound = inspect.signature(f).bind(*args, **options)
+                bound.apply_defaults()
+                got.append(bound.arguments)
+                raise Seen
+
+            return run
+
+        monkeypatch.setattr(trees, "fit_trees", see(FIT))
+        monkeypatch.setattr(catalogue, "sweep", see(sweep) if name == "gbt_sweep" else sweep)
+        monkeypatch.setattr(Gam, "fit", see(GAM))
+        with pytest.raises(Seen):
+            catalogue.QUERIES[name](spark, sf)
+        return got[0]
+
+    FIT, GAM = trees.fit_trees, Gam.fit
+    grid = fitted("gbt_sweep")
+    assert (grid["depths"], grid["rates"], grid["trees"]) == ((2, 4, 6, 8), (0.01, 0.05, 0.1, 0.3), 100)
+    assert all(fitted(q)["trees"] == 100 for q in ("gbt_accuracy", "gbt_profiles"))
+    assert fitted("gam_partial_dependence")["resamples"] == 50

@@ -455,7 +455,7 @@ def gam_fit(spark, sf_dir):
 
 @query()
 def gam_partial_dependence(spark, sf_dir):
-    model = Gam(_TERMS, "l_extendedprice").fit(_fares(spark, sf_dir), resamples=20, keys=["l_orderkey", "l_linenumber"])
+    model = Gam(_TERMS, "l_extendedprice").fit(_fares(spark, sf_dir), resamples=50, keys=["l_orderkey", "l_linenumber"])
     rows = []
     for i, t in enumerate(_TERMS):
         for a, b in zip(model.partial_dependence(i, 50), model.bootstrap_band(i, 50), strict=True):
@@ -486,7 +486,7 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gbt_accuracy(spark, sf_dir):
     """Held-out accuracy, its bootstrap, and the features' importances."""
-    model, held = evaluate(_classified(spark, sf_dir), _FEATURES, "label", ["l_orderkey", "l_linenumber"], trees=20)
+    model, held = evaluate(_classified(spark, sf_dir), _FEATURES, "label", ["l_orderkey", "l_linenumber"])
     boot = accuracy_bootstrap(held, "label", "prediction", ["l_orderkey", "l_linenumber"], 100).first()
     rows = [("accuracy", accuracy(held, "label")), *((f"boot_{k}", float(boot[k])) for k in ("mean", "std", "low", "high")), *importances(model, _FEATURES)]
     return spark.createDataFrame([(a, float(b)) for a, b in rows], "measure string, value double")
@@ -500,11 +500,11 @@ def gbt_profiles(spark, sf_dir):
     model = fit_pca(wide, 5)
     rows = wide.withColumns({f"pc{k + 1}": model.score(k) for k in range(5)}).withColumn("label", (F.col("event_type") == "view").cast("int"))
     features = [f"pc{k + 1}" for k in range(5)] + ["month", "dow", "loc_id", "region"]
-    _, held = evaluate(rows, features, "label", KEYS, trees=20)
+    _, held = evaluate(rows, features, "label", KEYS)
     return agg.classification_report(held, "label", "prediction")
 
 
 @query()
 def gbt_sweep(spark, sf_dir):
-    rows = sweep(_classified(spark, sf_dir), _FEATURES, "label", ["l_orderkey", "l_linenumber"], depths=(2, 4), rates=(0.1, 0.3), trees=5)
+    rows = sweep(_classified(spark, sf_dir), _FEATURES, "label", ["l_orderkey", "l_linenumber"])
     return spark.createDataFrame([(r["depth"], r["rate"], float(r["accuracy"])) for r in rows], "depth int, rate double, accuracy double")
