@@ -215,3 +215,13 @@ def test_bpe_long_pieces_agree():
     c = codec(RANKS, public_tokenizers.PATTERN)
     for p in (b"the" * 100, bytes(range(256)), "слово".encode() * 40):
         assert (c.heap(p) == c.matrix([p])[0]).all()
+
+
+def test_sharding_of_large_texts(spark):
+    """Texts beyond a bucket's share of a shard don't leave their shards over."""
+    r = np.random.default_rng(4)
+    rows = [(i, f"{i} " + "word " * int(r.integers(10, 30))) for i in range(3200)] + [(5000 + i, str(i) + " text" * 3000) for i in range(3)]
+    placed = shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert len(placed) == 16 and sum(p.n for p in placed) == len(rows) and all(p.last == p.n - 1 for p in placed)
+    sizes = [p.bytes for p in placed]
+    assert max(sizes) / np.mean(sizes) < 1.2

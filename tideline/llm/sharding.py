@@ -8,9 +8,11 @@ Groups of more than a small share of a shard are split into pieces by the
 documents' hash, each with its own measured vector; such groups are few, as
 their shares add up to 1. Groups are dealt to buckets by hash; a bucket has a
 capacity of its share in every shard, and is packed by one task in bounded
-memory. So no task sees all groups, and balance in each bucket is balance of
-the whole. Slots number a shard's rows without gaps: a running number within
-the bucket, on top of the rows that earlier buckets put into the shard.
+memory. So no task sees all groups. Pieces of more than ``LARGE`` of a bucket's
+share of a shard would leave the shard over in their bucket; they are few, as
+their shares add up to 1, and are packed first, all together. Buckets share
+what capacity they leave, so that balance in each is balance of the whole.
+Slots number a shard's rows without gaps: a running number within the bucket, on top of the rows that earlier buckets put into the shard.
 
 The law that holds is ``bytes``: shards' sizes are nearly equal. Size is the
 text's UTF-8 bytes plus 1. Null texts count as empty. Repeated rows and null
@@ -27,15 +29,17 @@ from pyspark.sql import types as T
 
 from tideline.llm import scratch
 
+#: Pieces above this part of a bucket's share of a shard are packed before all others.
+LARGE = 1 / 8
 #: A piece of a group has at most about this share of a shard; rows of a bucket, at least and at most, about.
 PIECE, LEAST_ROWS, MOST_ROWS, FEW_BUCKETS = 1 / 64, 800, 50_000, 64
 
 
-def pack(vectors: np.ndarray, shards: int, first: int = 0) -> np.ndarray:
-    """The shard of each item (a row of ``vectors``): largest first, to the highest dot product with residual capacity; ties go on from shard ``first``."""
-    total = vectors.sum(0)
+def pack(vectors: np.ndarray, shards: int, first: int = 0, capacity: np.ndarray | None = None, total: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each item (a row of ``vectors``): largest first, to the highest dot product with residual capacity; ties go on from shard ``first``. Shards have equal shares, or those of ``capacity``, of ``total`` or else of all items."""
+    total = vectors.sum(0) if total is None else total
     v = vectors / np.where(total > 0, total, 1)
-    residual = np.full((shards, v.shape[1]), 1 / shards)
+    residual = np.full((shards, v.shape[1]), 1 / shards) if capacity is None else np.roll(capacity, -first, 0)
     out = np.empty(len(v), np.int32)
     for i in np.argsort(-v.max(1), kind="stable"):
         s = int((residual @ v[i]).argmax())
@@ -58,6 +62,19 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     buckets = int(max(1, min(FEW_BUCKETS, total["n"] // LEAST_ROWS), total["n"] // MOST_ROWS))
     rows = rows.join(F.broadcast(large), group, "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("key"), F.col("pieces"))).otherwise(0))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group", "crc", "piece"), F.lit(buckets))).drop("pieces")
+    capacity = None
+    rows = rows.withColumn("to", F.lit(None).cast("int"))
+    if buckets > 1:
+        pieces = rows.groupBy(*group, "piece").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"))
+        first = pieces.where(F.col("bytes") > total["bytes"] / shards / buckets * LARGE).orderBy(*group, "piece").collect()  # fewer than shards * buckets / LARGE rows
+        if first:
+            whole = rows.agg(F.count("*"), F.sum("size"), F.sum("tokens")).first()
+            vectors = np.array([(r["n"], r["bytes"], r["tokens"]) for r in first], float)
+            to = pack(vectors, shards, total=np.array(whole, float))
+            left = np.maximum(1 / shards - np.stack([np.bincount(to, v, shards) for v in (vectors / np.array(whole, float)).T], 1), 0)
+            capacity = np.where(left.sum(0) > 0, left / np.where(left.sum(0) > 0, left.sum(0), 1), 1 / shards)
+            known = rows.sparkSession.createDataFrame([(r["group"], r["crc"], r["size"], r["piece"], int(s)) for r, s in zip(first, to, strict=True)], "group long, crc long, size long, piece long, to int")
+            rows = rows.drop("to").join(F.broadcast(known), [*group, "piece"], "left")
 
     def place(t: pa.Table) -> pa.Table:
         order = t.sort_by([("group", "ascending"), ("crc", "ascending"), ("size", "ascending"), ("piece", "ascending"), ("key", "ascending")])
@@ -66,7 +83,10 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         item = np.cumsum(fresh) - 1
         size, tokens = order.column("size").to_numpy(), order.column("tokens").to_numpy()
         vectors = np.stack([np.bincount(item), np.bincount(item, size), np.bincount(item, tokens)], 1).astype(float)
-        to = pack(vectors, shards, int(order.column("bucket")[0].as_py()) % shards)[item]
+        known = order.column("to").fill_null(-1).to_numpy()[fresh]
+        packed, free = known.copy(), known < 0
+        packed[free] = pack(vectors[free], shards, int(order.column("bucket")[0].as_py()) % shards, capacity)
+        to = packed[item]
         slot = np.empty(len(to), np.int64)
         for s in range(shards):
             at = np.flatnonzero(to == s)
