@@ -9,29 +9,33 @@ Tokens are 64-bit hashes of a document's distinct n-grams. The steps:
    ``n - ceil(threshold * n) + need`` tokens, so prefixes are all that has to
    be shuffled. (Any order gives whole results; frequent tokens at its end only
    keep them out of most prefixes.)
-3. Classes that share enough prefix tokens are partitioned into groups: those
-   that reach the same least token in two steps over shared tokens and have
-   about the same length; groups are split into blocks of bounded size.
-4. The matrix holds each block's union of prefix tokens, as rows (token,
-   block, how many members have it). Joined with a class's prefix it bounds
-   the class's overlap with every member of the block; only blocks where that
-   bound reaches ``need`` qualify.
-5. A qualifying block is opened together with the classes that it qualifies
-   for: first their prefixes, by a product of incidence matrices in slices of
-   columns, which leaves the classes and members that share ``need`` tokens with
-   one partner; then the whole sets of those. Overlap with the union of all the
-   block's tokens bounds again, and the product of whole sets decides.
-   Of the links found, a spanning forest leaves the task.
+3. One sort of all prefix tokens shows which of them several classes share.
+   The class that comes first at most of a class's tokens is its hub; classes
+   that are linked with their hub are a star, and need no further link inside.
+4. Classes that share enough prefix tokens are partitioned into groups: stars,
+   and the others by their hub and length. The matrix holds each group's union
+   of prefix tokens, as rows (token, group, how many members have it). Joined
+   with a class's prefix it bounds the class's overlap with every member of
+   the group; tokens that only one star has are left out. Only groups where that
+   bound reaches ``need`` qualify; of two groups the smaller one asks.
+5. A qualifying group is opened in blocks of bounded size, together with bounded
+   runs of the classes that ask: first their prefixes, by a product of incidence
+   matrices in slices of columns, which leaves the classes and members that
+   share enough for their sizes with one partner; then the whole sets of those.
+   Overlap with the union of all the block's tokens bounds again, and the
+   product of whole sets decides. Of the links found, a spanning forest leaves
+   the task.
 6. Connected components of the links give each document's class id.
 
 No key's rows are gathered in one task: copies are reduced to classes before
-the shuffle, blocks are bounded, frequent tokens meet in joins whose sides are
+the shuffle, blocks and runs are bounded, a hot token's rows are sorted into
+several partitions, and other frequent keys meet in joins whose sides are
 written tables, which adaptive execution can split.
 
 Null texts and texts without words have n_shingles 0 and no link; texts of fewer
 words than an n-gram have one token, the whole sequence. A null key is kept but never a
 component id. Repeated rows are kept. Classes of different sets share a 64-bit hash with a
-probability of n^2 / 2^65 for n different sets.
+probability of n^2 / 2^65 for n different sets; overlaps compare 48 bits of a token.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,10 +118,27 @@ def _fingerprint(tokens: np.ndarray) -> int:
         return int(_mix(both).view(np.int64)[0])
 
 
+def to_planes(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted tokens, byte by byte: the first bytes of all, then the second and so on, as equal ones compress."""
+    return (tokens >> 15).view(np.uint8).reshape(-1, 8)[:, 5::-1].T.tobytes()
+
+
+def from_planes(planes: pa.BinaryScalar) -> np.ndarray:
+    found = np.frombuffer(planes.as_buffer(), np.uint8).reshape(6, -1)
+    out = np.zeros((found.shape[1], 8), np.uint8)
+    out[:, 5::-1] = found.T
+    return out.view(np.int64).ravel()
+
+
 def need_of(n: np.ndarray | int) -> np.ndarray | int:
     return 1 + n // SPARE
 
 
+def rest_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of ``n`` tokens are not in the prefix."""
+    return n - np.minimum(n, n + percent * -n // 100 + need_of(n))
+
+
 def frequent_tokens(docs: DataFrame, text: str, n_words: int) -> DataFrame:
     """(token, n): tokens by a lower bound of their count over all documents, of at most MOST_FREQUENT.
 
@@ -198,9 +219,13 @@ def overlaps(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray
 
 
 def prefix_partners(queries: list[np.ndarray], n_q: np.ndarray, members: list[np.ndarray], n_m: np.ndarray, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which queries and which members have a partner whose length fits and whose prefix shares what two linked sets must share."""
-    least, most = np.minimum(n_q[:, None], n_m[None, :]), np.maximum(n_q[:, None], n_m[None, :])
-    fits = (overlaps(queries, members) >= need_of(least)) & (100 * least >= percent * most)
+    """Which queries and which members have a partner whose length fits and whose prefix shares what two linked sets must share.
+
+    Up to the end of the prefix that ends first, both prefixes are whole; beyond it the sets share no more than the rest of that one.
+    """
+    a, b = n_q[:, None], n_m[None, :]
+    fits = overlaps(queries, members) >= np.maximum(1, -(-percent * (a + b) // (100 + percent)) - np.maximum(rest_of(a, percent), rest_of(b, percent)))
+    fits &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     if same:
         np.fill_diagonal(fits, False)
     return fits.any(1), fits.any(0)
@@ -253,83 +278,220 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     frequent = (found["token"].to_numpy(np.int64), found["rank"].to_numpy(np.int64))
     profile = scratch.table(profiles(docs, key, text, n_words, percent, frequent), "profiles")
     classes = scratch.table(profile.where("set is not null").groupBy("set").agg(F.min("key").alias("least"), F.max("n_shingles").alias("n")), "classes")
-    links = class_links(docs, profile, classes, key, text, n_words, percent)
-    labels = components(links)
-    least = labels.join(classes, F.col("node") == F.col("set")).groupBy("label").agg(F.min("least").alias("component"))
-    of_class = labels.join(least, "label").select(F.col("node").alias("set"), "component")
-    of_class = scratch.table(classes.join(of_class, "set", "left").select("set", F.coalesce("component", "least").alias("component")), "members")
-    # written tables on both sides: a hot class's rows can be split
-    out = profile.join(of_class, "set", "left")
-    return out.select(F.col("key").alias(key), "n_shingles", F.col("set").alias("set_hash"), F.coalesce("component", "key").alias("component_id"))
+    with scratch.scope() as used:
+        labels = components(class_links(docs, profile, classes, key, text, n_words, percent))
+        least = labels.join(classes, F.col("node") == F.col("set")).groupBy("label").agg(F.min("least").alias("component"))
+        of_class = labels.join(least, "label").select(F.col("node").alias("set"), "component")
+        of_class = scratch.table(classes.join(of_class, "set", "left").select("set", F.coalesce("component", "least").alias("component")), "members")
+        # written tables on both sides: a hot class's rows can be split
+        out = profile.join(of_class, "set", "left")
+        out = scratch.table(out.select(F.col("key").alias(key), "n_shingles", F.col("set").alias("set_hash"), F.coalesce("component", "key").alias("component_id")), "components")
+        scratch.delete(docs.sparkSession, [p for p in used if p != out._scratch])
+        used[:] = [out._scratch]
+    scratch.drop(profile, classes)
+    return out
+
+
+def _need(n: Column, percent: int) -> Column:
+    """What a set of ``n`` tokens shares at least with the prefix of any set that it is linked with."""
+    return 1 + F.floor(F.ceil(n * percent / 100) / SPARE)
+
+
+def shared_rows(profile: DataFrame, percent: int) -> DataFrame:
+    """(set, n, tokens, hub, common): classes with the tokens of their prefix that another class has too, if they are enough.
+
+    One sort by (token, set) brings a token's classes side by side; a hot token
+    goes on over several partitions. Tokens at a partition's ends may be kept
+    though only one class has them, which costs a row, not a result. ``hub`` is
+    the class that comes first at most of the tokens (``common`` of them).
+    """
+    rows = profile.where("prefix is not null").select(F.explode("prefix").alias("token"), "set", F.col("n_shingles").alias("n"))
+    rows = rows.repartitionByRange("token", "set").sortWithinPartitions("token", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None  # the last row, whose follower isn't known yet; the first set of its token
+
+        def judge(rows: np.ndarray, ended: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Which rows stay, and the first set of each row's token. The first row was held, or is the partition's first."""
+            token, of = rows[0], rows[1]
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            hub = of[start]
+            if first is not None:
+                hub[start == 0] = first
+            alone = new & np.concatenate([new[1:], [not ended]])
+            alone[0] &= first is not None and first == of[0]
+            return ~alone, hub
+
+        def out(rows: np.ndarray, kept: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (*rows, hub)], ["token", "set", "n", "hub"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column(i).to_numpy() for i in range(3)])
+            if held is not None:
+                rows = np.concatenate([held, rows], 1)
+            rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])]  # a class that several tasks met
+            kept, hub = judge(rows, False)
+            yield out(rows[:, :-1], kept[:-1], hub[:-1])
+            held, first = rows[:, -1:], hub[-1]
+        if held is not None:
+            yield out(held, *judge(held, True))
+
+    found = rows.mapInArrow(run, "token long, set long, n long, hub long").repartition("set").sortWithinPartitions("set", "token")
+
+    def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((4, 0), np.int64)
+        for b in batches:
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("set", "token", "n", "hub")])], 1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0  # the last set may go on
+            yield gather(rows[:, :cut])
+            held = rows[:, cut:]
+        yield gather(held)
+
+    def gather(rows: np.ndarray) -> pa.RecordBatch:
+        of_set, token, n, hub = rows
+        new = np.ones(len(of_set), bool)
+        new[1:] = of_set[1:] != of_set[:-1]
+        of = np.cumsum(new) - 1
+        own, n = of_set[new], n[new]
+        best, common = own.copy(), np.zeros(len(own), np.int64)
+        away = np.flatnonzero(hub != of_set)
+        order = away[np.lexsort((hub[away], of[away]))]
+        if len(order):
+            fresh = np.flatnonzero(np.concatenate([[True], (np.diff(of[order]) != 0) | (np.diff(hub[order]) != 0)]))
+            counts = np.diff(np.append(fresh, len(order)))
+            by = np.argsort(counts, kind="stable")  # the most frequent hub is written last
+            best[of[order[fresh[by]]]], common[of[order[fresh[by]]]] = hub[order[fresh[by]]], counts[by]
+        one = new.copy()  # a token that met a set in two partitions counts once
+        one[1:] |= token[1:] != token[:-1]
+        sizes = np.bincount(of[one], minlength=len(own))
+        enough = sizes >= need_of(-(-percent * n // 100))
+        kept = one & enough[of] if len(of) else one
+        ends = np.concatenate([[0], np.cumsum(sizes[enough])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(token[kept]))
+        return pa.RecordBatch.from_arrays([pa.array(own[enough]), pa.array(n[enough]), lists, pa.array(best[enough]), pa.array(common[enough])], ["set", "n", "tokens", "hub", "common"])
+
+    return found.mapInArrow(by_set, "set long, n long, tokens array<long>, hub long, common long")
+
+
+def hub_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(set, hub): the classes that are linked with their hub."""
+    of_hub = rows.select(F.col("set").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = rows.where("hub <> set").select("set", "hub", "n", "common").join(of_hub, "hub")
+    rest = lambda n: n - F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / SPARE))
+    n, m = F.col("n"), F.col("hub_n")
+    fits = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.col("common") >= F.ceil(percent * (n + m) / (100 + percent)) - F.greatest(rest(n), rest(m)))
+    pairs = scratch.table(pairs.where(fits).select("set", "hub"), "pairs")
+    both = pairs.join(sets, "set").join(sets.select(F.col("set").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "tokens"):
+            linked = []
+            for x, y in zip(b.column("tokens"), b.column("hub_tokens"), strict=True):
+                u, v = from_planes(x), from_planes(y)
+                common = np.intersect1d(u, v, assume_unique=True).size
+                linked.append(100 * common >= percent * (len(u) + len(v) - common))
+            yield b.select(["set", "hub"]).filter(pa.array(linked, pa.bool_()))
+
+    # a class that two tasks met has two rows of its set
+    found = scratch.table(both.select("set", "hub", "tokens", "hub_tokens").mapInArrow(run, "set long, hub long").distinct(), "stars")
+    scratch.drop(pairs)
+    return found
 
 
 def class_links(docs: DataFrame, profile: DataFrame, classes: DataFrame, key: str, text: str, n_words: int, percent: int) -> DataFrame:
     """(a, b): links between classes that span every component."""
-    exploded = profile.select("set", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
-    shared = exploded.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("token")
-    shared = scratch.table(shared, "shared")
-    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
-    rows = exploded.join(shared, "token").groupBy("set").agg(F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
-    rows = scratch.table(rows.where(F.size("tokens") >= need).select("set", "n", "tokens", F.array_min("tokens").alias("g")), "rows")
-    # groups: the least token within two steps over shared tokens, and the length within a factor
-    steps = scratch.table(rows.select(F.explode("tokens").alias("token"), "g").groupBy("token").agg(F.min("g").alias("g")), "steps")
-    near = rows.select("set", F.explode("tokens").alias("token")).join(steps, "token").groupBy("set").agg(F.min("g").alias("g"))
-    rows = rows.drop("g").join(near, "set").withColumn("g", F.xxhash64("g", F.floor(F.log(F.col("n")) / np.log(1.25))))
-    rows = scratch.table(rows, "grouped")
+    rows = scratch.table(shared_rows(profile, percent), "rows")
+    sets = scratch.table(whole_sets(docs, rows.select("set").join(classes, "set").select(F.col("least").alias("key")), key, text, n_words), "sets")
+    stars = hub_links(rows, sets, percent)
+    # a star's label is its hub, or that one's hub; classes with one label are linked already
+    up = stars.select(F.col("set").alias("hub"), F.col("hub").alias("above"))
+    labels = stars.join(up, "hub", "left").select("set", F.coalesce("above", "hub").alias("label"))
+    centres = labels.select("label").distinct().join(labels.select(F.col("set").alias("label")), "label", "left_anti")
+    labels = scratch.table(labels.union(centres.select(F.col("label").alias("set"), "label")), "labels")
+    # groups: a star, or the classes outside of stars that have one hub and about the same length
+    placed = rows.join(labels, "set", "left")
+    group = F.when(F.col("label").isNull(), F.xxhash64("hub", F.floor(F.log(F.col("n")) / np.log(1.25)))).otherwise(F.xxhash64("label"))
+    placed = placed.select("set", "n", "tokens", group.alias("group"), F.coalesce("label", "set").alias("label"))
     parts = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_CLASSES))
-    large = scratch.table(rows.groupBy("g").agg(parts.alias("parts")).where("parts > 1"), "large")
-    part = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
-    placed = scratch.table(rows.join(large, "g", "left").select("set", "n", F.xxhash64("g", part).alias("block"), "tokens"), "placed")
-    blocks = placed.select("set", "block")
-    cells = placed.select("set", "n", "block", F.explode("tokens").alias("token"))
-    # the matrix, and the bound of each class's overlap with each block
-    matrix = cells.groupBy("token", "block").agg(F.count("*").alias("members"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    matrix = scratch.table(matrix.withColumnRenamed("block", "other"), "matrix")
+    groups = placed.groupBy("group").agg(F.count("*").alias("size"), parts.alias("parts"))
+    placed = scratch.table(placed.join(groups, "group"), "placed")
+    scratch.drop(rows, labels)
+    # the matrix, and the bound of each class's overlap with each group; what only shares tokens within its star is left out
+    cells = placed.select("set", "n", "label", "group", "size", F.explode("tokens").alias("token"))
+    matrix = cells.groupBy("token", F.col("group").alias("other")).agg(F.count("*").alias("members"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("size").alias("other_size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    matrix = scratch.table(matrix, "matrix")
+    live = matrix.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("token")
+    live = matrix.join(live, "token")
     fits = (F.col("n") * 100 >= F.col("least_n") * percent) & (F.col("most_n") * 100 >= F.col("n") * percent)
-    own = cells.join(matrix, "token").where(fits & ((F.col("block") > F.col("other")) | (F.col("block") == F.col("other")) & (F.col("members") > 1)))
-    bound = own.groupBy("set", "block", "other").agg(F.count("*").alias("overlap"), F.max("n").alias("n"))
-    qualified = scratch.table(bound.where(F.col("overlap") >= need).select("set", F.col("block").alias("home"), F.col("other").alias("block")), "qualified")
-    # whole sets of the classes that open a block or lie in an opened one
-    outside = qualified.where("home <> block")
+    foreign = (F.col("low") < F.col("high")) | (F.col("low") != F.col("label"))
+    above = F.struct("other_size", "other") > F.struct(F.col("size").alias("other_size"), F.col("group").alias("other"))  # the smaller group asks
+    own = cells.join(live, "token").where(fits & foreign & (above | (F.col("group") == F.col("other")) & (F.col("members") > 1)))
+    bound = own.groupBy("set", "group", "other").agg(F.count("*").alias("overlap"), F.max("n").alias("n"))
+    qualified = scratch.table(bound.where(F.col("overlap") >= _need(F.col("n"), percent)).select("set", "n", "group", "other"), "qualified")
+    scratch.drop(matrix)
+    return stars.toDF("a", "b").union(opened_links(placed, qualified, sets, percent))
+
+
+def opened_links(placed: DataFrame, qualified: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of classes with the groups that they qualify for.
+
+    A job is a block of a group and a run of the classes that ask it; or, within
+    a group, two blocks of the classes that ask their own group.
+    """
+    runs = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_CLASSES))
+    part = lambda n: F.pmod(F.xxhash64("set"), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    job = lambda kind: F.xxhash64(F.lit(kind), "group", "block", "run").alias("job")
+    cells = ("set", "n", "tokens")
+    outer = qualified.where("group <> other").select("set", "n", F.col("other").alias("group"))
+    asked = scratch.table(outer.groupBy("group").agg(runs.alias("runs")), "asked")
+    sizes = placed.select("group", "parts").distinct()
+    asking = outer.join(asked, "group").join(sizes, "group").select("set", "group", part(F.col("runs")).alias("run"), F.explode(upto(F.col("parts"))).alias("block"))
+    members = placed.join(asked, "group").select("set", "group", part(F.col("parts")).alias("block"), F.explode(upto(F.col("runs"))).alias("run"))
+    inner = qualified.where("group = other").select("set", "n", "group")
+    inner = inner.join(inner.groupBy("group").agg(runs.alias("runs")), "group").withColumn("mine", part(F.col("runs")))
+    above = inner.select("set", "group", F.col("mine").alias("run"), F.explode(upto(F.col("runs"))).alias("block")).where("block > run")
+    below = inner.select("set", "group", F.col("mine").alias("block"), F.explode(upto(F.col("runs"))).alias("run")).where("run <= block")
     jobs = (
-        qualified.where("home = block").select("home", "block", "set", F.lit(True).alias("member"))
-        .union(outside.select("home", "block", "set", F.lit(False)))
-        .union(outside.select("home", "block").distinct().join(blocks, "block").select("home", "block", "set", F.lit(True)))
+        asking.select(job("outer"), "set", F.lit(False).alias("member"), F.lit(False).alias("same"))
+        .union(members.select(job("outer"), "set", F.lit(True), F.lit(False)))
+        .union(above.select(job("inner"), "set", F.lit(False), F.lit(False)))
+        .union(below.select(job("inner"), "set", F.lit(True), F.col("run") == F.col("block")))
     )
-    jobs = jobs.join(placed.select("set", "n", "tokens"), "set")
+    jobs = jobs.join(placed.select(*cells), "set")
 
     def narrow(rows: pa.Table) -> pa.Table:
+        names, same = ["job", "set", "member", "same"], rows.column("same")[0].as_py()
         member, n = rows.column("member").to_numpy(), rows.column("n").to_numpy()
-        tokens = [np.array(x, np.int64) for x in rows.column("tokens").to_pylist()]
-        inner = rows.column("home")[0] == rows.column("block")[0]
-        m, q = np.flatnonzero(member), np.flatnonzero(member if inner else ~member)
+        m, q = np.flatnonzero(member), np.flatnonzero(member if same else ~member)
         if not len(m) or not len(q):
-            return rows.slice(0, 0).select(["home", "block", "set", "member"])
-        of_q, of_m = prefix_partners([tokens[i] for i in q], n[q], [tokens[i] for i in m], n[m], percent, inner)
-        kept = m[of_m] if inner else np.concatenate([q[of_q], m[of_m]])
-        return rows.take(np.sort(kept)).select(["home", "block", "set", "member"])
+            return rows.slice(0, 0).select(names)
+        tokens = [np.array(x, np.int64) for x in rows.column("tokens").to_pylist()]
+        of_q, of_m = prefix_partners([tokens[i] for i in q], n[q], [tokens[i] for i in m], n[m], percent, same)
+        kept = m[of_m] if same else np.concatenate([q[of_q], m[of_m]])
+        return rows.take(np.sort(kept)).select(names)
 
-    jobs = jobs.groupBy("home", "block").applyInArrow(narrow, "home long, block long, set long, member boolean")
+    jobs = jobs.groupBy("job").applyInArrow(narrow, "job long, set long, member boolean, same boolean")
     jobs = scratch.table(jobs, "jobs")
-    wanted = jobs.select("set").distinct().join(classes, "set").select(F.col("least").alias("key"))
-    sets = whole_sets(docs, wanted, key, text, n_words)
+    scratch.drop(placed, qualified, asked)
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.take(np.unique(rows.column("set").to_numpy() * 2 + rows.column("member").to_numpy(), return_index=True)[1])
-        member = rows.column("member").to_numpy()
-        ids = rows.column("set").to_numpy()
-        tokens = [np.frombuffer(x, np.int64) for x in rows.column("tokens").to_pylist()]
-        inner = rows.column("home")[0] == rows.column("block")[0]
+        rows = rows.take(np.unique(rows.column("set").to_numpy(), return_index=True)[1])  # a class that two tasks met
+        member, ids, same = rows.column("member").to_numpy(), rows.column("set").to_numpy(), rows.column("same")[0].as_py()
+        tokens = [from_planes(x) for x in rows.column("tokens")]
         m, q = np.flatnonzero(member), np.flatnonzero(~member)
-        found = link_blocks([tokens[i] for i in m], None if inner else [tokens[i] for i in q], percent) if len(m) and (inner or len(q)) else []
-        first = m if inner else q
+        found = link_blocks([tokens[i] for i in m], None if same else [tokens[i] for i in q], percent) if len(m) and (same or len(q)) else []
+        first = m if same else q
         return pa.table({"a": pa.array([ids[first[i]] for i, _ in found], pa.int64()), "b": pa.array([ids[m[j]] for _, j in found], pa.int64())})
 
-    return jobs.join(sets, "set").groupBy("home", "block").applyInArrow(run, "a long, b long")
+    return jobs.join(sets, "set").groupBy("job").applyInArrow(run, "a long, b long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n_words: int) -> DataFrame:
-    """(set, tokens): the tokens, 8 bytes each, at least of the documents whose keys are in ``wanted``.
+    """(set, tokens): the tokens (``to_planes``), at least of the documents whose keys are in ``wanted``.
 
     Keys are looked up in a bit filter of fixed size, so texts are not shuffled;
     a key that it lets through by mistake gives a row that no join will find.
@@ -346,7 +508,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n_words:
                 if len(t) and (i := _fingerprint(t)) not in met:
                     met.add(i)
                     ids.append(i)
-                    tokens.append(t.tobytes())
+                    tokens.append(to_planes(t))
             if len(met) > _REMEMBERED:
                 met.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], ["set", "tokens"])
