@@ -5,14 +5,14 @@ effect: the quality classifier's rejects go, boilerplate lines go, one document
 of each group of near-duplicates stays, contaminated documents go, and the rest
 is encoded. All but the last return the columns of ``documents``.
 
-A stage's result is written before the next stage reads it, so at its start a
-stage deletes the working tables of the stages before.
+``run`` writes a stage's result before the next stage reads it, and then deletes
+the stage's working tables and its input. The documents that the last stage
+encodes stay until ``tideline.llm.scratch.release``, as the result reads them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -29,36 +29,20 @@ from tideline.llm.quality import classify, fit
 WORDS, PERCENT = 5, 80
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
 
 
-def _stage(f: Stage) -> Stage:
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.delete(spark, _left)
-        before = len(scratch.written)
-        out = f(spark, docs, sf_dir)
-        _left.extend(scratch.written[before:])
-        return out
-
-    return run_stage
-
-
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling keeps."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classify(docs, model).where("keep").select("row.*")
 
 
-@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their sources' boilerplate lines; n_chars follows the text."""
     row = F.col("row").withField("text", F.col("kept")).withField("n_chars", F.length("kept").cast("long"))
     return line_dedup(docs).select(row.alias("row")).select("row.*")
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group. Rows without an id stay; rows with one id and one text count once."""
     found = ngram_components(docs, n_words=WORDS, percent=PERCENT)
@@ -67,13 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
-@_stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding the ids gives the text's bytes back."""
     coded = bpe_encode(docs, RANKS, public_tokenizers.PATTERN, check="whole")
@@ -95,10 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    between: list[str] = []
-    for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        docs = scratch.table(out, name.replace(" ", "-"))
-        scratch.delete(spark, between)  # what this stage read
-        between = [scratch.written.pop()]
+    with scratch.scope() as used:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            scratch.delete(spark, [used.pop(0) for _ in used[:-1]])  # all but what was just written
     return STAGES[-1][1](spark, docs, sf_dir)
