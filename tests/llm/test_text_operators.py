@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import substring
+from tideline.llm import decontaminate as decontaminate_module
 from tideline.llm.decontaminate import decontaminate, find_contamination
 from tideline.llm.graph import components
 from tideline.llm.line_dedup import line_dedup
@@ -138,11 +140,45 @@ def test_contamination(spark, block):
     assert kept.columns == df.columns and kept.count() == sum(not h for _, _, h, _ in want)
     for row in found.where("contaminated").collect():  # a match is the same words in both
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(row["row"]["text"]))
+        assert row["matches"] and len({m["word"] for m in row["matches"]}) == len(row["matches"])
         for m in row["matches"]:
             texts = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) for i, t in items if (str(i) if i is not None else None) == m["item_id"]]
             assert any(v[m["item_word"] : m["item_word"] + m["words"]] == w[m["word"] : m["word"] + m["words"]] for v in texts)
 
 
+def test_longest_matches():
+    """Each place's longest match, against all pairs of places."""
+    r = random.Random(4)
+    items = [(str(i), " ".join(r.choice("abc") for _ in range(r.choice([3, 10, 12, 30])))) for i in range(6)]
+    docs = [" ".join(r.choice("abcd") for _ in range(200)) + " " + r.choice(items)[1] for _ in range(12)]
+    coded = decontaminate_module.Items(items, 4)
+    for d, (n, _, names, _, matches) in zip(docs, decontaminate_module.scan_slice(docs, iter([coded])), strict=True):
+        w, longest, found = d.split(), {}, set()
+        for i, x in items:
+            v = x.split()
+            for a in range(len(v) - min(4, len(v)) + 1):
+                for p in range(n):
+                    k = 0
+                    while p + k < n and a + k < len(v) and w[p + k] == v[a + k]:
+                        k += 1
+                    if k >= min(4, len(v)):
+                        longest[p] = max(longest.get(p, 0), k)
+                        found.add(i)
+        assert names == sorted(found)
+        assert {(m["word"], m["words"]) for m in matches} == {(p, k) for p, k in longest.items() if longest.get(p - 1, 0) <= k}
+        text = dict(items)
+        assert all(text[m["item_id"]].split()[m["item_word"] : m["item_word"] + m["words"]] == w[m["word"] : m["word"] + m["words"]] for m in matches)
+
+
+def test_contamination_of_repetitions():
+    """Time and memory grow with the texts, not with their product."""
+    began = time.perf_counter()
+    items = decontaminate_module.Items([("a", "x " * 2000), ("b", "x y " * 500)], 10)
+    ((n, hit, names, bad, matches),) = decontaminate_module.scan_slice(["x " * 32_000], iter([items]))
+    assert (n, hit, names, bad, [(m["words"], m["word"]) for m in matches]) == (32_000, 32_000, ["a"], True, [(2000, p) for p in range(30_001)])
+    assert time.perf_counter() - began < 10
+
+
 def test_contamination_empty(spark):
     docs, none = spark.createDataFrame([(1, "a b", "s", 0)], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).count() == 1
@@ -156,6 +192,25 @@ def test_chains():
     far = np.array([0, 1000])
     assert chains(far, far) == []  # the gap costs more than an anchor gains
     assert chains(far[:0], far[:0]) == []
+    assert chains(np.array([5]), np.array([9]), np.array([44])) == [[(5, 9, 44)]]
+
+
+def test_straight():
+    """The short way gives what the alignment gives."""
+    r = np.random.default_rng(3)
+    short = 0
+    for _ in range(400):
+        a, b = r.integers(0, 1 << 30, (2, 260)).astype(np.uint32)
+        x, y, n = int(r.integers(60, 120)), int(r.integers(60, 120)), int(r.integers(7, 80))
+        lo, hi = x - int(r.integers(0, 50)), x + n + int(r.integers(0, 50))
+        b[lo - x + y : hi - x + y] = a[lo:hi]
+        for i in range(lo, hi):
+            if not x <= i < x + n and r.random() < r.choice([0, 0.1, 0.3]):
+                b[i - x + y] = 1
+        got, want = substring.straight(x, y, n, a, 0, b, 0, 50), substring.align([(x, y, n)], a, 0, b, 0)
+        assert got is None or got == want
+        short += got is not None
+    assert short > 200
 
 
 def test_passages(spark):
@@ -235,12 +290,25 @@ def test_passages_within_a_document(spark):
     assert cut[1].count(own[0]) == 1 and shared[0] not in cut[3] and cut[2] == rows[1][1]
 
 
+def test_passages_of_repetitions(spark):
+    """A word or line on and on gives few rows, which cover it."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    line = [word() for _ in range(30)]
+    rows = [(i, [word()] * 5 + ["the"] * n + [word()] * 3) for i, n in enumerate((300, 1900, 40, 800))] + [(10, line * 12), (11, [word() for _ in range(70)] + line * 5)]
+    found = passages(spark.createDataFrame([(d, " ".join(w), "s", 0) for d, w in rows], DOCS)).collect()
+    assert len(found) < 60 and all(p.matches >= 0.8 * (p.end - p.start) for p in found)
+    covered = {d: {q for p in found if p.doc_id == d for q in range(p.start, p.end)} for d, _ in rows}
+    assert all(set(range(5, 5 + n)) <= covered[i] | set(range(12)) for i, n in ((1, 1900), (3, 800)))
+    assert len(covered[10]) >= 330 and set(range(70, 220)) <= covered[11] and len(covered[2] - set(range(48))) == 0
+
+
 def test_passages_recall(spark):
     """Substituted words, near the thresholds: recall against all pairs that were planted."""
     r = random.Random(10)
     words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
     rows, asked = [], {}
-    for n, differ in ((50, 5), (80, 12), (100, 15), (100, 18)):
+    for n, differ in ((50, 5), (80, 12), (100, 15), (100, 18), (150, 30)):
         for _ in range(20):
             one = words(n)
             two = list(one)
@@ -248,10 +316,12 @@ def test_passages_recall(spark):
                 two[i] = words(1)[0]
             asked.setdefault((n, differ), []).append(len(rows) + 1)
             rows += [(len(rows), words(30) + one + words(30)), (len(rows) + 1, words(30) + two + words(30))]
-    one = words(120)
-    asked["every 8th"] = [len(rows) + 1]
-    rows += [(len(rows), words(30) + one + words(30)), (len(rows) + 1, words(30) + [words(1)[0] if i % 8 == 7 else w for i, w in enumerate(one)] + words(30))]
+    for _ in range(20):
+        one = words(150)
+        asked.setdefault("every 8th", []).append(len(rows) + 1)
+        rows += [(len(rows), words(30) + one + words(30)), (len(rows) + 1, words(30) + [words(1)[0] if i % 8 == 7 else w for i, w in enumerate(one)] + words(30))]
     found = {(p.doc_id, p.other) for p in passages(spark.createDataFrame([(d, " ".join(w), "s", 0) for d, w in rows], DOCS)).collect()}
+    print({kind: sum((d, d - 1) in found for d in ids) for kind, ids in asked.items()})
     for kind, ids in asked.items():
         assert sum((d, d - 1) in found for d in ids) >= 0.9 * len(ids), kind
     assert all(abs(d - o) == 1 for d, o in found)
@@ -328,6 +398,7 @@ def test_passages_empty(spark):
 def test_line_dedup(spark):
     rows = [(i, f"menu\nown line {i}\n\nmenu \n  footer", "a", 1) for i in range(12)]
     rows += [(20 + i, f"own {i}\nmenu", "b", 1) for i in range(40)] + [(60 + i, "copied text\nof many pages", "b", 1) for i in range(30)]
+    rows += [(200, "single\npage", "c", 1), (201, "of\nfew", "d", 1), (202, "of\nother", "d", 1)]
     rows += [(100, None, "a", 1), (101, "", "a", 1), (102, "menu", "a", 1), (103, "menu\nmenu", None, 1), (0, rows[0][1], "a", 1)]
     df = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("clash")).withColumn("kept", F.lit("clash"))
     got = {}
@@ -335,7 +406,9 @@ def test_line_dedup(spark):
         got.setdefault(r["row"]["doc_id"], []).append((r.n_lines, r.n_dropped, r.kept))
     assert got[0] == [(5, 3, "own line 0\n")] * 2
     assert got[25] == [(2, 1, "own 5")]
-    assert got[70] == [(2, 0, "copied text\nof many pages")]  # copies are one page
+    assert got[70] == [(2, 2, "")] and got[200] == [(2, 0, "single\npage")] and got[201] == [(2, 1, "few")]
+    once = {r["row"]["doc_id"]: (r.n_dropped, r.kept) for r in line_dedup(df, copies_once=True).collect()}
+    assert once[70] == (0, "copied text\nof many pages") and once[25] == (1, "own 5") and once[201] == (1, "few")
     assert got[100] == [(0, 0, None)] and got[101] == [(1, 0, "")] and got[102] == [(1, 1, "")] and got[103] == [(2, 0, "menu\nmenu")]
     assert line_dedup(df.limit(0)).collect() == []
 
