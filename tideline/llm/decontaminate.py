@@ -5,15 +5,19 @@ shard a suffix can only match a benchmark item as long as its words are words
 of the benchmark, so the shard's suffix array holds the suffixes of those runs
 of benchmark words that are at least as long as the shortest window; other
 suffixes can't hold a match. It is built by prefix doubling up to the length
-of the longest item. Every suffix of every item is then searched in it: all
+of the longest item. Every suffix of every item is then searched in it, to the
+end of its longest match: all
 searches narrow their intervals together, one word deeper in each round, by
-vectorised binary search. The interval at the depth of the item's window gives
-all occurrences of the window; occurrences that follow each other on one
-diagonal join to the longest verbatim match, with its places in both texts.
+vectorised binary search; searches that are in one interval with one next word
+are one. The interval at the depth of the item's window stands for all
+occurrences of the window, and where an interval gets narrower, the places that
+leave it have their longest match with that suffix. Intervals are never
+multiplied out: hits are marked over the array, documents meet
+intervals once, and each place keeps its longest match only.
 
 The items are dealt into blocks of bounded bytes, one broadcast each, and each
-shard is searched for one block after the other; so neither the driver nor a
-task ever holds more than a block. Documents are never shuffled.
+shard is searched for one block after the other; a task lets go of a block
+before it loads the next. Documents are never shuffled.
 
 Null and wordless texts have no words and no hits. Null and wordless items have
 no window; items without an id count under no id but still mark hits. Repeated
@@ -96,42 +100,70 @@ def _bisect(words: np.ndarray, array: np.ndarray, low: np.ndarray, high: np.ndar
     return low
 
 
-def occurrences(ids: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in ids, index of the item's word, words) of every occurrence of every window. ``ids``: texts' words, a 0 after each text."""
-    none = np.empty(0, np.int64)
-    least = items.least()
-    if not least or not len(ids):
-        return none, none, none
-    zeros = np.flatnonzero(ids == 0)
-    begins = np.concatenate([[0], zeros[:-1] + 1])
-    run = np.repeat(zeros - begins, zeros - begins + 1)
-    kept = np.flatnonzero((run >= least))
-    words, at = ids[kept], kept
-    if not len(words):
-        return none, none, none
-    zeros = np.flatnonzero(words == 0)
-    end = zeros[np.searchsorted(zeros, np.arange(len(words)))]
-    array = suffix_array(words, end, int(items.lengths.max()))
+def search(words: np.ndarray, array: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, longest): columns of (index of an item's word, first and last place in the array, depth).
+
+    ``windows``: the intervals of the suffixes that begin with a whole window, at its length.
+    ``longest``: intervals of a window or more just before they get narrower, or where the item ends.
+    """
     start_of = np.flatnonzero(items.left >= items.window[items.item])  # suffixes in which a whole window fits
+    need, left = items.window[items.item[start_of]], items.left[start_of]
     low, high = np.zeros(len(start_of), np.int64), np.full(len(start_of), len(array), np.int64)
-    live, depth, found = np.arange(len(start_of)), 0, []
-    need = items.window[items.item[start_of]]
-    while len(live):
+    live, depth = np.arange(len(start_of)), 0
+    windows, longest = [np.empty((4, 0), np.int64)], [np.empty((4, 0), np.int64)]
+
+    def keep(into: list[np.ndarray], which: np.ndarray) -> None:
+        if into is longest:  # of one depth, intervals with one beginning are one
+            which = which[np.unique(low[which], return_index=True)[1]]
+        if len(which):
+            into.append(np.stack([start_of[which], low[which], high[which], np.full(len(which), depth)]))
+
+    while True:
+        keep(windows, live[need[live] == depth])
+        more = left[live] > depth
+        keep(longest, live[~more])
+        live = live[more]
+        if not len(live):
+            return np.concatenate(windows, 1), np.concatenate(longest, 1)
         wanted = items.words[start_of[live] + depth]
-        first = _bisect(words, array, low[live], high[live], depth, wanted, False)
-        last = _bisect(words, array, first, high[live], depth, wanted, True)
+        _, one, of = np.unique(low[live] * (len(items.vocabulary) + 1) + wanted, return_index=True, return_inverse=True)
+        first = _bisect(words, array, low[live[one]], high[live[one]], depth, wanted[one], False)
+        last = _bisect(words, array, first, high[live[one]], depth, wanted[one], True)
+        first, last = first[of], last[of]
+        keep(longest, live[(last - first < high[live] - low[live]) & (depth >= need[live])])
         low[live], high[live] = first, last
-        depth += 1
         live = live[last > first]
-        whole = need[live] == depth
-        found.append(live[whole])
-        live = live[~whole]
-    hit = np.concatenate(found)
-    counts = high[hit] - low[hit]
+        depth += 1
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which interval, place in the array) of all places of intervals."""
+    counts = high - low
     ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    places = array[np.repeat(low[hit] - (ends - counts), counts) + np.arange(total)]
-    return at[places], np.repeat(start_of[hit], counts), np.repeat(need[hit], counts)
+    of = np.repeat(np.arange(len(low)), counts)
+    return of, np.arange(len(of)) - np.repeat(ends - counts - low, counts)
+
+
+def item_sets(doc: np.ndarray, array: np.ndarray, windows: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) pairs with a window in common. ``doc``: the document of each place of the array.
+
+    Items that share an interval are one set, and a document meets a set once, so that
+    what many items have in common isn't multiplied by its occurrences.
+    """
+    order = np.lexsort((items.item[windows[0]], windows[2], windows[1], windows[3]))
+    word, low, high, depth = windows[:, order]
+    fresh = np.ones(len(word), bool)
+    fresh[1:] = (np.diff(low) != 0) | (np.diff(high) != 0) | (np.diff(depth) != 0)
+    first = np.flatnonzero(fresh)
+    sets: dict[bytes, int] = {}
+    members = [np.unique(items.item[w]) for w in np.split(word, first[1:])]
+    of_interval = np.array([sets.setdefault(m.tobytes(), len(sets)) for m in members], np.int64)
+    of, place = _spread(low[first], high[first])
+    docs, n = int(doc.max()) + 1, len(items.lengths)
+    which, met = np.divmod(np.unique(of_interval[of] * docs + doc[place]), docs)
+    several = [np.frombuffer(m, np.int64) for m in sets]
+    sizes = np.array([len(m) for m in several], np.int64)
+    return np.divmod(np.unique(np.repeat(met, sizes[which]) * n + np.concatenate([several[s] for s in which.tolist()])), n)
 
 
 def scan_slice(several: list[str], blocks: Iterator[Items]) -> list[tuple[int, int, list[str], bool, list[dict]]]:
@@ -143,26 +175,49 @@ def scan_slice(several: list[str], blocks: Iterator[Items]) -> list[tuple[int, i
     names: list[set[str]] = [set() for _ in several]
     matches: list[list[dict]] = [[] for _ in several]
     for items in blocks:
+        least = items.least()
+        if not least:
+            continue
         ids = np.zeros(int(begin[-1]), np.int32)
         for w, b in zip(words, begin, strict=False):
             ids[b : b + len(w)] = list(map(items.vocabulary.get, w, repeat(0)))
-        place, word, length = occurrences(ids, items)
-        if not len(place):
+        zeros = np.flatnonzero(ids == 0)
+        run = np.diff(zeros, prepend=-1) - 1
+        at = np.flatnonzero(np.repeat(run, run + 1) >= least)
+        if not len(at):
+            continue
+        known = ids[at]
+        zeros = np.flatnonzero(known == 0)
+        array = suffix_array(known, zeros[np.searchsorted(zeros, np.arange(len(known)))], int(items.lengths.max()))
+        windows, longest = search(known, array, items)
+        if not windows.shape[1]:
             continue
-        np.add.at(hit, place, 1)
-        np.add.at(hit, place + length, -1)
-        item, inside = items.item[word], items.place[word]
-        order = np.lexsort((place, place - inside, item))
-        place, item, inside, length = place[order], item[order], inside[order], length[order]
-        fresh = np.ones(len(place), bool)
-        fresh[1:] = (np.diff(item) != 0) | (np.diff(place - inside) != 0) | (np.diff(place) != 1)
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(place)) - 1
-        doc = np.searchsorted(begin, place[first], "right") - 1
-        for d, i, p, q, n in zip(doc.tolist(), item[first].tolist(), (place[first] - begin[doc]).tolist(), inside[first].tolist(), (place[last] - place[first] + length[last]).tolist(), strict=True):
+        for length in np.unique(windows[3]).tolist():  # a window's length is that of a short item, or WINDOW
+            low, high = windows[1:3, windows[3] == length]
+            edges = np.zeros(len(array) + 1, np.int64)
+            np.add.at(edges, low, 1)
+            np.add.at(edges, high, -1)
+            place = at[array[np.cumsum(edges)[:-1] > 0]]
+            hit[place] += 1
+            hit[place + length] -= 1
+        doc = np.searchsorted(begin, at[array], "right") - 1
+        for d, i in zip(*(x.tolist() for x in item_sets(doc, array, windows, items)), strict=True):
             if items.names[i] is not None:
                 names[d].add(items.names[i])
-            matches[d].append({"item_id": items.names[i], "item_word": q, "word": p, "words": n})
+        # each place's longest match; a place that only continues the one before it has none of its own
+        _, one = np.unique(longest[[3, 1, 2]], axis=1, return_index=True)
+        length, word = np.zeros(len(array), np.int64), np.zeros(len(array), np.int64)
+        for w, low, high, n in longest[:, one].T.tolist():  # the deepest last
+            length[low:high], word[low:high] = n, w
+        by_place = np.zeros(len(ids) + 1, np.int64)
+        found = np.flatnonzero(length)
+        by_place[at[array[found]] + 1] = length[found]
+        own = found[by_place[at[array[found]]] <= length[found]]
+        own = own[np.argsort(at[array[own]])]
+        place = at[array[own]]
+        for d, p, w, n in zip(doc[own].tolist(), (place - begin[doc[own]]).tolist(), word[own].tolist(), length[own].tolist(), strict=True):
+            i = int(items.item[w])
+            matches[d].append({"item_id": items.names[i], "item_word": int(items.place[w]), "word": p, "words": n})
     covered = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
     hits = covered[begin[1:]] - covered[begin[:-1]]
     return [(int(n), int(h), sorted(x), bool(h), m) for n, h, x, m in zip(sizes, hits, names, matches, strict=True)]
@@ -185,7 +240,8 @@ _MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.in
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: ``row`` (struct of all its columns), n_words, n_hit, items, contaminated, matches.
 
-    ``items``: ids as strings, in order; ``matches``: the longest verbatim matches of a window or more, with the first word's place in both texts.
+    ``items``: ids as strings, in order; ``matches``: the longest verbatim match at each place where a window or more
+    begins that doesn't just continue the match before it, with one item that has it and the first word's place in both texts.
     """
     broadcasts = _blocks(items, item_id, item_text, window, block_bytes)
     source, at = with_row(docs, text)
@@ -202,6 +258,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
             else:
                 for b in broadcasts:
                     yield Items(b.value, window)
+                    vars(b).pop("_value", None)  # a worker would keep every block that it has loaded
 
         for b in slices(batches, at, SHARD_BYTES):
             found = scan_slice(texts(b, at), blocks())
