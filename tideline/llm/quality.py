@@ -1,15 +1,20 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models are counted: one of the target texts (labelled good),
-one of all raw texts. A text's log weight is the mean, over its n-grams of
-bytes, of log(target / raw), times a standard length; Gumbel noise is added and
-the k largest stay, which samples k texts without replacement in proportion to
-their weights. k is the number of texts whose weight is not below that of
-nearly all good texts of a held-out part of the labels.
+one of all raw texts. The log weight of a passage is the sum, over its n-grams
+of bytes, of log(target / raw); a text's is that of its worst passage of
+``WINDOW`` n-grams, as a mean over the whole text would let a few bad words in
+a long good text pass. Gumbel noise is added as it is (temperature 1), and the
+k largest stay, which samples k texts without replacement in proportion to
+their weights: far from the threshold that decides nothing, near it by chance.
+k is the number of texts whose weight is not below that of nearly all good
+texts of a held-out part of the labels.
 
 The raw model counts every n-gram of every text; each task adds up its own
 counts, so a shuffle carries at most the number of buckets from each task, and
-the driver gets the sums of the buckets only. The k-th largest value is found
+the driver gets the sums of the buckets only. A bucket's ratio is drawn to 1 by
+``PRIOR`` expected grams, so that rare n-grams tell little. Ratios are whole
+multiples of 1 / ``SCALE``, so that sums don't depend on how texts are cut into slices. The k-th largest value is found
 by counting in bins and narrowing them, without a sort; ties with it stay.
 
 Labels are joined from a bounded sample (``LABELLED``, a documented bound): half
@@ -34,9 +39,10 @@ from tideline.llm import scratch
 from tideline.llm.batches import slices, texts, with_row
 
 #: Bytes of an n-gram; hash buckets; labelled rows used at most, about.
-N, BUCKETS, LABELLED = 5, 1 << 18, 50_000
-#: Grams of the standard length that weights refer to; good texts that k leaves out.
-LENGTH, LOSS = 1000, 0.005
+N, BITS, LABELLED = 5, 20, 50_000
+BUCKETS = 1 << BITS
+#: Grams of a passage; expected grams that draw a ratio to 1; steps of a ratio; share of good texts that k leaves out.
+WINDOW, PRIOR, SCALE, LOSS = 16, 2.0, 1 << 16, 0.005
 #: Bytes of texts whose n-grams are looked at together; a gram takes some 60 bytes meanwhile.
 SLICE = 1 << 20
 #: Bins of one narrowing step, and values that are looked at one by one.
@@ -55,7 +61,7 @@ def grams(several: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h = h * np.uint64(257) + data[i : len(data) - N + 1 + i]
     begin = np.cumsum(sizes) - sizes
     inside = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return ((h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64), counts
+    return ((h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64), counts
 
 
 def _bytes(batch: pa.RecordBatch, column: str = "__text") -> list[bytes]:
@@ -64,18 +70,19 @@ def _bytes(batch: pa.RecordBatch, column: str = "__text") -> list[bytes]:
 
 @dataclass
 class Model:
-    """log(target / raw) of each bucket, the least value that stays, and how many that are."""
+    """SCALE * log(target / raw) of each bucket, the least value that stays, how many that are, and all rows' weights (__key, log_weight, value)."""
 
     ratio: np.ndarray
     threshold: float
     k: int
+    weights: DataFrame
 
 
 def _labelled(labels: DataFrame, key: str) -> DataFrame:
     """(__key, __part): 1 target, 2 held out; at most about LABELLED rows, one per key, good ones only."""
     rows = labels.where("quality is not null").groupBy(F.col(key).alias("__key")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")).alias("good"))
     n = rows.count()
-    some = F.pmod(F.xxhash64("__key"), F.lit(1_000_000)) < int(min(1.0, LABELLED / max(1, n)) * 1_000_000)
+    some = F.xxhash64("__key") < F.lit(min(int(LABELLED / max(1, n) * 2**64) - 2**63, 2**63 - 1))  # a 64-bit threshold, whatever n is
     return rows.where(some & (F.col("good") == 1) & F.col("__key").isNotNull()).select("__key", (F.pmod(F.xxhash64(F.lit("part"), "__key"), F.lit(2)) + 1).cast("int").alias("__part"))
 
 
@@ -103,17 +110,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
-    if not target.sum():
-        return Model(np.zeros(BUCKETS), -np.inf, docs.count())
-    prior = raw + 1  # the target model falls back on the raw one
-    ratio = np.log((target + prior / prior.sum() * BUCKETS * target.sum() / raw.sum()) / (target.sum() * (1 + BUCKETS / raw.sum()))) - np.log(prior / prior.sum())
+    share = target.sum() / max(raw.sum(), 1)
+    ratio = np.round(SCALE * np.log((target + PRIOR) / (raw * share + PRIOR))).astype(np.int64) if share else np.zeros(BUCKETS, np.int64)
     weights = scratch.table(_weigh(source, ratio).withColumn("value", F.col("log_weight") + _gumbel("__key")), "weights")
     held = weights.join(part.where("__part = 2"), "__key")
-    low = held.agg(F.percentile_approx("log_weight", F.lit(LOSS), F.lit(100_000)).alias("low")).first()["low"]
+    low = held.agg(F.percentile_approx("log_weight", F.lit(LOSS), F.lit(100_000)).alias("low")).first()["low"] if share else None
     if low is None:
-        return Model(ratio, -np.inf, weights.count())
+        return Model(ratio, -np.inf, weights.count(), weights)
     k = weights.where(F.col("log_weight") >= low).count()
-    return Model(ratio, kth_largest(weights, "value", k), k)
+    return Model(ratio, kth_largest(weights, "value", k), k, weights)
 
 
 def kth_largest(df: DataFrame, value: str, k: int) -> float:
@@ -154,10 +159,22 @@ def _weigh(source: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def weights_of(several: list[bytes], ratio: np.ndarray) -> np.ndarray:
+    """The log weight of each text's worst passage."""
     bucket, n = grams(several)
-    sums = np.concatenate([[0.0], np.cumsum(ratio[bucket])])
-    ends = np.cumsum(n)
-    return np.round(LENGTH * (sums[ends] - sums[ends - n]) / np.maximum(n, 1), 6)
+    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(ratio[bucket])])
+    begin = np.cumsum(n) - n
+    out = sums[begin + n] - sums[begin]  # texts of one passage
+    long = np.flatnonzero(n > WINDOW)
+    if len(long):
+        passages = np.append(sums[WINDOW:] - sums[:-WINDOW], 0)
+        ends = np.stack([begin[long], begin[long] + n[long] - WINDOW + 1], 1).ravel()
+        out[long] = np.minimum.reduceat(passages, ends)[::2]
+    return out / SCALE
+
+
+def resampled(model: Model, key: str = "doc_id") -> DataFrame:
+    """One row per document: the key, log_weight, value (with Gumbel noise), keep; without its text."""
+    return model.weights.select(F.col("__key").alias(key), "log_weight", "value", (F.col("value") >= model.threshold).alias("keep"))
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
