@@ -4,8 +4,8 @@ Documents with the same text are a group; a group is a vector of rows, bytes
 and tokens. Each group goes to the shard where the dot product of its vector
 with the shard's residual capacity is highest, largest groups first.
 
-Groups of more than a small share of a shard are split into pieces by the
-documents' hash, each with its own measured vector; such groups are few, as
+Groups of more than a small share of a shard are split into pieces by a number
+of each row, whatever its key, each with its own measured vector; such groups are few, as
 their shares add up to 1. Groups are dealt to buckets by hash; a bucket has a
 capacity of its share in every shard, and is packed by one task in bounded
 memory. So no task sees all groups. Pieces of more than ``LARGE`` of a bucket's
@@ -15,7 +15,7 @@ what capacity they leave, so that balance in each is balance of the whole.
 Slots number a shard's rows without gaps: a running number within the bucket, on top of the rows that earlier buckets put into the shard.
 
 The law that holds is ``bytes``: shards' sizes are nearly equal. Size is the
-text's UTF-8 bytes plus 1. Null texts count as empty. Repeated rows and null
+text's UTF-8 bytes plus 1; tokens are words unless the caller has other counts. Null texts count as empty. Repeated rows and null
 keys are placed like others.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,11 +48,11 @@ def pack(vectors: np.ndarray, shards: int, first: int = 0, capacity: np.ndarray
     return out
 
 
-def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16) -> DataFrame:
-    """One row per document: key, size, text_crc32, tokens, shard, slot."""
+def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16, tokens: Column | None = None) -> DataFrame:
+    """One row per document: key, size, text_crc32, tokens, shard, slot. ``tokens``: each row's number of tokens; else its words are counted."""
     body = F.coalesce(F.col(text), F.lit(""))
-    blanks = sum(F.octet_length(body) - F.octet_length(F.replace(body, F.lit(c), F.lit(""))) for c in (" ", "\n"))
-    rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), (blanks + 1).cast("long").alias("tokens"), F.xxhash64(body).alias("group"))
+    tokens = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")) if tokens is None else F.coalesce(tokens, F.lit(0))
+    rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), tokens.cast("long").alias("tokens"), F.xxhash64(body).alias("group"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.table(rows, "digests")
     group = ["group", "crc", "size"]
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
@@ -60,8 +60,8 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     large = rows.groupBy(*group).agg((F.count("*") * F.col("size")).alias("bytes")).where(F.col("bytes") > piece)
     large = large.select(*group, F.ceil(F.col("bytes") / (piece or 1)).alias("pieces"))  # fewer than shards / PIECE rows
     buckets = int(max(1, min(FEW_BUCKETS, total["n"] // LEAST_ROWS), total["n"] // MOST_ROWS))
-    rows = rows.join(F.broadcast(large), group, "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("key"), F.col("pieces"))).otherwise(0))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group", "crc", "piece"), F.lit(buckets))).drop("pieces")
+    rows = rows.join(F.broadcast(large), group, "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("row"), F.col("pieces"))).otherwise(0))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group", "crc", "piece"), F.lit(buckets))).drop("pieces", "row")
     capacity = None
     rows = rows.withColumn("to", F.lit(None).cast("int"))
     if buckets > 1:
