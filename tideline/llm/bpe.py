@@ -4,21 +4,23 @@ A text is split by the public pattern; each distinct piece is encoded once per
 worker. Pieces that are no token themselves are put into padded matrices, one
 for each power-of-two length. In each round every row merges its leftmost pair
 of the least rank; ranks of pairs come from an open-addressing hash table, and
-a row is compacted by dropping the one cell that its merge has freed. Rows
-without a pair left leave the matrix. Pieces over ``LONG`` bytes take the same
-merges by a heap over a linked list, as a matrix would need time with the
-square of their length.
+a row is compacted by dropping the cells that its merges have freed. Rows
+without a pair left leave the matrix. As that takes as many rounds as a piece
+has merges, the matrix of pieces over ``LONG`` bytes takes the rounds that
+merge one pair after the other of one rank together, from left to right; if
+that made a pair of lower rank, which then would be next, only the leftmost is merged.
 
 Null texts count as empty and have no ids. Repeated rows are kept as they are.
+A text's pieces are looked at ``PIECES`` at a time, so that memory stays with the text's own size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from tideline.llm.batches import at_end, slices, texts
 
-#: Bytes from which a piece is merged by the heap.
+#: Bytes of a piece beyond which rounds of one rank are taken together.
 LONG = 512
+#: Pieces of a text that are looked up together.
+PIECES = 1 << 18
 #: Distinct pieces that a worker remembers; a full memory is emptied.
 REMEMBERED = 200_000
 #: Cells of one matrix.
@@ -77,7 +81,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -90,12 +94,16 @@ class Codec:
         self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of at most LONG bytes."""
+        """Ids of pieces."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
         lengths = np.array([len(p) for p in pieces])
         width = 2
         while True:
             of_width = np.flatnonzero((lengths <= width) & (lengths > (width // 2 if width > 2 else 0)))
+            if width > LONG:
+                for i in of_width.tolist():
+                    out[i] = self._merge_long(pieces[i])
+                of_width = of_width[:0]
             for at in range(0, len(of_width), max(1, CELLS // width)):
                 self._merge_rows([int(i) for i in of_width[at : at + max(1, CELLS // width)]], pieces, width, out)
             if not len(lengths) or width >= lengths.max():
@@ -129,28 +137,30 @@ class Codec:
                 ok = (side >= 0) & (side < rank.shape[1])
                 rank[every[ok], side[ok]] = self.pairs.get(cells[every[ok], side[ok]], cells[every[ok], side[ok] + 1])
 
-    def _joined(self, left: int, right: int) -> int | None:
-        return self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-
-    def heap(self, piece: bytes) -> np.ndarray:
-        """Ids of a long piece: the same merges, in time n log n."""
-        ids: list[int] = [int(x) for x in self.single[np.frombuffer(piece, np.uint8)]]
-        n = len(ids)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        waiting = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self._joined(ids[i], ids[i + 1])) is not None]
-        heapq.heapify(waiting)
-        while waiting:
-            r, i, a, b = heapq.heappop(waiting)
-            j = after[i]
-            if not live[i] or j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], live[j], after[i] = r, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (s := self._joined(ids[x], ids[y])) is not None:
-                    heapq.heappush(waiting, (s, x, ids[x], ids[y]))
-        return np.array([x for x, ok in zip(ids, live, strict=True) if ok], np.int32)
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of a piece: a matrix of one row, the rounds of one rank together."""
+        cells = self.single[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs.get(cells[:-1], cells[1:])
+        while len(rank) and (least := rank.min()) != NO_PAIR:
+            at = np.flatnonzero(rank == least)
+            begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]  # pairs that overlap: every other one, from the left
+            merged, ranks = self._round(cells, rank, at, least)
+            if len(ranks) and ranks.min() < least:
+                merged, ranks = self._round(cells, rank, at[:1], least)
+            cells, rank = merged, ranks
+        return cells
+
+    def _round(self, cells: np.ndarray, rank: np.ndarray, at: np.ndarray, token: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, ranks) once the pairs at ``at`` have become ``token``."""
+        cells = cells.copy()
+        cells[at] = token
+        cells, rank = np.delete(cells, at + 1), np.delete(rank, at)
+        here = at - np.arange(len(at))
+        beside = np.unique(np.concatenate([here - 1, here]))
+        beside = beside[(beside >= 0) & (beside < len(rank))]
+        rank[beside] = self.pairs.get(cells[beside], cells[beside + 1])
+        return cells, rank
 
     def _learn(self, new: list[str]) -> None:
         coded = [p.encode() for p in new]
@@ -159,8 +169,6 @@ class Codec:
         for i, b in enumerate(coded):
             if (whole := self.ranks.get(b)) is not None:
                 got[i] = np.array([whole], np.int32)
-            elif len(b) > LONG:
-                got[i] = self.heap(b)
             else:
                 short.append(b)
                 where.append(i)
@@ -173,20 +181,34 @@ class Codec:
 
     def encode(self, several: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        pieces = [self.split(x) for x in several]
+        out: list[list[np.ndarray]] = [[] for _ in several]
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+        for i, x in enumerate(several):
+            found = self.pattern.finditer(x) if len(x) > PIECES else iter(())
+            pieces = self.pattern.findall(x) if len(x) <= PIECES else [m[0] for m in islice(found, PIECES)]
+            while pieces:
+                held.append((i, pieces))
+                n += len(pieces)
+                if n >= PIECES:
+                    self._look_up(held, out)
+                    held, n = [], 0
+                pieces = [m[0] for m in islice(found, PIECES)]
+        self._look_up(held, out)
+        return [x[0] if len(x) == 1 else np.concatenate([np.empty(0, np.int32), *x]) for x in out]
+
+    def _look_up(self, held: list[tuple[int, list[str]]], out: list[list[np.ndarray]]) -> None:
+        """Add the ids of (index of a text, pieces)."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = set().union(*pieces) - self.known.keys() if pieces else set()
+        new = set().union(*(p for _, p in held)) - self.known.keys()
         if new:
             self._learn(sorted(new))
-        out = []
-        for p in pieces:
+        for i, p in held:
             index = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
             lengths = self.length[index]
             ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[index] - (ends - lengths), lengths) + np.arange(total)])
-        return out
+            out[i].append(self.flat[np.repeat(self.start[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]))])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
