@@ -13,7 +13,7 @@ from tideline.llm.chat_format import preference_pairs
 from tideline.llm.decontaminate import find_contamination
 from tideline.llm.line_dedup import line_dedup
 from tideline.llm.ngram_join import ngram_components
-from tideline.llm.quality import classify, fit
+from tideline.llm.quality import fit, resampled
 from tideline.llm.sharding import shard
 from tideline.llm.substring import passages
 from tideline.llm.tiff import tiff_digests, to_tiff
@@ -47,8 +47,7 @@ def op4_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    few = documents.select("doc_id", "text")
-    return classify(few, fit(few, labels)).select("row.doc_id", "log_weight", "value", "keep")
+    return resampled(fit(documents, labels))
 
 
 def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +93,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP3_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_OP2_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_OP2_WORDS}, []) AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+e AS (SELECT r, len(g) AS n, unnest(g) AS t FROM s),
+p AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (n + m - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT r, r FROM s UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a)
+SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.g)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach ON reach.a = s.r JOIN s o ON o.r = reach.b GROUP BY s.r""",
     "op3_decontamination": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_OP3_WORDS.format("text")}, []) AS w FROM documents),
 items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_OP3_WORDS.format("text")} AS w FROM benchmark) WHERE len(w) > 0),
@@ -122,9 +133,9 @@ SELECT pair_id, array_to_string(['<|' || x.role || '|>' || chr(10) || x.text ||
 FROM r""",
     "op10_line_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT DISTINCT source, text, trim(line) AS line FROM (SELECT source, text, unnest(ls) AS line FROM d WHERE source IS NOT NULL) WHERE trim(line) <> ''),
-n AS (SELECT source, count(DISTINCT text) AS n FROM d WHERE source IS NOT NULL GROUP BY source),
-b AS (SELECT source, list(line) AS bad FROM (SELECT l.source, l.line, count(*) AS c, any_value(n.n) AS n FROM l JOIN n ON l.source = n.source GROUP BY l.source, l.line) WHERE c >= 3 AND c > n * 0.1 GROUP BY source),
+l AS (SELECT DISTINCT source, r, trim(line) AS line FROM (SELECT source, r, unnest(ls) AS line FROM d WHERE source IS NOT NULL) WHERE trim(line) <> ''),
+n AS (SELECT source, count(*) AS n FROM d WHERE source IS NOT NULL GROUP BY source),
+b AS (SELECT source, list(line) AS bad FROM (SELECT l.source, l.line, count(*) AS c, any_value(n.n) AS n FROM l JOIN n ON l.source = n.source GROUP BY l.source, l.line) WHERE c >= 2 AND c > n * 0.1 GROUP BY source),
 k AS (SELECT d.*, bad, [x FOR x IN ls IF trim(x) = '' OR NOT list_contains(bad, trim(x))] AS kept_lines FROM d LEFT JOIN b ON d.source = b.source)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN bad IS NULL OR text IS NULL THEN 0 ELSE len(ls) - len(kept_lines) END AS BIGINT) AS n_dropped,
   CASE WHEN bad IS NULL THEN text ELSE array_to_string(kept_lines, chr(10)) END AS kept

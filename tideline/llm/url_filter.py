@@ -36,6 +36,8 @@ RULES = [
 ]
 #: Most distinct labelled urls that the trees are trained from, about.
 SAMPLE = 20_000
+#: Folds of the training urls' suffix statistics.
+FOLDS = 5
 #: Most rules that are judged within the row.
 MOST_RULES = 500
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "dash_count", "entropy", "parameters", "fragment", "suffix_rate", "suffix_weight"]
@@ -105,17 +107,23 @@ def train(labelled: DataFrame, url: str = "url", label: str = "blocked", sample:
     rows = scratch.table(rows.groupBy("url").agg(F.max("label").alias("label")), "labelled")
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
     share = min(1.0, sample / max(1, n["n"]))
-    some = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = rows.where(F.xxhash64("url") < F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)))  # a 64-bit threshold, whatever n is
     host, path = parse(F.col("url"))
     some = scratch.table(lexical(some.withColumns({"host": host, "path": path}), "url", "host", "path").coalesce(4), "features")
     prior = n["bad"] / n["n"] if n["n"] else 0.0
     weight = F.count("*").cast("double")
-    suffixes = some.groupBy("suffix").agg(((F.sum("label") + 4 * prior) / (weight + 4)).alias("suffix_rate"), F.log1p(weight).alias("suffix_weight"))
+    rate = lambda bad, n: (bad + 4 * prior) / (n + 4)
+    suffixes = some.groupBy("suffix").agg(rate(F.sum("label"), weight).alias("suffix_rate"), F.log1p(weight).alias("suffix_weight"))
     suffixes = scratch.table(suffixes, "suffixes")
     kinds = some.select("label").distinct().count()
     if kinds < 2:
         return UrlModel(None, suffixes, prior, "block" if prior > 0.5 else "allow")
-    table = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(_with_suffixes(some, suffixes, prior)).select("vector", "label")
+    # a training url's suffix rate leaves out the urls of its own fold, or its label would leak into its features
+    some = some.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)))
+    parts = some.groupBy("suffix", "fold").agg(F.sum("label").alias("bad"), weight.alias("n"))
+    whole = parts.groupBy("suffix").agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
+    others = parts.join(whole, "suffix").select("suffix", "fold", rate(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")).alias("suffix_rate"), F.log1p(F.col("all_n") - F.col("n")).alias("suffix_weight"))
+    table = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(some.join(others, ["suffix", "fold"])).select("vector", "label")
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=7).fit(table)
     return UrlModel(model, suffixes, prior, "")
 
@@ -138,7 +146,12 @@ def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] =
 
 
 def labelled_by_rules(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
-    """(url, blocked): the urls that a rule judges, labelled by it."""
+    """(url, blocked): the urls that a rule judges, labelled by it.
+
+    For tables without labels of their own. What the trees can learn from these
+    is how blocked and allowed urls look, not the rules: paths are known to them
+    by length, depth and digits only.
+    """
     host, path = parse(F.col("url"))
     rows = pages.select(F.col(url).alias("url")).withColumns({"host": host, "path": path})
     return rows.select("url", (rule_of(F.col("host"), F.col("path"), rules)[1] == "block").cast("int").alias("blocked")).where("blocked is not null")
