@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -11,12 +13,12 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tideline.llm import quality
+from tideline.llm import bpe, quality
 from tideline.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, codec
 from tideline.llm.chat_format import preference_pairs
 from tideline.llm.queries import QUERIES, RANKS
 from tideline.llm.sharding import pack, shard
-from tideline.llm.tiff import COMPRESSIONS, encode_tiff, lzw_decode, pad, tiff_digests, tiff_pages, to_tiff, unpack_bits, walk
+from tideline.llm.tiff import COMPRESSIONS, DAMAGE, FORMS, encode_tiff, lzw_decode, pad, tiff_digests, tiff_pages, to_tiff, unpack_bits, walk
 from tideline.llm.url_filter import RULES, entropy, judge, labelled_by_rules, train
 
 LONG = "x" * 700 + " " + "йцукен" * 300 + " " + "日本語" * 200
@@ -64,10 +66,27 @@ def test_url_trees_learn(spark):
     held = spark.createDataFrame(make(300, 400), "url string, blocked int")
     got = judge(held, model, keep=("url", "blocked")).collect()
     assert np.mean([(r.verdict == "block") == bool(r.blocked) for r in got]) > 0.95
+    again = judge(held, train(spark.createDataFrame(make(0, 300), "url string, blocked int"), trees=5), keep=("url", "blocked")).collect()
+    assert {(r.url, r.verdict, round(r.score, 9)) for r in got} == {(r.url, r.verdict, round(r.score, 9)) for r in again}
     e = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "u string").select(entropy(F.col("u"))).collect()
     assert [round(r[0], 9) for r in e] == [1.0, 0.0, 2.0]
 
 
+def test_url_labels_of_rules(spark):
+    """What trees trained from the rules' verdicts know of urls that they haven't seen, without the rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = labelled_by_rules(pages).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(3)) == 0).cache()
+    model = train(rows.where("not held"))
+    got = judge(rows.where("held"), model, rules=[], keep=("url", "blocked")).toPandas()
+    right = float(((got["verdict"] == "block") == (got["blocked"] == 1)).mean())
+    usual = float(max(got["blocked"].mean(), 1 - got["blocked"].mean()))
+    rank = got["score"].rank()
+    bad = got["blocked"] == 1
+    auc = float((rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum()))
+    print("held-out urls", len(got), "right", right, "always the usual verdict", usual, "auc", auc)
+    assert auc > 0.6 and right > usual - 0.05
+
+
 def test_quality(spark):
     good = [(i, f"the river and the town were quiet that morning {i} and people walked on") for i in range(200)]
     bad = [(1000 + i, f"BUY!! NOW!! $$$ {i} CLICK!! ### CHEAP!!") for i in range(60)]
@@ -78,7 +97,7 @@ def test_quality(spark):
     rows = quality.classify(df, model).collect()
     assert len(rows) == len(good + bad + odd)
     kept = {r["row"]["doc_id"]: r["keep"] for r in rows}
-    assert np.mean([kept[i] for i, _ in good]) > 0.85 and not any(kept[i] for i, _ in bad)
+    assert np.mean([kept[i] for i, _ in good]) > 0.85 and np.mean([kept[i] for i, _ in bad]) < 0.2
     raw, target = np.zeros(quality.BUCKETS), 0
     for _, t in good + bad + odd:
         bucket, n = quality.grams([(t or "").encode()])
@@ -101,12 +120,42 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "v", 3000) == float("-inf") and quality.kth_largest(df, "v", 0) == float("inf")
 
 
+def test_quality_weights():
+    """A text's weight is the least sum of a passage's ratios, whatever it is cut together with."""
+    r = random.Random(3)
+    ratio = np.array([r.randrange(-200_000, 60_000) for _ in range(quality.BUCKETS)], np.int64)
+    several = ["".join(r.choice("abc é") for _ in range(r.choice([0, 3, 5, 12, 20, 21, 300]))).encode() for _ in range(60)]
+    want = []
+    for x in several:
+        values = ratio[quality.grams([x])[0]].tolist()
+        sums = [sum(values[i : i + quality.WINDOW]) for i in range(max(1, len(values) - quality.WINDOW + 1))]
+        want.append(min(sums) / quality.SCALE)
+    assert quality.weights_of(several, ratio).tolist() == want
+    assert [quality.weights_of([x], ratio)[0] for x in several] == want
+
+
+def test_quality_samples(spark):
+    """Near the threshold the noise decides, in proportion to the weights; far from it, it doesn't."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), (-F.col("id") / 2000.0).alias("log_weight"))
+    rows = rows.withColumn("value", F.col("log_weight") + quality._gumbel("doc_id"))
+    model = quality.Model(np.zeros(0), quality.kth_largest(rows, "value", 10_000), 10_000, rows.withColumnRenamed("doc_id", "__key"))
+    got = quality.resampled(model).toPandas().sort_values("doc_id")
+    assert got["keep"].sum() == 10_000
+    top = got["doc_id"] < 10_000
+    assert 500 < (got["keep"] & ~top).sum() < 5000  # not the top k
+    share = got.groupby(got["doc_id"] // 2000)["keep"].mean()
+    assert share.iloc[0] > 0.99 and share.iloc[-1] < 0.01 and (share.diff().dropna() < 0.03).all()
+    expected = 1 - np.exp(-np.exp(got["log_weight"] - model.threshold))
+    assert abs(expected.sum() - 10_000) < 300
+
+
 def test_quality_held_out(spark):
-    """On labels that the target model hasn't seen, low quality goes and clean text stays."""
-    sf = "/root/testdata/sf0.01"
-    got = QUERIES["op5_quality_resampling"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept"))
+    """On labels that the target model hasn't seen, low quality and most toxic texts go and clean text stays."""
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op5_quality_resampling"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept"), F.count("*").alias("n"))
     kept = {(r.quality, r.toxic): r.kept for r in got.collect()}
-    assert kept[1, 0] > 0.97 and kept[0, 0] < 0.15
+    print(kept)
+    assert kept[1, 0] > 0.985 and kept[0, 0] < 0.05 and kept[1, 1] < 0.5 and kept[0, 1] < 0.05
 
 
 def test_sharding(spark):
@@ -128,6 +177,24 @@ def test_pack_balances_jointly():
     to = pack(v, 16)
     sums = np.stack([np.bincount(to, v[:, k], 16) for k in range(3)])
     assert (sums.max(1) / sums.mean(1) < 1.05).all()
+    small = v[:300]  # by plain loops
+    shares = small / small.sum(0)
+    left, want = [[1 / 16] * 3 for _ in range(16)], [0] * len(small)
+    for i in sorted(range(len(small)), key=lambda i: -max(shares[i])):
+        dots = [sum(a * b for a, b in zip(c, shares[i], strict=True)) for c in left]
+        want[i] = max(range(16), key=lambda s: (dots[s], -s))
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], shares[i], strict=True)]
+    assert pack(small, 16).tolist() == want
+
+
+def test_sharding_of_a_hot_group_without_keys(spark):
+    """Two thirds of the rows are copies of one text with one key, or none: sizes stay nearly equal, tokens and rows too."""
+    r = np.random.default_rng(5)
+    rows = [(None if i % 2 else 7, "hot text " * 30) for i in range(6000)] + [(100 + i, "word " * int(r.integers(20, 90))) for i in range(3000)]
+    placed = shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.sum("tokens").alias("tokens")).toPandas()
+    assert placed["n"].sum() == 9000 and (placed[["bytes", "n", "tokens"]].max() / placed[["bytes", "n", "tokens"]].mean() < 1.05).all()
+    given = shard(spark.createDataFrame([(1, "a b\tc"), (2, None)], "doc_id long, text string"), tokens=F.col("doc_id") * 10).toPandas()
+    assert sorted(given["tokens"]) == [10, 20] and sorted(shard(spark.createDataFrame([(1, "a b\tc"), (2, None)], "doc_id long, text string")).toPandas()["tokens"]) == [0, 3]
 
 
 def test_preference_pairs(spark):
@@ -160,10 +227,10 @@ def test_tiff_round_trip(name, predictor, tile):
 
 def test_tiff_known_codes():
     """PackBits' example of its description, LZW codes packed by hand, and a big-endian RGB page."""
-    assert unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 99) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
     codes = [256, 7, 258, 8, 8, 257]
     bits = "".join(f"{c:09b}" for c in codes)
-    assert lzw_decode(int(bits.ljust(56, "0"), 2).to_bytes(7, "big")) == bytes([7, 7, 7, 8, 8])
+    assert lzw_decode(int(bits.ljust(56, "0"), 2).to_bytes(7, "big"), 99) == bytes([7, 7, 7, 8, 8])
     pixels = np.arange(18, dtype=np.uint8).reshape(2, 3, 3)
     tags = [(256, 3, 1, 3 << 16), (257, 3, 1, 2 << 16), (259, 3, 1, 1 << 16), (273, 4, 1, 8), (277, 3, 1, 3 << 16), (278, 3, 1, 2 << 16), (279, 4, 1, 18)]
     data = b"MM\0*" + struct.pack(">I", 26) + pixels.tobytes() + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + b"\0\0\0\0"
@@ -185,9 +252,65 @@ def test_tiff_columns(spark):
     broken = [(0, None), (1, b""), (2, b"II*\0"), (3, bytes(whole[:-20])), (4, b"GIF89a"), (5, bytes(whole[:60]) + bytes(200) + bytes(whole[260:]))]
     got = tiff_pages(spark.createDataFrame(broken, "doc_id long, media binary")).collect()
     assert {r.doc_id for r in got} == {1, 2, 3, 4, 5} and all(r.error for r in got)
+    digests = {r.doc_id: r for r in tiff_digests(spark.createDataFrame(broken, "doc_id long, media binary"), keep=("doc_id",)).collect()}
+    assert (digests[0].media_bytes, digests[0].error) == (None, None) and all(digests[i].error and digests[i].payload_sha256 is None for i in range(1, 6))
+    assert digests[4].media_sha256 == hashlib.sha256(b"GIF89a").hexdigest()
     assert tiff_digests(to_tiff(df.limit(0), payload="text")).collect() == []
 
 
+def patched(data: bytes, tag: int, *, value: int | None = None, count: int | None = None) -> bytes:
+    """A little-endian file with another value or count of a tag of its first directory."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", out, 4)
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        place = at + 2 + 12 * k
+        if struct.unpack_from("<H", out, place)[0] == tag:
+            if count is not None:
+                struct.pack_into("<I", out, place + 4, count)
+            if value is not None:
+                struct.pack_into("<I", out, place + 8, value)
+    return bytes(out)
+
+
+def test_tiff_damage():
+    """Damaged files raise what the operators turn into an error, and no sample is given that the file lacks."""
+    r = random.Random(2)
+    payload = bytes(r.randrange(256) for _ in range(40_000))
+    for form in FORMS:
+        whole = encode_tiff(payload, COMPRESSIONS[form[0]], *form[1:])
+        cases = [patched(whole, t, value=v) for t in (256, 257, 259, 277, 278, 317, 322, 323) for v in (0, 3, 60_000, 1 << 31)]
+        cases += [patched(whole, t, count=c) for t in (256, 257, 273, 278, 279, 322, 324, 325) for c in (0, 1, 1 << 31)]
+        cases += [whole[: r.randrange(len(whole))] for _ in range(40)]
+        for _ in range(200):
+            spoilt = bytearray(whole)
+            for _ in range(r.choice([1, 5])):
+                spoilt[r.randrange(len(spoilt))] = r.randrange(256)
+            cases.append(bytes(spoilt))
+        for case in cases:
+            try:
+                for p in walk(case):
+                    assert p.samples.size == p.width * p.height * p.samples.shape[2] <= 1 << 28
+            except DAMAGE:
+                pass
+
+
+def test_tiff_forms_and_features(spark):
+    """All forms are met; equal texts have equal files and features; features by plain loops."""
+    texts = [f"{i} " + "some text " * (i % 60) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    stored = {r.doc_id: bytes(r.media) for r in to_tiff(df, payload="text").collect()}
+    assert {next(walk(m)).compression for m in stored.values()} == {5, 8, 32773} and len({zlib.crc32(t.encode()) % len(FORMS) for t in texts}) == len(FORMS)
+    for r in tiff_digests(to_tiff(df, payload="text")).collect():
+        assert r.media_sha256 == hashlib.sha256(stored[r.doc_id % 40]).hexdigest() and r.media_bytes == len(stored[r.doc_id])
+        grey = np.frombuffer(pad(texts[r.doc_id % 40].encode()), np.uint8).reshape(-1, 576)
+        n, bits = len(grey), ""
+        for i in range(8):
+            for j in range(8):
+                area = grey[i * n // 8 : max((i + 1) * n // 8, i * n // 8 + 1), j * 72 : j * 72 + 72].astype(int)
+                bits += "1" if area.sum() * grey.size > int(grey.sum(dtype=int)) * area.size else "0"
+        assert r.feature == f"576x{n}/{int(grey.sum(dtype=int)) // grey.size}/{int(bits, 2):016x}"
+
+
 def test_bpe(spark):
     c = codec(RANKS, public_tokenizers.PATTERN)
     with open(RANKS, "rb") as f:
@@ -210,11 +333,19 @@ def test_bpe(spark):
     assert bpe_round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
-def test_bpe_long_pieces_agree():
-    """The heap gives the matrices' ids."""
+def test_bpe_long_pieces_agree(monkeypatch):
+    """Rounds that are taken together give the ids of rounds one by one, and texts may come in several lots of pieces."""
     c = codec(RANKS, public_tokenizers.PATTERN)
-    for p in (b"the" * 100, bytes(range(256)), "слово".encode() * 40):
-        assert (c.heap(p) == c.matrix([p])[0]).all()
+    r = random.Random(1)
+    several = [b"the" * 100, bytes(range(256)), "слово".encode() * 40, b"a" * 400, *(bytes(r.choice(b"aabcnrest") for _ in range(300)) for _ in range(60))]
+    for p in several:
+        assert (c._merge_long(p) == c.matrix([p])[0]).all()
+    texts = [" ".join(f"word{i}" for i in range(50)), "x", "", "naïve text! " * 30]
+    want = [x.tolist() for x in c.encode(texts)]
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    assert [x.tolist() for x in c.encode(texts)] == want
+    began = time.perf_counter()
+    assert c.decode(c.encode(["hello" * 20_000])[0].tolist()) == b"hello" * 20_000 and time.perf_counter() - began < 20
 
 
 def test_sharding_of_large_texts(spark):

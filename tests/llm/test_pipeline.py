@@ -26,7 +26,7 @@ def brute_quality(spark, docs, labels):
             h = 0
             for c in b[i : i + 5]:
                 h = h * 257 + c
-            out.append((h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 46)
+            out.append((h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - quality.BITS)
         return out
 
     raw, target, of = Counter(), Counter(), []
@@ -35,12 +35,9 @@ def brute_quality(spark, docs, labels):
         raw.update(of[-1])
         if part.get(r.doc_id) == 1:
             target.update(of[-1])
-    n, t, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
-    ratio = {}
-    for g, c in raw.items():
-        p = (c + 1) / (n + b)
-        ratio[g] = math.log((target[g] + p * b * t / n) / (t * (1 + b / n))) - math.log(p)
-    weights = [round(1000 * sum(ratio[g] for g in x) / max(1, len(x)), 6) for x in of]
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {g: round(quality.SCALE * math.log((target[g] + quality.PRIOR) / (c * share + quality.PRIOR))) for g, c in raw.items()}
+    weights = [min(sum(ratio[g] for g in x[i : i + quality.WINDOW]) for i in range(max(1, len(x) - quality.WINDOW + 1))) / quality.SCALE for x in of]
     held = sorted(w for r, w in zip(rows, weights, strict=True) if part.get(r.doc_id) == 2)
     low = held[max(0, math.ceil(quality.LOSS * len(held)) - 1)]
     k = sum(w >= low for w in weights)
@@ -52,12 +49,12 @@ def brute_quality(spark, docs, labels):
 def brute_lines(rows):
     pages, counts = defaultdict(set), defaultdict(set)
     for r in rows:
-        if r.source is not None and r.text is not None:
+        if r.source is not None:
             pages[r.source].add(r.text)
-            for x in r.text.split("\n"):
+            for x in (r.text or "").split("\n"):
                 if x.strip(" "):
                     counts[r.source, x.strip(" ")].add(r.text)
-    bad = {k for k, v in counts.items() if len(v) >= 3 and len(v) > len(pages[k[0]]) * 0.1}
+    bad = {k for k, v in counts.items() if len(v) >= 2 and len(v) > len(pages[k[0]]) * 0.1}
     return [(r.doc_id, None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in bad)) for r in rows]
 
 
