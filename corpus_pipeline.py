@@ -38,9 +38,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their sources' boilerplate lines; n_chars follows the text."""
+    """All documents, without their sources' boilerplate lines; n_chars follows the text.
+
+    Copies count as one page: they are still there, and the lines of a document
+    with many copies would all go before the next stage can find them.
+    """
     row = F.col("row").withField("text", F.col("kept")).withField("n_chars", F.length("kept").cast("long"))
-    return line_dedup(docs).select(row.alias("row")).select("row.*")
+    return line_dedup(docs, copies_once=True).select(row.alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
