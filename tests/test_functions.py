@@ -18,13 +18,20 @@ from tideline.functions.sizes import format_size, parse_size, percent, scan_conf
     (["pu_location", "do_location", "trip_distance"], None, "pu_location"),
     (["pickup_zone", "dropoff_zone", "fare"], None, "pickup_zone"),
     (["vendor_id", "trip_distance", "fare_amount"], None, None),
-    (["pickup_longitude", "pickup_latitude"], None, "pickup_latitude"),
-    ([" PU Location ID ", 7], None, "PU Location ID"),
+    (["pickup_longitude", "pickup_latitude"], None, "pickup_longitude"),
+    ([" PU Location ID ", 7, None], None, " PU Location ID "),
+    (["pickup_zone", "pickup_location_id"], None, "pickup_zone"),
+    (["pickup_zone", "PULocationID"], None, "PULocationID"),
+    (["vendor", "pickup_place"], None, "pickup_place"),
+    (["start_location_id"], None, "start_location_id"),
+    (["trip_pickup_location"], None, "trip_pickup_location"),
+    (["Start_Lat", "Start_Lon"], None, None),
+    (["pickup_flat_rate", "pickup_latitude"], None, "pickup_latitude"),
 ])
 def test_columns(names, datetime, location):
     assert C.find_datetime_column(names) == datetime
     assert C.find_location_column(names) == location
-    if location == "pickup_latitude":
+    if location in ("pickup_latitude", "pickup_longitude"):
         assert C.find_location_column(names, strict=True) is None
 
 
@@ -37,6 +44,8 @@ def test_common_schema_and_normalize(spark):
         C.normalize_trips(df, {"taxi_type": "kind"})
     fares = spark.createDataFrame([(1, 1, 1, 1, 1)], "lpep_pickup_datetime int, lpep_dropoff_datetime int, Trip_Distance int, fare_amount int, other int")
     assert C.normalize_fares(fares).columns == ["pickup_datetime", "dropoff_datetime", "trip_distance", "fare_amount"]
+    other = spark.createDataFrame([(1,) * 9], "trip_pickup_datetime int, dropoff_datetime int, trip_dist int, fare_amt int, pax_count int, pickup_place int, surcharge_fare_x int, passenger_name int, fare int")
+    assert C.normalize_fares(other).columns == ["pickup_datetime", "dropoff_datetime", "trip_distance", "fare_amount", "passenger_count", "pickup_location"]
     with pytest.raises(ValueError, match="fare_amount"):
         C.normalize_fares(fares.drop("fare_amount"))
     assert C.normalize_classifier(fares, 1).columns[:2] == ["raw_pickup_datetime", "raw_dropoff_datetime"]

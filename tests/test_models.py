@@ -38,8 +38,8 @@ def test_pca(spark, wide, tmp_path):
     direct = (x - x.mean(0)) @ v[:, 0]
     place = np.array([r[0] for r in wide.select("pickup_place").collect()])
     assert all(math.isclose(scores[p], direct[place == p].mean(), abs_tol=1e-9) for p in scores)
-    model.save(str(tmp_path / "m.json"))
-    assert Pca.load(str(tmp_path / "m.json")) == model
+    model.save(str(tmp_path / "m.json"), spark)
+    assert Pca.load(str(tmp_path / "m.json"), spark) == model
     assert model.loadings_frame(spark).count() == 576
     with pytest.raises(ValueError):
         fit_pca(wide.select("taxi_type"))

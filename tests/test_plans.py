@@ -3,6 +3,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -48,10 +49,10 @@ def test_batch(spark, files, tmp_path):
     wide = spark.read.parquet(out)
     assert s["final_rows"] == wide.count() == 7 and {r.taxi_type for r in wide.collect()} == {"yellow", "green"}
     assert json.loads((tmp_path / "report.json").read_text())["summary"]["final_rows"] == 7
-    assert "Month mismatches" in (tmp_path / "report_performance.md").read_text() and not os.path.exists(out + "_intermediate")
+    assert "Month mismatches" in (tmp_path / "report_performance.md").read_text() and "- Output columns: 27" in (tmp_path / "report_performance.md").read_text() and not os.path.exists(out + "_intermediate")
     assert "\\item" in sinks.report_for("x.tex", report)
     assert "N/A" in sinks.summarize_report({})
-    sinks.summarize_file(str(tmp_path / "report.json"), str(tmp_path / "s.md"))
+    sinks.summarize_file(spark, str(tmp_path / "report.json"), str(tmp_path / "s.md"))
     assert "final rows: 7" in (tmp_path / "s.md").read_text()
     sinks.write_wide(wide, str(tmp_path / "months"), by_month=True)
     assert (tmp_path / "months" / "year=2023" / "month=1").exists()
@@ -76,6 +77,23 @@ def test_readers(spark, files):
         readers.union_sources([("x", None)])
     one = readers.map_batches(trips.select("pickup_place"), lambda b: b, "pickup_place double")
     assert one.count() == 302
+    sizes = readers.map_batches(spark.range(0, 1000, 1, 1), lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long", batch_size=300)
+    assert [r.n for r in sizes.collect()] == [300, 300, 300, 100]
+
+
+def test_readers_of_differing_types(spark, tmp_path):
+    """Files with the same names and other types are read together, and a damaged file's error doesn't stop the others."""
+    rows = [("2023-01-05 10:00:00", 7), ("2023-01-06 11:00:00", 8)]
+    df = spark.createDataFrame(rows, "tpep_pickup_datetime string, PULocationID long").coalesce(1)
+    df.write.parquet(str(tmp_path / "in" / "yellow_2023-01.parquet"))
+    df.selectExpr("cast(tpep_pickup_datetime as timestamp) tpep_pickup_datetime", "cast(PULocationID as double) PULocationID").coalesce(1).write.parquet(str(tmp_path / "in" / "yellow_2023-01b.parquet"))
+    whole = next((tmp_path / "in" / "yellow_2023-01.parquet").glob("*.parquet")).read_bytes()
+    (tmp_path / "in" / "green_2023-01.parquet").write_bytes(whole[:4] + bytes(40) + whole[44:])
+    paths = discovery.discover(spark, str(tmp_path / "in"))
+    trips, errors = readers.read_trips(spark, [p for p in paths if "green" not in p])
+    assert sorted(r.pickup_place for r in trips.collect()) == [7.0, 7.0, 8.0, 8.0] and not errors
+    report = batch.run(spark, str(tmp_path / "in"), str(tmp_path / "wide"), min_rides=1, intermediate_by_month=True)
+    assert report["summary"]["input_rows"] >= 4 and report["summary"]["output_columns"][0] == "taxi_type" and len(report["per_file"]) + len(report["errors"]) >= 3
 
 
 def test_streaming(spark, tmp_path):

@@ -12,18 +12,19 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names of zone columns in order, and patterns of location columns.
-ZONE_NAMES = ["pulocationid", "pickuplocationid", "pickuplocation", "pulocation", "pickupzone", "puzone"]
-LOCATION_PATTERNS = [r"pu.*location.*id", r"pickup.*location.*id", r"pu.*location", r"pickup.*location", r"pickup.*zone", r"pu.*zone"]
-COORDINATE_PATTERNS = [r".*pickup.*lat.*", r".*pickup.*lon.*", r".*start.*lat.*", r".*start.*lon.*"]
+#: The zone id without underscores and blanks; known zone names; patterns, asked in order; coordinates.
+ZONE_ID = "pulocationid"
+ZONE_NAMES = ["pickup_place", "pickup_location_id", "pickup_zone", "pu_zone", "start_location_id"]
+LOCATION_PATTERNS = [r".*pickup.*location.*", r".*pulocationid.*", r".*pu_location.*", r".*pu\s*location.*"]
+COORDINATE_NAMES = ["pickup_latitude", "pickup_longitude", "pickup_lat", "pickup_lon"]
 #: Patterns of the regression stage, asked in order.
 FARE_ROLES = {
-    "pickup_datetime": [r"tpep_pickup_datetime", r"pickup_datetime", r".*pickup.*datetime.*"],
-    "dropoff_datetime": [r"tpep_dropoff_datetime", r"dropoff_datetime", r".*dropoff.*datetime.*"],
-    "trip_distance": [r"trip_distance", r"trip_miles", r".*distance.*"],
-    "fare_amount": [r"fare_amount", r"base_passenger_fare", r".*fare.*"],
-    "passenger_count": [r"passenger_count", r".*passenger.*count.*"],
-    "pickup_location": [r"pulocationid", r".*pu.*location.*", r".*pickup.*location.*"],
+    "pickup_datetime": [r"tpep_pickup_datetime", r"pickup_datetime", r"trip_pickup_datetime", r".*pickup.*datetime.*"],
+    "dropoff_datetime": [r"tpep_dropoff_datetime", r"dropoff_datetime", r"trip_dropoff_datetime", r".*dropoff.*datetime.*"],
+    "trip_distance": [r"trip_distance", r"trip_dist", r".*distance.*"],
+    "passenger_count": [r"passenger_count", r"passengers", r"pax_count"],
+    "fare_amount": [r"fare_amount", r"fare_amt", r"fare"],
+    "pickup_location": [r"pulocationid", r"pu_location_id", r"pickup_location", r"pickup_place", r"pulocation"],
 }
 FARE_REQUIRED = ["pickup_datetime", "dropoff_datetime", "trip_distance", "fare_amount"]
 #: Exact names of the classification stage, asked in order.
@@ -41,18 +42,13 @@ def find_datetime_column(columns: Iterable[object]) -> str | None:
 
 
 def find_location_column(columns: Iterable[object], strict: bool = False) -> str | None:
-    """The pickup place: zone id, known zone names, patterns, then (unless strict) the first coordinate."""
-    names = [str(c).strip() for c in columns]
-    plain = [re.sub(r"[_ ]", "", c.lower()) for c in names]
-    for wanted in ZONE_NAMES:
-        if wanted in plain:
-            return names[plain.index(wanted)]
-    for patterns in (LOCATION_PATTERNS, [] if strict else COORDINATE_PATTERNS):
-        for pattern in patterns:
-            for c in names:
-                if re.match(pattern, c, re.I):
-                    return c
-    return None
+    """The pickup place: the zone id, a known zone name, a pattern, then (unless strict) a coordinate; each asked of the columns in order."""
+    names = [str(c) for c in columns if c is not None and str(c).strip()]
+    lower = {c: c.strip().lower() for c in names}
+    asked = [lambda c: re.sub(r"[_ ]", "", lower[c]) == ZONE_ID, lambda c: lower[c] in ZONE_NAMES]
+    asked += [lambda c, p=p: re.match(p, lower[c]) for p in LOCATION_PATTERNS]
+    asked += [] if strict else [lambda c: lower[c] in COORDINATE_NAMES]
+    return next((c for fits in asked for c in names if fits(c)), None)
 
 
 def find_taxi_type_column(columns: Iterable[object]) -> str | None:
@@ -85,10 +81,11 @@ def normalize_fares(df: DataFrame) -> DataFrame:
     """The regression stage's columns only; ValueError if a required role has none."""
     found = {}
     for role, patterns in FARE_ROLES.items():
-        found[role] = next((c for p in patterns for c in df.columns if re.fullmatch(p, c, re.I)), None)
+        found[role] = next((c for p in patterns for c in df.columns if re.fullmatch(p, c.strip(), re.I)), None)
     if lacking := [r for r in FARE_REQUIRED if not found[r]]:
         raise ValueError(f"no column for {', '.join(lacking)}")
-    return df.select(*(F.col(f"`{c}`").alias(r) for r, c in found.items() if c))
+    order = [*FARE_REQUIRED, "passenger_count", "pickup_location"]
+    return df.select(*(F.col(f"`{found[r]}`").alias(r) for r in order if found[r]))
 
 
 def normalize_classifier(df: DataFrame, label: int) -> DataFrame:

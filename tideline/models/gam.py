@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.models.gram import moments
+from tideline.models.gram import moments, moments_by
 
 GRID = tuple(10.0**k for k in np.linspace(-3, 3, 11))
 
@@ -86,11 +86,13 @@ class Gam:
     def fit(self, df: DataFrame, lam: float | None = None, resamples: int = 0, keys: list[str] | None = None, seed: int = 42) -> Gam:
         columns = [t.column for t in self.terms]
         ends = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max)))).first()
-        self.ranges = [(ends[f"a{i}"] or 0.0, ends[f"b{i}"] or 0.0) for i in range(len(columns))]
+        return self._use(moments(df, [*columns, self.target], resamples, keys, seed, expand=self._expand(ends)), lam)
+
+    def _expand(self, ends):
+        """Set the terms' ranges; the function that turns rows into the columns to sum."""
+        self.ranges = [(ends[f"a{i}"] or 0.0, ends[f"b{i}"] or 0.0) for i in range(len(self.terms))]
         self.penalty = self._penalty()
-        model = self
-        sums = moments(df, [*columns, self.target], resamples, keys, seed, expand=lambda x: np.column_stack([model.design(x[:, :-1]), x[:, -1]]))
-        return self._use(sums, lam)
+        return lambda x: np.column_stack([self.design(x[:, :-1]), x[:, -1]])
 
     def _use(self, sums: np.ndarray, lam: float | None) -> Gam:
         self.n = int(round(sums[0, 0, 0]))
@@ -162,6 +164,11 @@ class Gam:
 
 
 def fit_by_group(df: DataFrame, by: str, terms: list[Smooth | Linear], target: str, groups: list, least_rows: int = 200, lam: float = 0.6) -> dict:
-    """A model per group of at least ``least_rows`` rows, all with one penalty."""
-    sizes = {r[by]: r["count"] for r in df.where(F.col(by).isin(groups)).groupBy(by).count().collect()}
-    return {g: Gam(terms, target).fit(df.where(F.col(by) == g), lam) for g in groups if sizes.get(g, 0) >= least_rows}
+    """A model per group of at least ``least_rows`` rows, all with one penalty: one scan for sizes and ranges, one for the moments of all groups."""
+    columns = [t.column for t in terms]
+    rows = df.where(F.col(by).isin(groups))
+    ends = rows.groupBy(by).agg(F.count("*").alias("n"), *(f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max)))).collect()
+    models = {r[by]: Gam(terms, target) for r in ends if r["n"] >= least_rows}
+    expand = {str(r[by]): models[r[by]]._expand(r) for r in ends if r[by] in models}
+    sums = moments_by(rows, F.col(by), [*columns, target], expand) if expand else {}
+    return {g: models[g]._use(sums[str(g)], lam) for g in groups if str(g) in sums}

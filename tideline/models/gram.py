@@ -1,18 +1,22 @@
 """Weighted first and second moments of columns, in one pass.
 
-A task adds up its rows in NumPy and sends one row per resample; the driver
-adds those, so what travels depends on the number of columns, not of rows.
+A task adds up its rows in NumPy and sends one row per resample (and group);
+those are added in two levels of at most LEVEL at a time, so that no task holds
+the matrices of all tasks. The driver gets one matrix per resample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sums of the first level; tasks whose matrices one of them adds are their number over this.
+LEVEL = 1024
 _STEP = 1 << 14
 
 
@@ -27,41 +31,59 @@ def poisson_weights(keys: np.ndarray, resample: int, seed: int) -> np.ndarray:
     return np.searchsorted(np.cumsum(p), u).astype(float)
 
 
-def moments(df: DataFrame, columns: list[str], resamples: int = 0, keys: list[str] | None = None, seed: int = 12345, expand=None) -> np.ndarray:
+def moments(df: DataFrame, columns: list[str], resamples: int = 0, keys: list[str] | None = None, seed: int = 12345, expand=None, centre: list[float] | None = None) -> np.ndarray:
     """Sums of (1, x)(1, x)' over all rows: [0] unweighted, [1 ..] one per resample. Rows with a null are left out.
 
     ``expand``: function of the rows' matrix that gives the matrix to sum instead.
+    ``centre``: what is taken from the columns first, so that large offsets don't cancel.
     """
+    found = moments_by(df, F.lit("").alias("g"), columns, {"": expand}, resamples, keys, seed, centre)
+    if "" in found:
+        return found[""]
+    p = len(columns) + 1
+    return np.zeros((resamples + 1, p, p))
+
+
+def moments_by(df: DataFrame, group: Column, columns: list[str], expand: dict[str, Callable | None], resamples: int = 0, keys: list[str] | None = None, seed: int = 12345, centre: list[float] | None = None) -> dict[str, np.ndarray]:
+    """The moments of each group that ``expand`` names, all in one pass; groups without rows are left out."""
     row_key = F.xxhash64(*(keys or columns)).alias("__key")
-    source = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)), row_key).dropna()
+    source = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)), row_key, group.cast("string").alias("__group")).dropna()
+    source = source.where(F.col("__group").isin(list(expand)))
+    offset = np.array(centre, float) if centre is not None else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
-            key = b.column(len(columns)).to_numpy()
-            for at in range(0, len(x), _STEP):
-                part = x[at : at + _STEP]
-                m = np.column_stack([np.ones(len(part)), expand(part) if expand else part])
-                if sums is None:
-                    sums = np.zeros((resamples + 1, m.shape[1], m.shape[1]))
-                sums[0] += m.T @ m
-                for r in range(resamples):
-                    sums[r + 1] += (m * poisson_weights(key[at : at + _STEP], r, seed)[:, None]).T @ m
-        if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(resamples + 1), pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())], ["resample", "sums"])
+            every = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
+            every_key = b.column(len(columns)).to_numpy()
+            codes = b.column(len(columns) + 1).dictionary_encode()
+            for g, name in enumerate(codes.dictionary.to_pylist()):
+                mine = codes.indices.to_numpy() == g if len(codes.dictionary) > 1 else slice(None)
+                x, key, f = every[mine] - offset, every_key[mine], expand[name]
+                for at in range(0, len(x), _STEP):
+                    part = x[at : at + _STEP]
+                    m = np.column_stack([np.ones(len(part)), f(part) if f else part])
+                    if name not in sums:
+                        sums[name] = np.zeros((resamples + 1, m.shape[1], m.shape[1]))
+                    sums[name][0] += m.T @ m
+                    for r in range(resamples):
+                        sums[name][r + 1] += (m * poisson_weights(key[at : at + _STEP], r, seed)[:, None]).T @ m
+        task = TaskContext.get().partitionId() % LEVEL
+        for name, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(range(len(s)), pa.int32()), pa.array([task] * len(s), pa.int32()), pa.array([x.tobytes() for x in s], pa.binary())], ["g", "resample", "part", "sums"])
+
+    schema = "g string, resample int, part int, sums binary"
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, float) for x in t.column("sums").to_pylist())
-        return pa.table({"resample": t.column("resample").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+        return t.slice(0, 1).set_column(3, "sums", pa.array([total.tobytes()], pa.binary()))
 
-    rows = source.mapInArrow(run, "resample int, sums binary").groupBy("resample").applyInArrow(add, "resample int, sums binary").collect()
-    out = {r["resample"]: np.frombuffer(bytes(r["sums"]), float) for r in rows}
-    if not out:
-        p = len(columns) + 1
-        return np.zeros((resamples + 1, p, p))
-    p = int(np.sqrt(len(out[0])))
-    return np.stack([out[r].reshape(p, p) for r in range(resamples + 1)])
+    rows = source.mapInArrow(run, schema).groupBy("g", "resample", "part").applyInArrow(add, schema)
+    rows = rows.groupBy("g", "resample").applyInArrow(add, schema).collect()
+    out: dict[str, dict[int, np.ndarray]] = {}
+    for r in rows:
+        out.setdefault(r["g"], {})[r["resample"]] = np.frombuffer(bytes(r["sums"]), float)
+    return {g: np.stack([found[r].reshape(int(np.sqrt(found[r].size)), -1) for r in range(resamples + 1)]) for g, found in out.items()}
 
 
 def covariance(sums: np.ndarray, ddof: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
@@ -71,7 +93,13 @@ def covariance(sums: np.ndarray, ddof: int = 0) -> tuple[float, np.ndarray, np.n
     return n, mean, (sums[1:, 1:] - n * np.outer(mean, mean)) / (n - ddof)
 
 
-def fill_with_means(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Null cells get their column's mean over the others."""
+def column_means(df: DataFrame, columns: list[str]) -> list[float]:
+    """Means over the values that are there; 0 for a column without any."""
     means = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in columns})
+    return [means[c] or 0.0 for c in columns]
+
+
+def fill_with_means(df: DataFrame, columns: list[str], means: list[float] | None = None) -> DataFrame:
+    """Null cells get their column's mean over the others."""
+    means = column_means(df, columns) if means is None else means
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in zip(columns, means, strict=True)})

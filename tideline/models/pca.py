@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 from functools import reduce
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions.columns import hour_columns
 from tideline.models import distributions as dist
-from tideline.models.gram import covariance, fill_with_means, moments
+from tideline.models.gram import column_means, covariance, fill_with_means, moments
+from tideline.sources.sinks import read_text, write_text
 
 
 @dataclass
@@ -34,12 +34,13 @@ class Pca:
     def matrix(self) -> np.ndarray:
         return np.array(self.loadings)
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(asdict(self)))
+    def save(self, path: str, spark: SparkSession) -> None:
+        """As JSON, to any place that Spark writes to."""
+        write_text(spark, path, json.dumps(asdict(self)))
 
     @staticmethod
-    def load(path: str) -> Pca:
-        return Pca(**json.loads(Path(path).read_text()))
+    def load(path: str, spark: SparkSession) -> Pca:
+        return Pca(**json.loads(read_text(spark, path)))
 
     def loadings_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(k + 1, c, float(self.loadings[i][k])) for k in range(len(self.variances)) for i, c in enumerate(self.columns)]
@@ -50,8 +51,9 @@ class Pca:
         return reduce(lambda a, b: a + b, [(F.col(c).cast("double") - m) * float(row[k]) for c, m, row in zip(self.columns, self.mean, self.loadings, strict=True)])
 
 
-def from_moments(sums: np.ndarray, columns: list[str], k: int | None = None) -> Pca:
+def from_moments(sums: np.ndarray, columns: list[str], k: int | None = None, centre: list[float] | None = None) -> Pca:
     n, mean, cov = covariance(sums)
+    mean = mean + (0 if centre is None else np.array(centre))
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values, kind="stable")[: k or len(values)]
     vectors = vectors[:, order]
@@ -64,7 +66,8 @@ def fit_pca(wide: DataFrame, k: int | None = None, columns: list[str] | None = N
     columns = columns or hour_columns(wide.columns)
     if not columns:
         raise ValueError("no hour columns")
-    return from_moments(moments(fill_with_means(wide, columns), columns)[0], columns, k)
+    means = column_means(wide, columns)
+    return from_moments(moments(fill_with_means(wide, columns, means), columns, centre=means)[0], columns, k, means)
 
 
 def scores_by_place(wide: DataFrame, model: Pca, place: str = "pickup_place") -> DataFrame:
@@ -93,7 +96,8 @@ def bootstrap_stability(wide: DataFrame, keys: list[str], resamples: int = 100,
     All resamples are Poisson weights on the same rows, summed in one pass.
     """
     columns = hour_columns(wide.columns)
-    sums = moments(fill_with_means(wide, columns), columns, resamples, keys, seed)
+    means = column_means(wide, columns)
+    sums = moments(fill_with_means(wide, columns, means), columns, resamples, keys, seed, centre=means)
     base = from_moments(sums[0], columns, k).matrix()
     fits = [from_moments(s, columns, k).matrix() for s in sums[1:] if s[0, 0] > 1]
     near = [affinity(base, m) for m in fits]

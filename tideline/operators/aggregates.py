@@ -127,6 +127,32 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return reduce(DataFrame.unionByName, [x.select("class", *names, "support") for x in (rows, macro, weighted, accuracy)])
 
 
+def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the label's number in the order of all labels, from 0; null stays null."""
+    labels = df.select(column).where(F.col(column).isNotNull()).distinct()
+    numbered = labels.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))  # one row per label
+    return df.join(numbered, column, "left")
+
+
+def groups_with_rows(df: DataFrame, by: str, groups: list[str], least: int) -> DataFrame:
+    """(by, n): those of ``groups`` that have at least ``least`` rows."""
+    return df.where(F.col(by).isin(groups)).groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def residuals(df: DataFrame, y: Column, guess: Column, *keys: str) -> DataFrame:
+    """``keys``, y, guess and residual, as a residual plot draws them."""
+    return df.select(*keys, y.alias("y"), guess.alias("guess"), (y - guess).alias("residual"))
+
+
+def grouped_histogram(df: DataFrame, by: str, value: str, bins: int) -> DataFrame:
+    """by, bin, n, share of the group over the whole table's range, as violins and overlaid histograms draw them."""
+    ends = df.agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    place = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col(value) - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1))).otherwise(0)
+    rows = df.select(by, value).where(F.col(value).isNotNull()).join(F.broadcast(ends))  # one row
+    cells = rows.groupBy(by, place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
+
+
 def regression_metrics(df: DataFrame, y: Column, guess: Column) -> DataFrame:
     """rmse, mae, r2 in one pass."""
     e = df.select(y.alias("y"), (y - guess).alias("e"))

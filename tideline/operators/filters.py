@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,18 @@ def positive(df: DataFrame, above_zero: list[str], present: list[str] | None = N
 
 
 def cap_sequentially(df: DataFrame, columns: list[str], q: float = 0.99) -> DataFrame:
-    """Rows up to each column's quantile, each taken over the rows that the caps before it leave."""
-    for c in columns:
-        limit = exact_quantile(df, c, q)
-        if limit is not None:
-            df = df.where(F.col(c) <= limit)
+    """Rows up to each column's quantile, each taken over the rows that the caps before it leave.
+
+    The columns are persisted while the caps are looked for, so that ``df`` is computed once for them.
+    """
+    values = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ends = values.agg(*(f(F.when(~F.isnan(c), F.col(c))).alias(f"{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max)))).first()
+        left = values
+        for c in columns:
+            limit = exact_quantile(left, c, q, (ends[f"a_{c}"], ends[f"b_{c}"]))
+            if limit is not None:
+                left, df = left.where(F.col(c) <= limit), df.where(F.col(c) <= limit)
+    finally:
+        values.unpersist()
     return df

@@ -2,6 +2,7 @@
 
 Spark's exact percentile keeps a map of all distinct values in each buffer;
 here a pass keeps only the counts of BINS ranges, whatever the table's size.
+Callers that ask for several quantiles of one table should persist it.
 """
 
 from __future__ import annotations
@@ -12,34 +13,48 @@ from pyspark.sql import functions as F
 BINS, FEW = 4096, 20_000
 
 
-def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
-    """Linear interpolation between the two nearest values, as ``percentile`` does; None without values."""
-    v = F.col(column).cast("double")
-    df = df.where(v.isNotNull()).select(v.alias("v"))
-    ends = df.agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).first()
-    if not ends["n"]:
-        return None
-    place = q * (ends["n"] - 1)
-    low, part = int(place), place - int(place)
-    a = _at(df, low, ends)
-    b = _at(df, low + 1, ends) if part and low + 1 < ends["n"] else a
-    return a + (b - a) * part
-
-
-def _at(df: DataFrame, k: int, ends) -> float:
-    """The value with k values before it in order."""
-    low, high, below, inside = ends["a"], ends["b"], 0, ends["n"]
-    while inside > FEW and low < high:
-        here = df.where((F.col("v") >= low) & (F.col("v") <= high))
-        bin_ = F.least(F.floor((F.col("v") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
-        for r in here.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("bin").collect():
-            if below + r["n"] > k:
-                break
-            below += r["n"]
-        if (low, high) == (r["a"], r["b"]):
-            break
-        low, high, inside = r["a"], r["b"], r["n"]
-    if low == high:
-        return low
-    few = sorted(r["v"] for r in df.where((F.col("v") >= low) & (F.col("v") <= high)).toLocalIterator())
-    return few[k - below]
+def exact_quantile(df: DataFrame, column: str, q: float, ends: tuple[float, float] | None = None) -> float | None:
+    """Linear interpolation between the two nearest values, as ``percentile`` does; None without values. NaN counts as null.
+
+    ``ends``: values that none lies beyond, if they are known. Both neighbours
+    of the quantile are looked for together: in each pass either one bin holds
+    both, or one is the largest of its bin and the other the least of the next.
+    """
+    v = F.col("v")
+    rows = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
+    low, high = ends or rows.agg(F.min("v"), F.max("v")).first()
+    below, place = 0, None
+    while low is not None:
+        width = (high - low) / BINS
+        here = rows.where((v >= low) & (v <= high))
+        bin_ = F.least(F.floor((v - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        bins = here.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("bin").collect()
+        if place is None:
+            n = sum(r["n"] for r in bins)
+            if not n:
+                return None
+            place = q * (n - 1)
+        found = _around([(r["n"], r["a"], r["b"]) for r in bins], place, below)
+        if isinstance(found, float):
+            return found
+        inside, a, b, below = found
+        if inside <= FEW or (a, b) == (low, high):
+            values = rows.where((v >= a) & (v <= b)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
+            return _around([(r["n"], r["v"], r["v"]) for r in values], place, below)
+        low, high = a, b
+    return None
+
+
+def _around(bins: list[tuple[int, float, float]], place: float, below: int) -> float | tuple[int, float, float, int]:
+    """The value at ``place`` if the bins (count, least, largest) tell it; else the bin that holds both of its neighbours, and how many values are below that."""
+    k, part = int(place), place - int(place)
+    for i, (n, a, b) in enumerate(bins):
+        if below + n > k:
+            last = below + n == k + 1
+            if a == b and not (part and last):
+                return float(a)
+            if last and part:
+                return b + (bins[i + 1][1] - b) * part
+            return float(b) if last else (n, a, b, below)
+        below += n
+    raise ValueError("the place lies beyond the values")

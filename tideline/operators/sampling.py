@@ -16,33 +16,44 @@ def sample_rows(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
 
 
 def sample_fraction(df: DataFrame, fraction: float, *keys: str, seed: int = 42) -> DataFrame:
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """Rows whose order key, 128 bits in hex, is below the fraction."""
+    if fraction >= 1:
+        return df
+    return df.where(order_key(*keys, seed=seed) < F.lit(hash_limit(fraction)))
 
 
-def sample_balanced(df: DataFrame, label: str, n: int, *keys: str, seed: int = 42) -> DataFrame:
-    """At most n rows of each label: a fraction a little too large first, trimmed exactly after."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    parts = [sample_rows(sample_fraction(df.where(F.col(label) == v), min(1.0, 1.15 * n / c), *keys, seed=seed), n, *keys, seed=seed) for v, c in counts.items() if v is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+def hash_limit(fraction: float) -> str:
+    """The order key that the fraction of all keys is below."""
+    return format(int(max(fraction, 0.0) * 2**64) << 64, "032x")
 
-def stratified_split(df: DataFrame, label: str, *keys: str, fraction: float = 0.8, seed: int = 42, salts: int = 1024) -> DataFrame:
-    """Add ``split``: exactly floor(fraction x n) rows of each label are train, the rest valid.
 
-    Ranks are made of ranks within ranges of the order key, on top of the counts
-    of the ranges before; so no task sorts a whole label.
-    """
-    ordered = df.withColumn("__key", order_key(*keys, seed=seed)).withColumn("__range", F.conv(F.substring("__key", 1, 4), 16, 10).cast("int") % 65536 * salts / 65536)
-    ordered = ordered.withColumn("__range", F.floor("__range").cast("int"))
+def _in_ranges(df: DataFrame, label: str, keys: tuple[str, ...], seed: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with its order key and the key's range, per label and range the rows of the label before and in all)."""
+    ordered = df.withColumn("__key", order_key(*keys, seed=seed))
+    ordered = ordered.withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("int"))
     sizes = ordered.groupBy(label, "__range").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(label)
-    sizes = sizes.select(F.col(label).alias("__label"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(w).alias("__all"))
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ordered, sizes.select(F.col(label).alias("__label"), F.col("__range").alias("__r"), before.alias("__before"), F.sum("__n").over(w).alias("__all"))
+
+
+def _ranked(ordered: DataFrame, sizes: DataFrame, label: str, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with ``__place``, their rank within the label: within the range, on top of the ranges before. No task sorts a whole label."""
+    rows = ordered.join(sizes, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__r")))
     rank = F.row_number().over(Window.partitionBy(label, "__range").orderBy("__key", *keys))
-    out = ordered.withColumn("__rank", rank).join(sizes, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__r")))
-    train = F.col("__rank") + F.col("__before") <= F.floor(F.col("__all") * fraction)
+    return rows.withColumn("__place", rank + F.col("__before"))
+
+
+def sample_balanced(df: DataFrame, label: str, n: int, *keys: str, seed: int = 42, ranges: int = 65536) -> DataFrame:
+    """Exactly n rows of each label, or all if it has fewer; rows without a label are left out. Only ranges that begin below n are ranked."""
+    ordered, sizes = _in_ranges(df.where(F.col(label).isNotNull()), label, keys, seed, ranges)
+    return _ranked(ordered, sizes.where(F.col("__before") < n), label, keys).where(F.col("__place") <= n).select(*df.columns)
+
+
+def stratified_split(df: DataFrame, label: str, *keys: str, fraction: float = 0.8, seed: int = 42, salts: int = 1024) -> DataFrame:
+    """Add ``split``: exactly floor(fraction x n) rows of each label are train, the rest valid."""
+    out = _ranked(*_in_ranges(df, label, keys, seed, salts), label, keys)
+    train = F.col("__place") <= F.floor(F.col("__all") * fraction)
     return out.withColumn("split", F.when(train, "train").otherwise("valid")).select(*df.columns, "split")
 
 

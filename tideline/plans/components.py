@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.paths import anonymous_conf
 from tideline.functions.scalars import colour
 from tideline.models.pca import bootstrap_stability, diagnostics, fit_pca, scores_by_place, tail_analysis
 from tideline.operators.joins import with_location_id
@@ -28,16 +30,22 @@ def map_markers(scores: DataFrame, coordinates: DataFrame | None = None, value:
     return with_location_id(rows, place).join(coordinates.withColumnRenamed("locationid", "location_id"), "location_id", "left").where("latitude is not null and longitude is not null")
 
 
-def run(spark: SparkSession, source: str, output: str, resamples: int = 100, zones_csv: str | None = None) -> dict:
-    wide = read_parquet(spark, source)
+#: Stages of the suite: each can be run alone.
+STAGES = ["pca", "tail", "map", "stability", "diagnostics"]
+
+
+def run(spark: SparkSession, source: str, output: str, resamples: int = 100, zones_csv: str | None = None, only: list[str] | None = None) -> dict:
+    wide, stages = read_parquet(spark, source), only or STAGES
     place = "pickup_place"
     model = fit_pca(wide)
-    scores = scores_by_place(wide, model, place)
-    write_csv(scores, f"{output}/pc_scores")
-    if zones_csv:
-        write_csv(map_markers(scores, read_csv(spark, zones_csv), place=place), f"{output}/map_markers")
+    if {"pca", "map"} & set(stages):
+        scores = scores_by_place(wide, model, place)
+        write_csv(scores, f"{output}/pc_scores")
+        if zones_csv and "map" in stages:
+            write_csv(map_markers(scores, read_csv(spark, zones_csv), place=place), f"{output}/map_markers")
     keys = [c for c in wide.columns if not c.startswith("hour_")]
-    found = {"pca": {"columns": model.columns, "mean": model.mean, "variances": model.variances, "loadings": model.loadings, "n": model.n, "total": model.total}, "tail": tail_analysis(model), "stability": bootstrap_stability(wide, keys, resamples), "diagnostics": diagnostics(model)}
+    made = {"pca": lambda: asdict(model), "tail": lambda: tail_analysis(model), "stability": lambda: bootstrap_stability(wide, keys, resamples), "diagnostics": lambda: diagnostics(model)}
+    found = {name: f() for name, f in made.items() if name in stages}
     for name, content in found.items():
         write_text(spark, f"{output}/{name}.json", json.dumps(content, indent=2))
     return found
@@ -50,8 +58,12 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--s3-output")
     p.add_argument("--zones-csv")
     p.add_argument("--B", type=int, default=100)
+    p.add_argument("--anon-s3", action="store_true", help="read s3 paths without credentials")
+    p.add_argument("--workers", type=int, help="cores of a local session")
+    p.add_argument("--only", choices=STAGES, action="append", help="stages to run; all by default")
     a = p.parse_args(args)
-    run(build_session("components"), a.input, (a.s3_output or a.output_dir).rstrip("/"), a.B, a.zones_csv)
+    spark = build_session("components", f"local[{a.workers}]" if a.workers else None, anonymous_conf(a.input) if a.anon_s3 else None)
+    run(spark, a.input, (a.s3_output or a.output_dir).rstrip("/"), a.B, a.zones_csv, a.only)
 
 
 if __name__ == "__main__":

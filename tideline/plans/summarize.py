@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from tideline.session import build_session
 from tideline.sources.sinks import summarize_file
 
 
@@ -12,7 +13,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--report", required=True)
     p.add_argument("--out", required=True)
     a = p.parse_args(args)
-    summarize_file(a.report, a.out)
+    summarize_file(build_session("summarize"), a.report, a.out)
 
 
 if __name__ == "__main__":

@@ -5,12 +5,19 @@ from __future__ import annotations
 import os
 import random
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from tideline.functions.paths import hadoop_path, is_s3_path
 
 
+#: Footers that are read at a time.
+FOOTERS = 32
+
+
 def filesystem(spark: SparkSession, path: str):
     """(Hadoop file system, Hadoop path) of any path that Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(hadoop_path(path))
@@ -48,15 +55,27 @@ def discover_any(spark: SparkSession, paths: str) -> list[str]:
     return out
 
 
-def column_names(spark: SparkSession, paths: Iterable[str]) -> dict[str, list[str]]:
-    """Columns per file, from the footers; none for a file that can't be read."""
-    out = {}
-    for p in paths:
+def footers(spark: SparkSession, paths: Iterable[str]) -> dict[str, list[tuple[str, str]]]:
+    """(column, type) per file, from the footers; none for a file that can't be read.
+
+    Each footer is a Spark job of its own, as only Spark reaches all file
+    systems; FOOTERS of them run side by side.
+    """
+
+    def one(path: str) -> list[tuple[str, str]]:
         try:
-            out[p] = spark.read.parquet(hadoop_path(p)).columns
-        except Exception:  # noqa: BLE001  a bad file must not stop the survey of the others
-            out[p] = []
-    return out
+            return spark.read.parquet(hadoop_path(path)).dtypes
+        except (PySparkException, Py4JJavaError):  # a bad file must not stop the survey of the others
+            return []
+
+    paths = list(paths)
+    with ThreadPoolExecutor(FOOTERS) as pool:
+        return dict(zip(paths, pool.map(one, paths), strict=True))
+
+
+def column_names(spark: SparkSession, paths: Iterable[str]) -> dict[str, list[str]]:
+    """Columns per file."""
+    return {p: [c for c, _ in columns] for p, columns in footers(spark, paths).items()}
 
 
 def sample_files(paths: list[str], n: int = 5, seed: int = 42) -> list[str]:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +33,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text, from any place that Spark reads."""
+    return spark.read.text(hadoop_path(path), wholetext=True).first()[0]
+
+
 def report_json(report: dict) -> str:
     return json.dumps(report, indent=2, default=str)
 
@@ -62,6 +65,8 @@ def performance_markdown(report: dict) -> str:
     text += ["## Discards", "", f"- unreadable datetimes: {d.get('parse_fail', 0)} ({percent(d.get('parse_fail', 0), whole)} of trips)", f"- month mismatches: {d.get('mismatch', 0)} ({percent(d.get('mismatch', 0), whole)} of trips)", f"- low counts: {d.get('low_count', 0)} ({percent(d.get('low_count', 0), pivots)} of pivot rows)", ""]
     text += ["## Month mismatches", "", _table(["year", "month", "rows", "files"], [[m["year"], m["month"], m["mismatch_rows"], m["affected_groups"]] for m in report.get("by_month", [])]), ""]
     text += ["## Wide rows by year and type", "", _table(["year", "type", "rows"], [[r["year"], r["taxi_type"], r["row_count"]] for r in report.get("by_year_type", [])]), ""]
+    columns = s.get("output_columns", [])
+    text += ["## Schema summary", "", f"- Output columns: {len(columns)}", "", "```", ", ".join(columns) or "(none)", "```", ""]
     return "\n".join(text) + "\n"
 
 
@@ -74,5 +79,5 @@ def summarize_report(report: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
-def summarize_file(source: str, target: str) -> None:
-    Path(target).write_text(summarize_report(json.loads(Path(source).read_text())))
+def summarize_file(spark: SparkSession, source: str, target: str) -> None:
+    write_text(spark, target, summarize_report(json.loads(read_text(spark, source))))
