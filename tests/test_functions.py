@@ -92,6 +92,7 @@ def test_bad_sizes(text):
 
 
 def test_size_text():
+    assert [format_size(n) for n in (0, 512, 1024, 1536, 3 << 40, 5000 << 40)] == ["0B", "512B", "1.00KB", "1.50KB", "3.00TB", "5000.00TB"]
     for s in ("50MB", "1GB", "1.5GB", "100KB"):
         assert abs(parse_size(format_size(parse_size(s))) - parse_size(s)) <= 10
     assert percent(1, 0) == "N/A" and percent(1, 4) == "25.00%"

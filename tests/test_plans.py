@@ -2,13 +2,15 @@
 
 import json
 import os
+import struct
 
 import pyarrow as pa
 import pytest
 
 import __spark_entry__
+from tideline.operators.joins import centroids
 from tideline.plans import batch, catalogue, components
-from tideline.sources import discovery, readers, sinks
+from tideline.sources import discovery, readers, shapes, sinks
 from tideline.streaming import hourly
 
 
@@ -69,6 +71,41 @@ def test_components_suite(spark, sf, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "out" / "map_markers")).count() == 2
 
 
+#: The projection of the public example that ``test_shapes`` recomputes.
+TEXAS = 'PROJCS["NAD27 / Texas South Central",GEOGCS["NAD27",DATUM["D",SPHEROID["Clarke_1866",6378206.4,294.9786982]],PRIMEM["Greenwich",0],UNIT["Degree",0.0174532925199433]],PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["False_Easting",2000000],PARAMETER["False_Northing",0],PARAMETER["Central_Meridian",-99],PARAMETER["Standard_Parallel_1",28.383333333333333],PARAMETER["Standard_Parallel_2",30.283333333333333],PARAMETER["Latitude_Of_Origin",27.833333333333333],UNIT["Foot_US",0.3048006096012192]]'
+
+
+def write_shapes(folder, zones, prj):
+    """A shapefile of boxes (key, x0, y0, x1, y1); a box of None is a null shape."""
+    records = b""
+    for i, (_, *box) in enumerate(zones):
+        body = struct.pack("<i", 0) if box[0] is None else struct.pack("<i4d2i", 5, *box, 1, 0) + struct.pack("<i", 0)
+        records += struct.pack(">2i", i + 1, len(body) // 2) + body
+    (folder / "zones.shp").write_bytes(bytes(100) + records)
+    fields = b"".join(struct.pack("<11sc4xBB14x", n, b"C", w, 0) for n, w in ((b"zone", 6), (b"LocationID", 8)))
+    rows = b"".join(b" " + b"name  " + str(k).rjust(8).encode() for k, *_ in zones)
+    (folder / "zones.dbf").write_bytes(struct.pack("<4BIHH20x", 3, 124, 1, 1, len(zones), 32 + len(fields) + 1, 15) + fields + b"\r" + rows)
+    if prj:
+        (folder / "zones.prj").write_text(prj)
+
+
+def test_shapes(spark, tmp_path):
+    """The worked example of the projection's public description, null shapes, zones of two shapes, degrees, and what is refused."""
+    x, y = 2963503.91, 254759.80
+    write_shapes(tmp_path, [(1, x - 10, y - 20, x + 10, y + 20), (2, None), (3, x, y, x, y), (3, x + 100, y, x + 100, y), ("", x, y, x, y)], TEXAS)
+    found = {r.LocationID: r for r in centroids(shapes.zone_centres(spark, str(tmp_path / "zones.shp"))).collect()}
+    assert set(found) == {1, 3} and abs(found[1].latitude - 28.5) < 1e-6 and abs(found[1].longitude + 96) < 1e-6
+    assert 0 < found[3].longitude + 96 < 0.001
+    (tmp_path / "plain").mkdir()
+    write_shapes(tmp_path / "plain", [(7, -74.0, 40.0, -73.0, 41.0)], 'GEOGCS["WGS84"]')
+    assert [tuple(r) for r in shapes.zone_centres(spark, str(tmp_path / "plain" / "zones.shp")).collect()] == [(7, 40.5, -73.5)]
+    for name, zones, prj in (("none", [], TEXAS), ("bare", [(1, 0, 0, 1, 1)], None), ("other", [(1, 0, 0, 1, 1)], TEXAS.replace("Lambert", "Albers"))):
+        (tmp_path / name).mkdir()
+        write_shapes(tmp_path / name, zones, prj)
+        with pytest.raises(ValueError):
+            shapes.zone_centres(spark, str(tmp_path / name / "zones.shp"))
+
+
 def test_readers(spark, files):
     trips, errors = readers.read_trips(spark, discovery.discover(spark, files))
     assert trips.columns == readers.CANONICAL and len(errors) == 2 and trips.count() == 302

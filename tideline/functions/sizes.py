@@ -21,11 +21,10 @@ def parse_size(text: str) -> int:
 
 
 def format_size(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB"):
-        if n < 1024:
-            return f"{n:.2f}{unit}"
-        n /= 1024
-    return f"{n:.2f}TB"
+    """Whole bytes, or two decimals of the largest unit that fits."""
+    power = max((p for p in UNITS.values() if n >= 1024**p), default=0)
+    unit = next(u for u, p in UNITS.items() if p == power)
+    return f"{int(n)}B" if not power else f"{n / 1024**power:.2f}{unit}"
 
 
 def percent(part: float, whole: float) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -30,21 +31,28 @@ def accuracy(df: DataFrame, label: str, prediction: str = "prediction") -> float
 
 
 def evaluate(df: DataFrame, features: list[str], label: str, keys: list[str], fraction: float = 0.8, **options) -> tuple[GBTClassificationModel, DataFrame]:
-    """Fit on a stratified split; the other rows come back with their predictions."""
-    split = stratified_split(df, label, *keys, fraction=fraction).cache()
-    model = fit_trees(split.where("split = 'train'"), features, label, **options)
+    """Fit on a stratified split; the other rows come back with their predictions. The split is persisted while the trees grow."""
+    split = stratified_split(df, label, *keys, fraction=fraction)
+    train = split.where("split = 'train'").select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = fit_trees(train, features, label, **options)
+    finally:
+        train.unpersist()
     return model, predict(model, split.where("split = 'valid'"), features)
 
 
 def sweep(df: DataFrame, features: list[str], label: str, keys: list[str], depths=(2, 4, 6, 8), rates=(0.01, 0.05, 0.1, 0.3), trees: int = 100) -> list[dict]:
     """Accuracy of every depth and rate, best first; ties in the grid's order."""
-    split = stratified_split(df, label, *keys).cache()
+    split = stratified_split(df, label, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     train, valid = split.where("split = 'train'"), split.where("split = 'valid'")
     found = []
-    for depth in depths:
-        for rate in rates:
-            model = fit_trees(train, features, label, trees, depth, rate)
-            found.append({"depth": depth, "rate": rate, "accuracy": accuracy(predict(model, valid, features), label)})
+    try:
+        for depth in depths:
+            for rate in rates:
+                model = fit_trees(train, features, label, trees, depth, rate)
+                found.append({"depth": depth, "rate": rate, "accuracy": accuracy(predict(model, valid, features), label)})
+    finally:
+        split.unpersist()
     return sorted(found, key=lambda x: -x["accuracy"])
 
 

@@ -447,10 +447,13 @@ def _fares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gam_fit(spark, sf_dir):
     """Held-out error of the additive model of the price."""
-    rows = stratified_split(_fares(spark, sf_dir), "l_linestatus", "l_orderkey", "l_linenumber")
-    model = Gam(_TERMS, "l_extendedprice").fit(rows.where("split = 'train'"))
-    out = agg.regression_metrics(model.transform(rows.where("split = 'valid'")), F.col("l_extendedprice"), F.col("prediction"))
-    return out.withColumn("penalty", F.lit(model.lam))
+    rows = stratified_split(_fares(spark, sf_dir).select("l_orderkey", "l_linestatus", "l_extendedprice", *(t.column for t in _TERMS)), "l_linestatus", "l_orderkey", "l_linenumber").persist()
+    try:  # ranges, moments and errors read the split once each
+        model = Gam(_TERMS, "l_extendedprice").fit(rows.where("split = 'train'"))
+        out = agg.regression_metrics(model.transform(rows.where("split = 'valid'")), F.col("l_extendedprice"), F.col("prediction"))
+        return spark.createDataFrame([(*out.first(), model.lam)], "rmse double, mae double, r2 double, penalty double")
+    finally:
+        rows.unpersist()
 
 
 @query()
@@ -496,12 +499,16 @@ def gbt_accuracy(spark, sf_dir):
 def gbt_profiles(spark, sf_dir):
     """Type of a key from its hours' principal scores and calendar features."""
     # cached: the plan's cells are otherwise copied into every score
-    wide = _enriched(proportions(_wide(spark, sf_dir).where("event_type in ('click', 'view')"), HOURS)).cache()
-    model = fit_pca(wide, 5)
-    rows = wide.withColumns({f"pc{k + 1}": model.score(k) for k in range(5)}).withColumn("label", (F.col("event_type") == "view").cast("int"))
-    features = [f"pc{k + 1}" for k in range(5)] + ["month", "dow", "loc_id", "region"]
-    _, held = evaluate(rows, features, "label", KEYS)
-    return agg.classification_report(held, "label", "prediction")
+    wide = _enriched(proportions(_wide(spark, sf_dir).where("event_type in ('click', 'view')"), HOURS)).persist()
+    try:
+        model = fit_pca(wide, 5)
+        rows = wide.withColumns({f"pc{k + 1}": model.score(k) for k in range(5)}).withColumn("label", (F.col("event_type") == "view").cast("int"))
+        features = [f"pc{k + 1}" for k in range(5)] + ["month", "dow", "loc_id", "region"]
+        _, held = evaluate(rows, features, "label", KEYS)
+        report = agg.classification_report(held, "label", "prediction")
+        return spark.createDataFrame(report.collect(), report.schema)  # a row per class
+    finally:
+        wide.unpersist()
 
 
 @query()
