@@ -23,13 +23,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: the neighbours above u go to the least of u and its neighbours
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "stars")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         starred = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours go to the least of these
         starred = scratch.table(starred, "links")
-        least = scratch.table(starred.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        least = starred.groupBy("u").agg(F.min("v").alias("m"))
         small = starred.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = scratch.table(small.where("u <> v").distinct(), "links")
+        done, now = (starred, now), scratch.table(small.where("u <> v").distinct(), "links")
+        scratch.drop(*done)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (state["n"], state["h"]) == before:
             break
