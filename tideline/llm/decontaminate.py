@@ -220,9 +220,20 @@ def scan_slice(several: list[str], blocks: Iterator[Items]) -> list[tuple[int, i
             matches[d].append({"item_id": items.names[i], "item_word": int(items.place[w]), "word": p, "words": n})
     covered = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
     hits = covered[begin[1:]] - covered[begin[:-1]]
+    matches = [_longest(m) for m in matches]
     return [(int(n), int(h), sorted(x), bool(h), m) for n, h, x, m in zip(sizes, hits, names, matches, strict=True)]
 
 
+def _longest(matches: list[dict]) -> list[dict]:
+    """Those of several blocks that don't lie within another one."""
+    out, end = [], 0
+    for m in sorted(matches, key=lambda m: (m["word"], -m["words"])):
+        if m["word"] + m["words"] > end:
+            out.append(m)
+            end = m["word"] + m["words"]
+    return out
+
+
 def _blocks(items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int) -> list:
     """Broadcasts of Items, each of about ``block_bytes`` of texts."""
     spark = items.sparkSession
