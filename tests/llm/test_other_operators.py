@@ -90,7 +90,7 @@ def test_url_labels_of_rules(spark):
 def test_quality(spark):
     good = [(i, f"the river and the town were quiet that morning {i} and people walked on") for i in range(200)]
     bad = [(1000 + i, f"BUY!! NOW!! $$$ {i} CLICK!! ### CHEAP!!") for i in range(60)]
-    odd = [(5000, None), (5001, ""), (5002, "ab"), (None, good[0][1]), (0, good[0][1]), (5003, "the river and the town " * 20000)]
+    odd = [(5000, None), (5001, ""), (5002, "ab"), (None, good[0][1]), (0, good[0][1]), (5003, "the river and the town " * 300)]
     df = spark.createDataFrame([(*r, "x") for r in good + bad + odd], "doc_id long, text string, keep string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(1000 + i, 0, 0) for i in range(30)] + [(5003, None, None), (7, None, 1), (8, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(df, labels)
@@ -103,6 +103,9 @@ def test_quality(spark):
         bucket, n = quality.grams([(t or "").encode()])
         assert len(bucket) == n[0] == max(0, len((t or "").encode()) - 4)
     assert quality.classify(df.limit(0), model).collect() == []
+    hot = df.unionByName(spark.range(4000).select((F.col("id") + 9000).alias("doc_id"), F.lit(good[160][1]).alias("text"), F.lit("x").alias("keep")))
+    rows = quality.classify(hot, quality.fit(hot, labels)).collect()  # a clean text with nearly all rows stays
+    assert np.mean([r["keep"] for r in rows if (r["row"]["doc_id"] or 0) >= 9000]) == 1 and np.mean([r["keep"] for r in rows if 1000 <= (r["row"]["doc_id"] or 0) < 2000]) < 0.2
     every = quality.fit(df, labels.limit(0))
     assert all(r["keep"] for r in quality.classify(df, every).collect())
     del raw, target

@@ -30,11 +30,13 @@ def brute_quality(spark, docs, labels):
         return out
 
     raw, target, of = Counter(), Counter(), []
+    copies = Counter(r.text for r in rows)
     for r in rows:
         of.append(grams(r.text))
-        raw.update(of[-1])
-        if part.get(r.doc_id) == 1:
-            target.update(of[-1])
+        for g, n in Counter(of[-1]).items():  # in so small a table every copy is one of many
+            raw[g] += n / copies[r.text]
+            if part.get(r.doc_id) == 1:
+                target[g] += n / copies[r.text]
     share = sum(target.values()) / sum(raw.values())
     ratio = {g: round(quality.SCALE * math.log((target[g] + quality.PRIOR) / (c * share + quality.PRIOR))) for g, c in raw.items()}
     weights = [min(sum(ratio[g] for g in x[i : i + quality.WINDOW]) for i in range(max(1, len(x) - quality.WINDOW + 1))) / quality.SCALE for x in of]

@@ -10,7 +10,9 @@ their weights: far from the threshold that decides nothing, near it by chance.
 k is the number of texts whose weight is not below that of nearly all good
 texts of a held-out part of the labels.
 
-The raw model counts every n-gram of every text; each task adds up its own
+The models count every n-gram of every text; copies of a text that make up more
+than ``HOT`` of all rows count as one text together, or the n-grams of a text
+with a third of all rows would look as if there were too many of them. Each task adds up its own
 counts, so a shuffle carries at most the number of buckets from each task, and
 the driver gets the sums of the buckets only. A bucket's ratio is drawn to 1 by
 ``PRIOR`` expected grams, so that rare n-grams tell little. Ratios are whole
@@ -43,6 +45,8 @@ N, BITS, LABELLED = 5, 20, 50_000
 BUCKETS = 1 << BITS
 #: Grams of a passage; expected grams that draw a ratio to 1; steps of a ratio; share of good texts that k leaves out.
 WINDOW, PRIOR, SCALE, LOSS = 16, 2.0, 1 << 16, 0.005
+#: Share of all rows beyond which a text's copies count as one; so there are fewer than 1 / HOT such texts.
+HOT = 1e-4
 #: Bytes of texts whose n-grams are looked at together; a gram takes some 60 bytes meanwhile.
 SLICE = 1 << 20
 #: Bins of one narrowing step, and values that are looked at one by one.
@@ -95,18 +99,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Count both models, weigh all texts, find k and the k-th largest value."""
     part = F.broadcast(scratch.table(_labelled(labels, key), "labelled"))  # LABELLED rows at most, about
     source = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    of_text = F.xxhash64("__text").alias("__copy")
+    copies = source.select(of_text).groupBy("__copy").agg(F.count("*").alias("__n"))
+    many = copies.where(F.col("__n") > F.greatest(F.lit(1.0), F.lit(HOT * docs.count())))
+    hot = F.broadcast(scratch.table(many, "hot"))  # fewer than 1 / HOT rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for b in slices(batches, "__text", SLICE):
             bucket, n = grams(_bytes(b))
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            good = np.array([x == 1 for x in b.column("__part").to_pylist()], bool)
-            target += np.bincount(bucket[np.repeat(good, n)], minlength=BUCKETS)
+            worth = np.repeat([1 / (x or 1) for x in b.column("__n").to_pylist()], n)
+            raw += np.bincount(bucket, worth, BUCKETS)
+            good = np.repeat([x == 1 for x in b.column("__part").to_pylist()], n).astype(bool)
+            target += np.bincount(bucket[good], worth[good], BUCKETS)
         kept = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(raw[kept]), pa.array(target[kept])], ["bucket", "raw", "target"])
 
-    counted = source.join(part, "__key", "left").select("__text", "__part").mapInArrow(count, "bucket long, raw long, target long")
+    joined = source.withColumn("__copy", of_text).join(part, "__key", "left").join(hot, "__copy", "left")
+    counted = joined.select("__text", "__part", "__n").mapInArrow(count, "bucket long, raw double, target double")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
