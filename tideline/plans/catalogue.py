@@ -451,7 +451,7 @@ def gam_fit(spark, sf_dir):
     try:  # ranges, moments and errors read the split once each
         model = Gam(_TERMS, "l_extendedprice").fit(rows.where("split = 'train'"))
         out = agg.regression_metrics(model.transform(rows.where("split = 'valid'")), F.col("l_extendedprice"), F.col("prediction"))
-        return spark.createDataFrame([(*out.first(), model.lam)], "rmse double, mae double, r2 double, penalty double")
+        return spark.createDataFrame([(*out.first(), float(model.lam))], "rmse double, mae double, r2 double, penalty double")
     finally:
         rows.unpersist()
 
