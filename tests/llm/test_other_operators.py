@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import time
@@ -19,7 +20,7 @@ from tideline.llm.chat_format import preference_pairs
 from tideline.llm.queries import QUERIES, RANKS
 from tideline.llm.sharding import pack, shard
 from tideline.llm.tiff import COMPRESSIONS, DAMAGE, FORMS, encode_tiff, lzw_decode, pad, tiff_digests, tiff_pages, to_tiff, unpack_bits, walk
-from tideline.llm.url_filter import RULES, entropy, judge, labelled_by_rules, train
+from tideline.llm.url_filter import RULES, entropy, judge, labelled_by_rules, lexical, parse, train
 
 LONG = "x" * 700 + " " + "йцукен" * 300 + " " + "日本語" * 200
 TEXTS = ["", "a", "  two  spaces\n\n\nand 's it's", "12½ Ⅷ ３ ４", "🎉👩‍👩‍👧 !!?? \t end ", LONG, "the quick brown fox " * 50, None]
@@ -59,6 +60,21 @@ def test_url_filter(spark):
     assert {r.verdict for r in judge(df.where("page_id = 3"), train(labelled_by_rules(empty))).collect()} == {"allow"}
 
 
+def test_url_features(spark):
+    """The lexical features, by plain Python."""
+    df = spark.createDataFrame([(u,) for u in URLS if u], "url string")
+    host, path = parse(F.col("url"))
+    for r in lexical(df.withColumns({"host": host, "path": path}), "url", "host", "path").collect():
+        u, (h, p, _) = r.url, brute_url(r.url)
+        shares = [u.count(c) / len(u) for c in set(u)]
+        want = {
+            "length": len(u), "host_length": len(h), "path_length": len(p), "depth": p.count("/"), "labels": h.count("."), "digit_ratio": sum(c in "0123456789" for c in u) / len(u),
+            "dash_count": h.count("-"), "entropy": -sum(s * math.log2(s) for s in shares), "parameters": u.count("="), "fragment": u.count("#"), "suffix": h.split(".")[-1],
+        }
+        for name, value in want.items():
+            assert r[name] == pytest.approx(value) if isinstance(value, float) else r[name] == value, (u, name)
+
+
 def test_url_trees_learn(spark):
     """Held-out urls are told apart by their digits and parameters."""
     make = lambda a, b: [(f"http://h{i}.net/" + (f"{i * 7919}/{i}?a={i}&b={i}" if i % 2 else "about/us"), i % 2) for i in range(a, b)]
