@@ -129,6 +129,63 @@ def test_trees(spark):
     assert len(sweep(df, ["a", "b"], "label", ["id"], (2,), (0.1, 0.3), 2)) == 2
 
 
+def test_sweep_grows_the_same_trees_without_a_job_each(spark):
+    """Trees on counted cells score as Spark's on the rows; a grid takes as many jobs as one setting."""
+    from tideline.models import trees
+
+    r = random.Random(4)
+    rows = [(i, r.randrange(12), r.randrange(30), float(r.randrange(5))) for i in range(3000)]
+    rows = [(i, a, b, c, int(a + (b > 20) * 6 + c * r.random() > 8)) for i, a, b, c in rows]
+    rows += [(3000, None, 3, 1.0, 1), (3001, 4, 5, math.nan, 0), (3002, 4, 5, 1.0, None)]  # lack a feature or the label
+    features = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "id int, a int, b int, c double, label int").cache()
+    known = df.where("id < 3000")
+    bins, train, _ = trees.cells_of(df.where("label IS NOT NULL").withColumn("split", F.lit("train")), features, "label")
+    assert train.sum() == 3000 and bins.shape[1] < 12 * 30 * 5 + 1
+    model = trees.fit_trees(known, features, "label", 8, 3, 0.3, subsample=1.0)
+    at = {tuple(c): i for i, c in enumerate(zip(*(b.tolist() for b in bins), strict=True))}
+    score = trees.grow(bins, train, 8, 3, 0.3, subsample=1.0)
+    for p in trees.predict(model, known, features).select(*features, "prediction").distinct().collect():
+        assert p.prediction == (score[at[p.a, p.b, int(p.c)]] > 0)
+
+    def jobs(rates):
+        spark.sparkContext.setJobGroup(f"sweep {len(rates)}", "")
+        try:
+            found = sweep(df, features, "label", ["id"], (2, 3), rates, 4)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweep {len(rates)}"))
+
+    (one, few), (four, many) = jobs((0.3,)), jobs((0.01, 0.1, 0.3, 0.5))
+    assert few == many < 30 and all(x in four for x in one)
+    assert four[0]["accuracy"] > 0.85
+
+
+def test_sweep_beyond_the_cells(spark, monkeypatch):
+    """Too many cells: Spark's trees on the rows, to the same result but for the draws."""
+    from tideline.models import trees
+
+    df = spark.range(900).selectExpr("cast(id as int) id", "cast(id * 37 % 101 as double) a", "cast(id * 37 % 101 > 60 as int) label").cache()
+    want = sweep(df, ["a"], "label", ["id"], (1, 2), (0.3,), 3)
+    monkeypatch.setattr(trees, "CELLS", 10)
+    monkeypatch.setattr(trees, "_sweep_rows", lambda *a, f=trees._sweep_rows: called.append(1) or f(*a))
+    called = []
+    assert sweep(df, ["a"], "label", ["id"], (1, 2), (0.3,), 3) == want and called
+    assert want[0]["accuracy"] > 0.95
+    with pytest.raises(ValueError):
+        sweep(df.withColumn("label", F.lit(2)), ["a"], "label", ["id"], (1,), (0.3,), 3)
+
+
+def test_thresholds(spark):
+    """Even shares of the rows, also where one value lies far off; all values if there are few."""
+    from tideline.models import trees
+
+    df = spark.range(20000).selectExpr("cast(id as double) a", "cast(id % 7 as double) b", "if(id = 0, 1e15, cast(id as double)) c", "1.0D d")
+    a, b, c, d = trees.thresholds(df, ["a", "b", "c", "d"])
+    assert b == [1, 2, 3, 4, 5, 6] and d == [] and len(a) == len(c) == trees.BINS - 1
+    assert all(abs(x - 625 * (i + 1)) < 25 for t in (a, c) for i, x in enumerate(t))
+
+
 def test_queries_run_the_whole_models(spark, sf, monkeypatch):
     """The registered queries fit with the reference's trees, grid and resamples."""
     from tideline.models import trees
