@@ -327,6 +327,41 @@ def test_passages_recall(spark):
     assert all(abs(d - o) == 1 for d, o in found)
 
 
+def test_passages_of_every_pair(spark):
+    """Variants of one passage: each pair has a row, not only those with a first text; so do texts that share more with each other than with many that quote a part."""
+    r = random.Random(21)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    base, long = words(120), words(60)
+    rows = []
+    for d in range(12):
+        w = list(base)
+        for i in r.sample(range(1, 119), 9):
+            w[i] = words(1)[0]
+        rows.append((d, words(30) + w + words(30)))
+    parts = [(100 + d, words(20) + long[at : at + 30] + words(20)) for d, at in enumerate((0, 10, 20, 30) * 10)]
+    rows += parts + [(200, words(30) + long + words(30)), (201, words(30) + long + words(30))]
+    df = spark.createDataFrame([(d, " ".join(w), "s", 0) for d, w in rows], DOCS)
+    found = {(p.doc_id, p.other) for p in passages(df).collect()}
+    assert {(a, b) for a in range(12) for b in range(12) if a != b} <= found
+    assert {(200, 201), (201, 200)} <= found
+    assert not any((a < 100) != (b < 100) for a, b in found)
+
+
+@pytest.mark.parametrize("run", [1 << 16, 40])
+def test_passages_of_hot_windows(spark, monkeypatch, run):
+    """A passage of more texts than are all paired: all hang together, also where a seed's rows come in parts."""
+    monkeypatch.setattr(substring, "RUN", run)
+    r = random.Random(22)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    long = words(70)
+    rows = [(d, " ".join([f"a{d}x{i}" for i in range(25)] + long + [f"b{d}x{i}" for i in range(25)]), "s", 0) for d in range(150)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = passages(df).collect()
+    assert {(p.start, p.end) for p in found} == {(25, 95)}
+    links = spark.createDataFrame([(p.doc_id, p.other) for p in found], "a long, b long")
+    assert {r.label for r in components(links).collect()} == {0} and {p.doc_id for p in found} == set(range(150))
+
+
 def test_gaps():
     """Short gaps are aligned by longest common subsequence, long ones from both ends."""
     r = random.Random(6)
