@@ -362,6 +362,47 @@ def test_passages_of_hot_windows(spark, monkeypatch, run):
     assert {r.label for r in components(links).collect()} == {0} and {p.doc_id for p in found} == set(range(150))
 
 
+def test_passages_ship_words_once(spark, monkeypatch):
+    """A text's own words go to the alignment of its pairs once, not for each of them, and seeds to no table."""
+    r = random.Random(23)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    base, tables, write = words(100), {}, substring.scratch.table
+
+    def table(df, name):
+        out = write(df, name)
+        tables[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substring.scratch, "table", table)
+    rows = [(d, " ".join(words(10) + base[:50] + words(1) + base[51:] + words(10)), "s", 0) for d in range(20)]
+    found = passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(p.doc_id, p.other) for p in found} == {(a, b) for a in range(20) for b in range(20) if a != b}
+    assert tables["wanted"] <= 2 * (190 + 20)  # two tiles of the partner for a pair, and of the text itself
+    assert "profiles" not in tables
+
+
+def test_hashes_of_words():
+    """Words of several texts at once: as Python splits them, whatever the runs that are hashed together."""
+    r = random.Random(24)
+    several = ["a B\tc", "", "  x\x0by ", "\u00e9\u00c9 b", "\n", "ab"] + ["".join(r.choice("ab A\t\n\x0c\r\u00a0") for _ in range(r.randrange(60))) for _ in range(500)]
+    want = [x.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split() for x in several]
+    for run in (3, 1 << 16):
+        substring.WORDS, kept = run, substring.WORDS
+        h, many = substring.hashes_of(several)
+        substring.WORDS = kept
+        assert many.tolist() == substring.words_of(several).tolist() == [len(w) for w in want]
+        every = [w for words in want for w in words]
+        assert len(set(zip(every, h.tolist(), strict=True))) == len(set(every)) == len(set(h.tolist()))
+
+
+def test_chains_with_and_without_tree(monkeypatch):
+    r = np.random.default_rng(25)
+    cases = [(np.sort(r.integers(0, 300, n)), r.integers(0, 300, n), r.choice([substring.K, 44], n)) for n in r.integers(1, 9, 300)]
+    got = [chains(*c, 1) for c in cases]
+    monkeypatch.setattr(substring, "FEW", 1)
+    assert got == [chains(*c, 1) for c in cases]
+
+
 def test_gaps():
     """Short gaps are aligned by longest common subsequence, long ones from both ends."""
     r = random.Random(6)
