@@ -16,11 +16,14 @@ from tideline.llm.ngram_join import ngram_components
 from tideline.llm.quality import fit, resampled
 from tideline.llm.sharding import shard
 from tideline.llm.substring import passages
+from tideline.llm.token_files import read_token_files, store_tokens
 from tideline.llm.tiff import tiff_digests, to_tiff
 from tideline.llm.url_filter import judge, labelled_by_rules, train
 
 #: The rank file that op9 encodes with.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The tokenizer that op12 encodes with.
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +81,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents).select("row.doc_id", "n_lines", "n_dropped", "kept")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_token_files(store_tokens(documents, WORDS, end=2, by_words=True), ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiff_media": op8_tiff_media,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_line_dedup": op10_line_dedup,
+    "op12_token_files": op12_token_files,
 }
 
 _OP3_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

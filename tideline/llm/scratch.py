@@ -57,12 +57,12 @@ def scope() -> Iterator[list[str]]:
         _written().extend(mine)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return the table that was written."""
+def table(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` below the shared folder and return the table that was written. ``options``: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{root(spark)}/tideline/{name}-{uuid.uuid4().hex}"
     _written().append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
