@@ -14,6 +14,7 @@ from tideline.llm.decontaminate import find_contamination
 from tideline.llm.line_dedup import line_dedup
 from tideline.llm.ngram_join import ngram_components
 from tideline.llm.quality import fit, resampled
+from tideline.llm.ranked import build, search
 from tideline.llm.sharding import shard
 from tideline.llm.substring import passages
 from tideline.llm.token_files import read_token_files, store_tokens
@@ -81,6 +82,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents).select("row.doc_id", "n_lines", "n_dropped", "kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return search(build(documents), benchmark, k=20)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_token_files(store_tokens(documents, WORDS, end=2, by_words=True), ids=False)
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiff_media": op8_tiff_media,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_search": op11_ranked_search,
     "op12_token_files": op12_token_files,
 }
 
@@ -149,4 +156,15 @@ k AS (SELECT d.*, bad, [x FOR x IN ls IF trim(x) = '' OR NOT list_contains(bad,
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN bad IS NULL OR text IS NULL THEN 0 ELSE len(ls) - len(kept_lines) END AS BIGINT) AS n_dropped,
   CASE WHEN bad IS NULL THEN text ELSE array_to_string(kept_lines, chr(10)) END AS kept
 FROM k""",
+    "op11_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP3_WORDS.format("text")} AS w FROM documents),
+t AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+c AS (SELECT CAST(count(DISTINCT r) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS terms FROM t),
+f AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, CAST(count(*) AS BIGINT) AS tf FROM t GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, c GROUP BY term),
+i AS (SELECT row_number() OVER () AS q, item_id, {_OP3_WORDS.format("text")} AS w FROM benchmark),
+s AS (SELECT q, item_id, term, CAST(count(*) AS BIGINT) AS repeats FROM (SELECT q, item_id, unnest(w) AS term FROM i) GROUP BY q, item_id, term),
+g AS (SELECT q, any_value(item_id) AS item_id, any_value(f.doc_id) AS doc_id, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM s JOIN f USING (term) JOIN w USING (term), c GROUP BY q, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM g WHERE score > 0) WHERE rank <= 20""",
 }
