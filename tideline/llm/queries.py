@@ -17,6 +17,7 @@ from tideline.llm.quality import fit, resampled
 from tideline.llm.ranked import build, search
 from tideline.llm.sharding import shard
 from tideline.llm.substring import passages
+from tideline.llm.token_align import link_scores
 from tideline.llm.token_files import read_token_files, store_tokens
 from tideline.llm.tiff import tiff_digests, to_tiff
 from tideline.llm.url_filter import judge, labelled_by_rules, train
@@ -25,6 +26,8 @@ from tideline.llm.url_filter import judge, labelled_by_rules, train
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The tokenizer that op12 encodes with.
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+#: The tokenizers that op13 aligns.
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(store_tokens(documents, WORDS, end=2, by_words=True), ids=False)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return link_scores(documents, BYTES, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_token_files": op12_token_files,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _OP3_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -54,7 +54,7 @@ _MAGIC = b"TIDEHUF1"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-class _Known(dict):
+class Known(dict):
     """Numbers for keys; unknown keys get the next one and are put on a list."""
 
     def __init__(self) -> None:
@@ -78,7 +78,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Known()
+        self.known = Known()
         self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self) -> None:
