@@ -24,6 +24,8 @@ part begins is the sum of the parts before it, added up in two levels.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,16 +42,21 @@ from tokenizers import Tokenizer
 from tideline.llm import scratch
 from tideline.llm.batches import slices, texts
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 #: Most bits of a code; more where the ids wouldn't fit.
 LIMIT = 16
 #: Ids of a block, of a checkpoint, of a file image.
-BLOCK, STEP, IMAGE_IDS = 1 << 16, 1 << 10, 1 << 21
+BLOCK, STEP, IMAGE_IDS = 1 << 16, 1 << 10, 1 << 20
 #: Bytes of ids in a range of documents.
 PART_BYTES = 64 << 20
-#: Distinct words that a worker remembers (about 130 MB); a full memory is emptied. Words that are encoded together.
-REMEMBERED, TOGETHER = 800_000, 512
+#: Distinct words that a worker remembers (about 90 MB); of a full memory those stay that were met again. Words that are encoded together.
+REMEMBERED, TOGETHER = 500_000, 64
+#: Bytes of texts that are encoded together.
+ENCODED_BYTES = 4 << 20
 #: Ranges whose beginnings may be broadcast (16 bytes each).
 MOST_PARTS = 1 << 20
+#: The tokenizer's pattern of parts of words, for lower-case ASCII.
+_PARTS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 _MAGIC = b"TIDEHUF1"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -57,8 +64,8 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 class Known(dict):
     """Numbers for keys; unknown keys get the next one and are put on a list."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known=()) -> None:
+        super().__init__(known)
         self.new: list = []
 
     def __missing__(self, key) -> int:
@@ -72,35 +79,62 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        plain = Tokenizer.from_file(path)
-        plain.normalizer = None  # lower-case ASCII is in normal form
-        self.plain = plain
-        self._forget()
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None  # lower-case ASCII is in normal form
+        vocabulary = self.plain.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known, self.flat, self.start, self.length = Known(), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
 
     def _forget(self) -> None:
-        self.known = Known()
-        self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Keep the words that were met more than once, unless these are most."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = kept[:0]
+        words, lengths = list(self.known), self.length[kept]
+        self.known = Known(zip(map(words.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(self.start[kept] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.start, self.length, self.uses = ends - lengths, lengths, np.zeros(len(kept), np.int64)
+
+    def _simple(self, words: list[bytes]) -> tuple[np.ndarray, list[int]] | None:
+        """(ids, number of each word's): lower-case ASCII in one go; the parts of words by the tokenizer's pattern tell the words apart."""
+        parts = [1 if w.isalpha() else len(_PARTS.findall(w)) for w in words]
+        ids = np.array(self.plain.encode_batch_fast(["\n".join(map(bytes.decode, words))], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != sum(parts):
+            return None
+        return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+
+    def _other(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words; where tokens begin tells the words apart."""
+        several = [w.decode() for w in words]
+        got = self.tokenizer.encode("\n".join(several), add_special_tokens=False)
+        begin = np.cumsum([0] + [len(w) + 1 for w in several[:-1]])
+        where = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got))[::2]
+        return np.array(got.ids, np.int32), np.bincount(np.searchsorted(begin, where, "right") - 1, minlength=len(words))
 
     def _learn(self) -> None:
         words, self.known.new = self.known.new, []
+        simple = np.array([w.isascii() and w.lower() == w and b"<|" not in w for w in words], bool)
         ids: list[np.ndarray] = []
         lengths = np.zeros(len(words), np.int64)
-        simple = np.array([w.isascii() and w == w.translate(_LOWER) and b"<|" not in w for w in words], bool)
-        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
-        edge = int(simple.sum())
-        for tokenizer, part in ((self.plain, order[:edge]), (self.tokenizer, order[edge:])):
-            for at in range(0, len(part), TOGETHER):
-                some = part[at : at + TOGETHER]
-                several = [words[i].decode() for i in some.tolist()]
-                got = tokenizer.encode("\n".join(several), add_special_tokens=False)
-                begin = np.cumsum([0] + [len(w) + 1 for w in several[:-1]])
-                where = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got))[::2]
-                lengths[some] = np.bincount(np.searchsorted(begin, where, "right") - 1, minlength=len(some))
-                ids.append(np.array(got.ids, np.int32))
+        order = []
+        for plain, which in ((True, np.flatnonzero(simple)), (False, np.flatnonzero(~simple))):
+            for at in range(0, len(which), TOGETHER):
+                some = which[at : at + TOGETHER]
+                several = [words[i] for i in some.tolist()]
+                found = (self._simple(several) if plain else None) or self._other(several)
+                ids.append(found[0])
+                lengths[some] = found[1]
+                order.append(some)
+        order = np.concatenate(order)
         begin = np.zeros(len(words), np.int64)
         begin[order] = np.cumsum(lengths[order]) - lengths[order] + len(self.flat)
         self.flat = np.concatenate([self.flat, *ids])
         self.start, self.length = np.concatenate([self.start, begin]), np.concatenate([self.length, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def encode(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's)."""
@@ -112,9 +146,13 @@ class WordEncoder:
             w = (b if b"<|" in b else b.translate(_LOWER)).split()  # a special token counts in its own case only
             counts[i] = len(w)
             words += w
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        distinct = list(set(words))  # a small table finds words faster than the large one
+        here = dict(zip(distinct, range(len(distinct)), strict=True))
+        index = np.fromiter(map(here.__getitem__, words), np.int64, len(words))
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[index]
         if self.known.new:
             self._learn()
+        self.uses += np.bincount(index, minlength=len(self.uses))
         lengths = self.length[index]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.start[index] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
@@ -147,7 +185,7 @@ def encode_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path, by_words)
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", ENCODED_BYTES):
             ids, counts = coder.encode(texts(b, "__text"))
             if end is not None:
                 ids = np.insert(ids, np.cumsum(counts), end)
