@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -22,13 +23,13 @@ from tideline.llm.token_files import Code, Image, WordEncoder, code_lengths, rea
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     None, "", " \n\t ", "One", "ONE one\x0bOne\x0ctwo\x1cthree\x85four\xa0five", "I'LL don't they've 'S x's", "Straße ΣΊΣΥΦΟΣ İstanbul ́combining é É", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b",
-    "日本語の文章 and 한국어", "\x00\x01 ctrl �", "a" * 5000, "word " * 3000, '."— «quoted» …dots... 3.14 ½ ² ⅷ', "​zero‍width﻿", "👩‍👩‍👧 emoji 👍🏽", "tail　space  line",
+    "日本語の文章 and 한국어", "\x00\x01 ctrl �", "a" * 5000, "word " * 3000, '."— «quoted» …dots... 3.14 ½ ² ⅷ', "​zero‍width﻿", "👩‍👩‍👧 emoji 👍🏽", "end. Next, one... two!? three;\nfour:", "x.'y a.'s ÀÉ ñandú µ ªº ÷×", "tail　space  line",
 ]
 
 
 def test_words_are_encoded_as_the_library_encodes_texts():
     texts = [x or "" for x in ODD] * 2
-    ids, counts = WordEncoder(WORDS).encode(texts)
+    ids, counts = WordEncoder(WORDS).encode(pa.array(texts))
     plain = Tokenizer.from_file(WORDS)
     want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want

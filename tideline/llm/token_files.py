@@ -34,13 +34,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideline.llm import scratch
-from tideline.llm.batches import slices, texts
+from tideline.llm.batches import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 #: Most bits of a code; more where the ids wouldn't fit.
@@ -49,16 +50,16 @@ LIMIT = 16
 BLOCK, STEP, IMAGE_IDS = 1 << 16, 1 << 10, 1 << 20
 #: Bytes of ids in a range of documents.
 PART_BYTES = 64 << 20
-#: Distinct words that a worker remembers (about 90 MB); of a full memory those stay that were met again. Words that are encoded together.
-REMEMBERED, TOGETHER = 500_000, 64
+#: Distinct words that a worker remembers (about 110 MB); of a full memory those stay that were met again. Words that are encoded together.
+REMEMBERED, TOGETHER = 650_000, 64
 #: Bytes of texts that are encoded together.
 ENCODED_BYTES = 4 << 20
 #: Ranges whose beginnings may be broadcast (16 bytes each).
 MOST_PARTS = 1 << 20
-#: The tokenizer's pattern of parts of words, for lower-case ASCII.
-_PARTS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words that the tokenizer's normalisation leaves alone (lower-case Latin), and its pattern of their parts.
+_SIMPLE = re.compile(r"[!-@\[-~ß-öø-ÿ]+")
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _MAGIC = b"TIDEHUF1"
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class Known(dict):
@@ -98,26 +99,25 @@ class WordEncoder:
         self.flat = self.flat[np.repeat(self.start[kept] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
         self.start, self.length, self.uses = ends - lengths, lengths, np.zeros(len(kept), np.int64)
 
-    def _simple(self, words: list[bytes]) -> tuple[np.ndarray, list[int]] | None:
-        """(ids, number of each word's): lower-case ASCII in one go; the parts of words by the tokenizer's pattern tell the words apart."""
+    def _simple(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of each word's) of words that ``_SIMPLE`` matches, in one go; their parts by the tokenizer's pattern tell the words apart."""
         parts = [1 if w.isalpha() else len(_PARTS.findall(w)) for w in words]
-        ids = np.array(self.plain.encode_batch_fast(["\n".join(map(bytes.decode, words))], add_special_tokens=False)[0].ids, np.int32)
+        ids = np.array(self.plain.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.int32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != sum(parts):
             return None
         return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
 
-    def _other(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for any words; where tokens begin tells the words apart."""
-        several = [w.decode() for w in words]
-        got = self.tokenizer.encode("\n".join(several), add_special_tokens=False)
-        begin = np.cumsum([0] + [len(w) + 1 for w in several[:-1]])
+        got = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+        begin = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
         where = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got))[::2]
         return np.array(got.ids, np.int32), np.bincount(np.searchsorted(begin, where, "right") - 1, minlength=len(words))
 
     def _learn(self) -> None:
         words, self.known.new = self.known.new, []
-        simple = np.array([w.isascii() and w.lower() == w and b"<|" not in w for w in words], bool)
+        simple = np.array([bool(_SIMPLE.fullmatch(w)) and "<|" not in w for w in words], bool)
         ids: list[np.ndarray] = []
         lengths = np.zeros(len(words), np.int64)
         order = []
@@ -136,20 +136,21 @@ class WordEncoder:
         self.start, self.length = np.concatenate([self.start, begin]), np.concatenate([self.length, lengths])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
-    def encode(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, several: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's)."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        counts, words = np.zeros(len(several), np.int64), []
-        for i, x in enumerate(several):
-            b = x.encode()
-            w = (b if b"<|" in b else b.translate(_LOWER)).split()  # a special token counts in its own case only
-            counts[i] = len(w)
-            words += w
-        distinct = list(set(words))  # a small table finds words faster than the large one
-        here = dict(zip(distinct, range(len(distinct)), strict=True))
-        index = np.fromiter(map(here.__getitem__, words), np.int64, len(words))
-        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[index]
+        lower = pc.replace_substring_regex(pc.ascii_lower(several), "([a-z])([.,;:!?]+)(\\s)", "\\1 \\2\\3")  # what ends a clause is a word of its own
+        special = pc.match_substring(several, "<|")  # a special token counts in its own case only
+        if pc.any(special).as_py():
+            lower = pc.if_else(special, several, lower)
+        words = pc.ascii_split_whitespace(lower)
+        counts = words.value_lengths().to_numpy()
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return np.empty(0, np.int32), np.zeros(len(several), np.int64)
+        distinct = _strings(coded.dictionary)
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if self.known.new:
             self._learn()
         self.uses += np.bincount(index, minlength=len(self.uses))
@@ -160,14 +161,20 @@ class WordEncoder:
         return ids, np.diff(edges)
 
 
+def _strings(words: pa.StringArray) -> list[str]:
+    """A list of words without white space, by way of one text."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(one, "\n")[0].as_py().split("\n")
+
+
 class TextEncoder:
     """Ids of texts by any tokenizer, a text at a time."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in several]
+    def encode(self, several: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in several.to_pylist()]
         return np.concatenate([np.empty(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
 
 
@@ -186,7 +193,7 @@ def encode_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path, by_words)
         for b in slices(batches, "__text", ENCODED_BYTES):
-            ids, counts = coder.encode(texts(b, "__text"))
+            ids, counts = coder.encode(pc.fill_null(b.column(1), ""))
             if end is not None:
                 ids = np.insert(ids, np.cumsum(counts), end)
                 counts = counts + 1
