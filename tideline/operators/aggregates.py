@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.quantiles import grouped_quantiles
+
 
 def group_stats(df: DataFrame, by: str, value: str, digits: int = 2) -> DataFrame:
     """n, mean, median, std (n - 1), p25, p75 per group."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p.alias("p"), F.stddev_samp(value).alias("std"))
+    q = grouped_quantiles(df, [by], [value], [0.25, 0.5, 0.75]).select(F.col(by).alias("__by"), F.col("quantiles").alias("p"))
+    out = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).join(q, F.col(by).eqNullSafe(F.col("__by")), "left")
     r = lambda c: F.round(c, digits)
     return out.select(by, "n", r(F.col("mean")).alias("mean"), r(F.col("p")[1]).alias("median"), r(F.col("std")).alias("std"), r(F.col("p")[0]).alias("p25"), r(F.col("p")[2]).alias("p75"))
 
@@ -49,14 +51,12 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
-    """column, count, mean, std, min, p25, p50, p75, max, one row per column, from one pass."""
-    aggs = []
-    for c in columns:
-        p = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), p.alias("p"), F.max(c).alias("max")).alias(c))
+    """column, count, mean, std, min, p25, p50, p75, max, one row per column; one pass for the moments, the quantiles of all columns together."""
+    aggs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in columns]
     row = df.agg(*aggs)
     r = lambda x: F.round(x.cast("double"), digits)
     s = row.select(F.explode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("s")).select("s.*")
+    s = s.join(grouped_quantiles(df, [], columns, [0.25, 0.5, 0.75]).select("column", F.col("quantiles").alias("p")), "column", "left")  # a row a column
     return s.select("column", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min"), *(r(F.col("p")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))), r(F.col("max")).alias("max"))
 
 

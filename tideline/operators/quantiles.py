@@ -7,10 +7,18 @@ Callers that ask for several quantiles of one table should persist it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.lineage import cut
+
 BINS, FEW = 4096, 20_000
+#: Targets (groups x columns x quantiles) whose intervals may be broadcast, some 100 bytes each; Spark chooses beyond that.
+MOST_TARGETS = 50_000
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, ends: tuple[float, float] | None = None) -> float | None:
@@ -58,3 +66,55 @@ def _around(bins: list[tuple[int, float, float]], place: float, below: int) -> f
             return float(b) if last else (n, a, b, below)
         below += n
     raise ValueError("the place lies beyond the values")
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], quantiles: list[float]) -> DataFrame:
+    """``by``, column, n, quantiles (array in the order asked for): exact quantiles of every group and column, all found together.
+
+    Each pass counts the values of all groups and columns in ``BINS`` ranges of the interval that still holds a
+    target, and a target goes on with the bin that holds it, until the bins' ends tell its value; so a pass needs
+    memory for bins only, however many values a group has. Null and NaN are left out, a group without a value of a
+    column has no row for it, null groups are one group, infinite values count as the largest doubles.
+    """
+    rows = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))).alias("s")).select(*by, "s.column", "s.v")
+    largest = F.lit(sys.float_info.max)
+    rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("v", F.greatest(F.least("v", largest), -largest))
+    keys = [*by, "column"]
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    targets = F.posexplode(F.array(*(F.lit(float(q)) for q in quantiles))).alias("t", "q")
+    state = ends.select(*keys, "n", "low", "high", F.lit(0).cast("long").alias("below"), targets).withColumn("place", F.col("q") * (F.col("n") - 1)).drop("q")
+    state = cut(state.withColumn("value", F.when(F.col("low") == F.col("high"), F.col("low"))))
+    while (left := state.where("value is null").count()):
+        state = cut(_narrowed(rows, state, keys, left))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"])
+    return state.groupBy(*keys).agg(F.first("n").alias("n"), values.alias("quantiles"))
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], left: int) -> DataFrame:
+    """The state after one more pass over the rows; ``left``: targets without a value."""
+    open_ = state.where("value is null")
+    intervals = open_.select(*keys, "low", "high").distinct()
+    if left <= MOST_TARGETS:
+        intervals = F.broadcast(intervals)
+    r, i = rows.alias("r"), intervals.alias("i")
+    inside = (F.col("r.v") >= F.col("i.low")) & (F.col("r.v") <= F.col("i.high"))
+    on = reduce(and_, (F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys))
+    # halves, as the width of an interval may exceed the largest double
+    bin_ = F.least(F.floor((F.col("r.v") / 2 - F.col("i.low") / 2) / (F.col("i.high") / 2 - F.col("i.low") / 2) * BINS), F.lit(BINS - 1))
+    found = r.join(i, on & inside).select(*(F.col(f"r.{k}") for k in keys), "i.low", "i.high", bin_.alias("bin"), "r.v")
+    bins = found.groupBy(*keys, "low", "high", "bin").agg(F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b"))
+    w = Window.partitionBy(*keys, "low", "high").orderBy("bin")  # BINS rows at most
+    bins = bins.withColumns({"upto": F.sum("k").over(w), "next": F.lead("a").over(w)})
+    o, b = open_.alias("o"), bins.alias("b")
+    place, part = F.floor("o.place"), F.col("o.place") - F.floor("o.place")
+    upto, before = F.col("o.below") + F.col("b.upto"), F.col("o.below") + F.col("b.upto") - F.col("b.k")
+    on = reduce(and_, (F.col(f"o.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "low", "high"]))
+    last = upto == place + 1
+    value = (
+        F.when((F.col("b.a") == F.col("b.b")) & ~((part > 0) & last), F.col("b.a"))
+        .when(last & (part > 0), F.col("b.b") + (F.col("b.next") - F.col("b.b")) * part)
+        .when(last, F.col("b.b"))
+        .when((part == 0) & (before == place), F.col("b.a"))
+    )
+    moved = o.join(b, on & (before <= place) & (place < upto)).select(*(F.col(f"o.{k}") for k in keys), "o.n", F.col("b.a").alias("low"), F.col("b.b").alias("high"), before.alias("below"), "o.t", "o.place", value.alias("value"))
+    return state.where("value is not null").select(moved.columns).unionByName(moved)
