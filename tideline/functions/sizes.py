@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import resource
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Units are powers of 1024.
 UNITS = {"B": 0, "KB": 1, "MB": 2, "GB": 3, "TB": 4}
 
@@ -40,3 +43,37 @@ def scan_conf(partition_size: str | int) -> dict[str, str]:
 def peak_memory_mb() -> float:
     """The driver process's peak resident memory."""
     return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
+def _hundredths(n: Column, d: Column | int) -> Column:
+    """n / d with two decimals, as text; halves go to the even digit, as Python's formats do, and Java's don't."""
+    n, d = n.cast("decimal(27,0)") * 100, (F.lit(d) if isinstance(d, int) else d).cast("decimal(20,0)")
+    rest = n % d
+    q = ((n - rest) / d).cast("decimal(27,0)")
+    q = q + F.when((2 * rest > d) | ((2 * rest == d) & (q % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(q / 100).cast("string"), F.lit("."), F.lpad((q % 100).cast("int").cast("string"), 2, "0"))
+
+
+def size_text(n: Column) -> Column:
+    """``format_size`` of a column of whole numbers from 0 on."""
+    out = F.concat(n.cast("long").cast("string"), F.lit("B"))
+    for unit, power in UNITS.items():
+        if power:
+            out = F.when(n >= 1024**power, F.concat(_hundredths(n, 1024**power), F.lit(unit))).otherwise(out)
+    return out
+
+
+def size_of(text: Column) -> Column:
+    """``parse_size`` of a column; null where the text is no size above 0."""
+    upper = F.upper(F.trim(text))
+    factor = F.lit(None).cast("double")
+    unit = F.regexp_extract(upper, r"^[\d.]+\s*([KMGT]?B)$", 1)
+    for u, power in UNITS.items():
+        factor = F.when(unit == u, F.lit(float(1024**power))).otherwise(factor)
+    n = (F.regexp_extract(upper, r"^([\d.]+)", 1).try_cast("double") * factor).cast("long")
+    return F.when(n > 0, n)
+
+
+def percent_text(part: Column, whole: Column) -> Column:
+    """``percent`` of columns of whole numbers from 0 on."""
+    return F.when(whole != 0, F.concat(_hundredths(100 * part, whole), F.lit("%"))).otherwise("N/A")

@@ -10,12 +10,13 @@ validation over GRID, one for all smooths.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.splines import spline_place, spline_sum
 from tideline.models.gram import moments, moments_by
 
 GRID = tuple(10.0**k for k in np.linspace(-3, 3, 11))
@@ -135,25 +136,23 @@ class Gam:
         return [{"x": float(v), "low": float(p), "median": float(q), "high": float(r)} for v, p, q, r in zip(x[:, term], low, middle, high, strict=True)]
 
     def transform(self, df: DataFrame, out: str = "prediction", effects: bool = False) -> DataFrame:
-        """Add the prediction, and with ``effects`` each term's part as effect_<column>. Null inputs give null."""
-        model, columns = self, [t.column for t in self.terms]
-        kind = "struct<p:double," + ",".join(f"e{i}:double" for i in range(len(columns))) + ">"
-
-        @F.pandas_udf(kind)
-        def run(cells: pd.DataFrame) -> pd.DataFrame:
-            x = cells.to_numpy(float, na_value=np.nan)
-            bad = np.isnan(x).any(1)
-            x[bad] = 0
-            got = pd.DataFrame({"p": model.predict(x)} | {f"e{i}": model.effect(x, i) for i in range(len(columns))})
-            got[bad] = np.nan
-            return got
-
-        result = df.withColumn("__gam", run(F.struct(*(F.col(c).cast("double").alias(c) for c in columns))))
-        clean = lambda c: F.when(~F.isnan(c), c)
-        result = result.withColumn(out, clean(F.col("__gam.p")))
+        """Add the prediction, and with ``effects`` each term's part as effect_<column>, as expressions. Null and NaN inputs give null."""
+        smooth = [(i, t) for i, t in enumerate(self.terms) if isinstance(t, Smooth)]
+        rows = df
+        for i, t in smooth:  # places and parts are columns of their own, as they are used several times
+            first, at = spline_place(F.col(f"`{t.column}`"), *self.ranges[i], t.splines, t.order)
+            rows = rows.withColumns({f"__first{i}": first, f"__at{i}": at})
+        parts = {}
+        for i, t in enumerate(self.terms):
+            x, beta = F.col(f"`{t.column}`").cast("double"), self.beta[self.blocks[i]]
+            whole = spline_sum(F.col(f"__first{i}"), F.col(f"__at{i}"), beta.tolist(), t.order) if isinstance(t, Smooth) else x * F.lit(float(beta[0]))
+            parts[f"__part{i}"] = F.when(~F.isnan(x), whole - F.lit(float(self.centre[self.blocks[i]] @ beta)))
+        rows = rows.withColumns(parts)
+        mean = self.intercept + float(self.centre @ self.beta)
+        more = {out: reduce(lambda a, c: a + F.col(c), parts, F.lit(mean))}
         if effects:
-            result = result.withColumns({f"effect_{c}": clean(F.col(f"__gam.e{i}")) for i, c in enumerate(columns)})
-        return result.drop("__gam")
+            more |= {f"effect_{t.column}": F.col(f"__part{i}") for i, t in enumerate(self.terms)}
+        return rows.withColumns(more).drop(*parts, *(f"__{n}{i}" for i, _ in smooth for n in ("first", "at")))
 
     def breakdown(self, df: DataFrame) -> DataFrame:
         """term, mean_abs_effect over the rows, largest first; the intercept has its own value."""

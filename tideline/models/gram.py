@@ -31,31 +31,34 @@ def poisson_weights(keys: np.ndarray, resample: int, seed: int) -> np.ndarray:
     return np.searchsorted(np.cumsum(p), u).astype(float)
 
 
-def moments(df: DataFrame, columns: list[str], resamples: int = 0, keys: list[str] | None = None, seed: int = 12345, expand=None, centre: list[float] | None = None) -> np.ndarray:
+def moments(df: DataFrame, columns: list[str], resamples: int = 0, keys: list[str] | None = None, seed: int = 12345, expand=None, centre: list[float] | None = None, weights: Column | None = None) -> np.ndarray:
     """Sums of (1, x)(1, x)' over all rows: [0] unweighted, [1 ..] one per resample. Rows with a null are left out.
 
     ``expand``: function of the rows' matrix that gives the matrix to sum instead.
+    ``weights``: an array of the resamples' counts, instead of counts from a hash of the keys.
     ``centre``: what is taken from the columns first, so that large offsets don't cancel.
     """
-    found = moments_by(df, F.lit("").alias("g"), columns, {"": expand}, resamples, keys, seed, centre)
+    found = moments_by(df, F.lit("").alias("g"), columns, {"": expand}, resamples, keys, seed, centre, weights)
     if "" in found:
         return found[""]
     p = len(columns) + 1
     return np.zeros((resamples + 1, p, p))
 
 
-def moments_by(df: DataFrame, group: Column, columns: list[str], expand: dict[str, Callable | None], resamples: int = 0, keys: list[str] | None = None, seed: int = 12345, centre: list[float] | None = None) -> dict[str, np.ndarray]:
+def moments_by(df: DataFrame, group: Column, columns: list[str], expand: dict[str, Callable | None], resamples: int = 0, keys: list[str] | None = None, seed: int = 12345, centre: list[float] | None = None, weights: Column | None = None) -> dict[str, np.ndarray]:
     """The moments of each group that ``expand`` names, all in one pass; groups without rows are left out."""
     row_key = F.xxhash64(*(keys or columns)).alias("__key")
-    source = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)), row_key, group.cast("string").alias("__group")).dropna()
+    source = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)), row_key, group.cast("string").alias("__group"), *([] if weights is None else [weights.alias("__weights")])).dropna()
     source = source.where(F.col("__group").isin(list(expand)))
     offset = np.array(centre, float) if centre is not None else 0.0
+    given = weights is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             every = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
             every_key = b.column(len(columns)).to_numpy()
+            drawn = None if not given else b.column(len(columns) + 2).flatten().to_numpy().reshape(-1, resamples)
             codes = b.column(len(columns) + 1).dictionary_encode()
             for g, name in enumerate(codes.dictionary.to_pylist()):
                 mine = codes.indices.to_numpy() == g if len(codes.dictionary) > 1 else slice(None)
@@ -67,7 +70,8 @@ def moments_by(df: DataFrame, group: Column, columns: list[str], expand: dict[st
                         sums[name] = np.zeros((resamples + 1, m.shape[1], m.shape[1]))
                     sums[name][0] += m.T @ m
                     for r in range(resamples):
-                        sums[name][r + 1] += (m * poisson_weights(key[at : at + _STEP], r, seed)[:, None]).T @ m
+                        w = poisson_weights(key[at : at + _STEP], r, seed) if drawn is None else drawn[mine][at : at + _STEP, r]
+                        sums[name][r + 1] += (m * w[:, None]).T @ m
         task = TaskContext.get().partitionId() % LEVEL
         for name, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(range(len(s)), pa.int32()), pa.array([task] * len(s), pa.int32()), pa.array([x.tobytes() for x in s], pa.binary())], ["g", "resample", "part", "sums"])

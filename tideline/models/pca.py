@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tideline.functions.columns import hour_columns
 from tideline.models import distributions as dist
 from tideline.models.gram import column_means, covariance, fill_with_means, moments
+from tideline.operators.sampling import poisson_array
 from tideline.sources.sinks import read_text, write_text
 
 
@@ -97,7 +98,7 @@ def bootstrap_stability(wide: DataFrame, keys: list[str], resamples: int = 100,
     """
     columns = hour_columns(wide.columns)
     means = column_means(wide, columns)
-    sums = moments(fill_with_means(wide, columns, means), columns, resamples, keys, seed, centre=means)
+    sums = moments(fill_with_means(wide, columns, means), columns, resamples, keys, seed, centre=means, weights=poisson_array(resamples, *keys, seed=seed))
     base = from_moments(sums[0], columns, k).matrix()
     fits = [from_moments(s, columns, k).matrix() for s in sums[1:] if s[0, 0] > 1]
     near = [affinity(base, m) for m in fits]

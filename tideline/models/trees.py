@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.sampling import poisson_weight, stratified_split
+from tideline.operators.sampling import poisson_resamples, stratified_split
 
 #: Bins of a feature, as Spark's trees have; steps an octave in which values are counted to place them.
 BINS, STEPS = 32, 4096
@@ -201,12 +201,9 @@ def _splits(bins: np.ndarray, node: np.ndarray, weight: np.ndarray, total: np.nd
     return feature, cut, mean.ravel()
 
 
-def accuracy_bootstrap(df: DataFrame, label: str, prediction: str, keys: list[str], resamples: int = 100) -> DataFrame:
+def accuracy_bootstrap(df: DataFrame, label: str, prediction: str, keys: list[str], resamples: int = 100, seed: int = 42) -> DataFrame:
     """mean, std (n), low, high (2.5 and 97.5 %) of the accuracy over Poisson resamples, from one pass over the rows."""
-    hit = (F.col(label) == F.col(prediction)).cast("int")
-    rows = df.select(hit.alias("hit"), F.xxhash64(*keys).alias("key"))
-    weights = [poisson_weight(b, "key") for b in range(resamples)]
-    row = rows.agg(*(F.struct(F.sum(w * F.col("hit")).alias("h"), F.sum(w).alias("n")).alias(f"b{i}") for i, w in enumerate(weights)))
-    each = row.select(F.explode(F.array(*(F.col(f"b{i}") for i in range(resamples)))).alias("s")).select((F.col("s.h") / F.when(F.col("s.n") > 0, F.col("s.n"))).alias("a"))
-    p = F.percentile("a", F.array(F.lit(0.025), F.lit(0.975)))
+    rows = df.select((F.col(label) == F.col(prediction)).cast("int").alias("hit"), *keys)
+    each = poisson_resamples(rows, resamples, *keys, seed=seed).groupBy("resample").agg((F.sum(F.col("weight") * F.col("hit")) / F.sum("weight")).alias("a"))
+    p = F.percentile("a", F.array(F.lit(0.025), F.lit(0.975)))  # a value a resample
     return each.agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("std"), p[0].alias("low"), p[1].alias("high"))

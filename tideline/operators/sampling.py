@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +14,9 @@ def order_key(*keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def sample_rows(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement."""
-    return df.orderBy(order_key(*keys, seed=seed), *keys).limit(n)
+def sample_rows(df: DataFrame, n: int, *keys: str, seed: int = 42, ranges: int = 65536) -> DataFrame:
+    """n rows without replacement, in no order: those of the least order keys. Only ranges of keys that begin below n are ranked, each by itself."""
+    return sample_balanced(df.withColumn("__one", F.lit(1)), "__one", n, *keys, seed=seed, ranges=ranges).drop("__one")
 
 
 def sample_fraction(df: DataFrame, fraction: float, *keys: str, seed: int = 42) -> DataFrame:
@@ -37,17 +41,17 @@ def _in_ranges(df: DataFrame, label: str, keys: tuple[str, ...], seed: int, rang
     return ordered, sizes.select(F.col(label).alias("__label"), F.col("__range").alias("__r"), before.alias("__before"), F.sum("__n").over(w).alias("__all"))
 
 
-def _ranked(ordered: DataFrame, sizes: DataFrame, label: str, keys: tuple[str, ...]) -> DataFrame:
+def _ranked(ordered: DataFrame, sizes: DataFrame, label: str, keys: tuple[str, ...], ties: tuple[str, ...] = ()) -> DataFrame:
     """Rows with ``__place``, their rank within the label: within the range, on top of the ranges before. No task sorts a whole label."""
     rows = ordered.join(sizes, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__r")))
-    rank = F.row_number().over(Window.partitionBy(label, "__range").orderBy("__key", *keys))
+    rank = F.row_number().over(Window.partitionBy(label, "__range").orderBy("__key", *keys, *ties))
     return rows.withColumn("__place", rank + F.col("__before"))
 
 
 def sample_balanced(df: DataFrame, label: str, n: int, *keys: str, seed: int = 42, ranges: int = 65536) -> DataFrame:
-    """Exactly n rows of each label, or all if it has fewer; rows without a label are left out. Only ranges that begin below n are ranked."""
+    """Exactly n rows of each label, or all if it has fewer; rows without a label are left out. Rows of equal keys go by their other columns. Only ranges that begin below n are ranked."""
     ordered, sizes = _in_ranges(df.where(F.col(label).isNotNull()), label, keys, seed, ranges)
-    return _ranked(ordered, sizes.where(F.col("__before") < n), label, keys).where(F.col("__place") <= n).select(*df.columns)
+    return _ranked(ordered, sizes.where(F.col("__before") < n), label, keys, tuple(c for c in df.columns if c not in keys)).where(F.col("__place") <= n).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, label: str, *keys: str, fraction: float = 0.8, seed: int = 42, salts: int = 1024) -> DataFrame:
@@ -58,11 +62,38 @@ def stratified_split(df: DataFrame, label: str, *keys: str, fraction: float = 0.
 
 
 def poisson_weight(b: Column | int, *keys: str) -> Column:
-    """A Poisson(1) count for a row in resample ``b``, by inverse distribution of a hash."""
+    """A Poisson(1) count for a row in resample ``b``, by inverse distribution of a hash: cheaper than an MD5, but SQL can't repeat it."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(b) if isinstance(b, int) else b, *keys), 11).cast("double") + 0.5) / float(1 << 53)
-    out, p, below = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(12):
-        below += p
-        out = out + F.when(u > below, 1).otherwise(0)
-        p /= k + 1
-    return out
+    return reduce(add, ((u > p).cast("int") for p in POISSON))
+
+
+#: The distribution of Poisson(1), P(X <= k) for k = 0, 1, ..
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
+
+
+def _poisson(digits: Column) -> Column:
+    """A Poisson(1) count from eight hexadecimal digits."""
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / 4294967296.0
+    return reduce(add, ((u > p).cast("int") for p in POISSON))
+
+
+def _digits(keys: tuple[str, ...], block: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), block.cast("string"), F.lit(str(seed))))
+
+
+def poisson_resamples(df: DataFrame, resamples: int, *keys: str, seed: int = 42) -> DataFrame:
+    """Each row once for every resample (0 ..) that draws it, with ``weight``, how often: Poisson(1) counts from an MD5 of the keys.
+
+    A digest of 32 digits serves four resamples. Callers aggregate by ``resample`` at once, so that tasks send sums only.
+    """
+    block = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))
+    rows = df.withColumn("__block", block).withColumn("__digits", _digits(keys, F.col("__block"), seed))
+    four = F.array(*(F.struct((4 * F.col("__block") + i).alias("b"), _poisson(F.substring("__digits", 8 * i + 1, 8)).alias("w")) for i in range(4)))
+    rows = rows.withColumn("__s", F.explode(four)).where((F.col("__s.w") > 0) & (F.col("__s.b") < resamples))
+    return rows.withColumns({"resample": F.col("__s.b"), "weight": F.col("__s.w")}).drop("__block", "__digits", "__s")
+
+
+def poisson_array(resamples: int, *keys: str, seed: int = 42) -> Column:
+    """The same counts as an array, one for each resample."""
+    four = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)), lambda g: F.transform(F.array(_digits(keys, g, seed)), lambda d: F.array(*(_poisson(F.substring(d, 8 * i + 1, 8)).cast("tinyint") for i in range(4))))[0]))
+    return F.slice(four, 1, resamples)

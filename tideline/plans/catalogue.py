@@ -136,7 +136,21 @@ def file_month_rollup(spark, sf_dir):
     return rows.rollup("year", "file").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("input_rows"), F.count_if("wrong").alias("mismatch"))
 
 
-_PATHS = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") AS p(path)"
+#: Shapes of paths, to be filled with an order's year and month; the last ones name no month.
+SHAPES = [
+    "yellow_tripdata_%04d-%02d.parquet", "/data/%04d-%02d/file.parquet", "s3://bucket/year=%04d/month=%02d/data.parquet", "GREEN_data_%04d%02d.parquet", "fhvhv_%04d-%02d_data_2023-01.parquet",
+    "/data/fhv/%04d_%02d.parquet", "uber_%04d-%02d-13.parquet", "data_%1$04d-13_%2$02d.parquet", "data_%1$04d-00_%2$02d.parquet", "data.parquet",
+]
+_PATHS = f"""(SELECT o_orderkey, format([{", ".join("'" + s.replace("%1$04d", "{0:04d}").replace("%2$02d", "{1:02d}").replace("%04d", "{0:04d}").replace("%02d", "{1:02d}") + "'" for s in SHAPES)}][o_orderkey % {len(SHAPES)} + 1], year(o_orderdate), month(o_orderdate)) AS path FROM orders)"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for every order, of one of the shapes."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    path = F.lit(None).cast("string")
+    for i, shape in enumerate(SHAPES):
+        path = F.when(F.col("o_orderkey") % len(SHAPES) == i, F.format_string(shape, "y", "m") if "%" in shape else F.lit(shape)).otherwise(path)
+    return o.select("o_orderkey", path.alias("path"))
 
 
 def _month_sql(pattern: str, tail: str) -> str:
@@ -147,16 +161,16 @@ def _month_sql(pattern: str, tail: str) -> str:
 _MONTH = _month_sql(r"(\d{4})-(\d{2})", _month_sql(r"year=(\d{4}).*month=(\d{1,2})", _month_sql(r"(\d{4})(\d{2})", "NULL")))
 
 
-@query(f"SELECT path, s.y AS year, s.m AS month FROM (SELECT path, {_MONTH} AS s FROM {_PATHS})")
+@query(f"SELECT o_orderkey, path, s.y AS year, s.m AS month FROM (SELECT o_orderkey, path, {_MONTH} AS s FROM {_PATHS})")
 def infer_month_from_path(spark, sf_dir):
     year, month = month_of(F.col("path"))
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", year.alias("year"), month.alias("month"))
+    return _paths(spark, sf_dir).select("o_orderkey", "path", year.alias("year"), month.alias("month"))
 
 
-@query(f"SELECT path, CASE WHEN contains(lower(path), 'yellow') THEN 'yellow' WHEN contains(lower(path), 'green') THEN 'green' WHEN contains(lower(path), 'fhvhv') THEN 'fhvhv' WHEN contains(lower(path), 'fhv') THEN 'fhv' END AS type, CASE WHEN contains(lower(path), 'yellow') THEN 'yellow' WHEN contains(lower(path), 'green') THEN 'green' WHEN contains(lower(path), 'fhv') THEN 'fhv' END AS legacy_type FROM {_PATHS}")
+@query(f"SELECT o_orderkey, path, CASE WHEN contains(lower(path), 'yellow') THEN 'yellow' WHEN contains(lower(path), 'green') THEN 'green' WHEN contains(lower(path), 'fhvhv') THEN 'fhvhv' WHEN contains(lower(path), 'fhv') THEN 'fhv' END AS type, CASE WHEN contains(lower(path), 'yellow') THEN 'yellow' WHEN contains(lower(path), 'green') THEN 'green' WHEN contains(lower(path), 'fhv') THEN 'fhv' END AS legacy_type FROM {_PATHS}")
 def infer_type_from_path(spark, sf_dir):
     path = F.col("path")
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", taxi_type_of(path).alias("type"), taxi_type_of(path, legacy=True).alias("legacy_type"))
+    return _paths(spark, sf_dir).select("o_orderkey", "path", taxi_type_of(path).alias("type"), taxi_type_of(path, legacy=True).alias("legacy_type"))
 
 
 @query(f"WITH {_T} SELECT l_orderkey, l_linenumber, duration_min, CAST(hour(l_shipdate) AS INTEGER) AS hour, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS day_of_week FROM t")
@@ -334,7 +348,7 @@ def stratified_split_rows(spark, sf_dir):
     return stratified_split(table(spark, sf_dir, "labels"), "quality", "doc_id").select("doc_id", "quality", "split")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), '42')), l_orderkey, l_linenumber LIMIT 1000")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), '42')), l_orderkey, l_linenumber, l_quantity LIMIT 1000")
 def sample_of_trips(spark, sf_dir):
     """The sampling operator: 1000 rows without replacement."""
     return sample_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 1000, "l_orderkey", "l_linenumber")

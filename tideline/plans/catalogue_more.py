@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import common_schema, hour_columns, normalize_classifier, normalize_fares, normalize_trips, pivot_roles
-from tideline.functions.paths import group_by_month
+from tideline.functions.paths import month_of
 from tideline.functions.scalars import day_name, day_of_week
-from tideline.functions.sizes import format_size, parse_size, percent
+from tideline.functions.sizes import percent_text, size_of, size_text
 from tideline.models.gram import fill_with_means
 from tideline.models.pca import Pca, diagnostics, scores_by_place
 from tideline.operators import aggregates as agg
 from tideline.operators.joins import centroids, enrich, enrich_if_matched, with_location_id
 from tideline.operators.pivot import pivot_trips
 from tideline.operators.sampling import hash_limit, sample_balanced, sample_fraction, stratified_split
-from tideline.plans.catalogue import _H, _W, HOURS, PATHS, _wide, query, table
+from tideline.plans.catalogue import _H, _MONTH, _PATHS, _W, HOURS, _paths, _wide, query, table
 
 _LINES = ["l_orderkey", "l_linenumber"]
 _MD5 = "md5(l_orderkey || '|' || l_linenumber || '|42')"
@@ -126,76 +128,113 @@ def scores_of_fixed_components(spark, sf_dir):
     return out.select("place", *(F.round(f"pc{k + 1}", 6).alias(f"pc{k + 1}") for k in range(3)))
 
 
-_LOADED = "l(hour, k, v, lam) AS (VALUES " + ", ".join(f"('{HOURS[h]}', {k}, CAST({_FIXED.loadings[h][k]} AS DOUBLE), CAST({_FIXED.variances[k]} AS DOUBLE))" for h in range(24) for k in range(3)) + ")"
+_SCORE = [" + ".join(f"(hour_{h} - {_FIXED.mean[h]}) * ({_FIXED.loadings[h][k]})" for h in range(24)) for k in range(3)]
+_LOADED = (
+    f"{_W}, s AS (SELECT [" + ", ".join(f"var_pop({x})" for x in _SCORE) + "] AS lam FROM w), "
+    + "l AS (SELECT hour, k, v, lam[k] AS lam FROM (VALUES " + ", ".join(f"('{HOURS[h]}', {k + 1}, CAST({_FIXED.loadings[h][k]} AS DOUBLE))" for h in range(24) for k in range(3)) + ") t(hour, k, v), s)"
+)
 _PART = "c AS (SELECT hour, sum(v * v * lam) AS total FROM l GROUP BY hour), z AS (SELECT hour, total, (total - avg(total) OVER ()) / stddev_pop(total) OVER () AS z FROM c)"
 
 
-@query(f"WITH {_LOADED}, {_PART} SELECT hour, round(total, 9) AS total, round(z, 9) AS z, abs(z) > 2 AS outlier FROM z")
+def _measured(spark: SparkSession, sf_dir: str) -> Pca:
+    """The fixed components with the variances that their scores have in the wide table, largest first."""
+    found = _wide(spark, sf_dir).agg(*(F.var_pop(_FIXED.score(k)).alias(f"v{k}") for k in range(3))).first()
+    order = sorted(range(3), key=lambda k: -found[k])
+    return replace(_FIXED, variances=[found[k] for k in order], loadings=[[row[k] for k in order] for row in _FIXED.loadings])
+
+
+@query(f"WITH {_LOADED}, {_PART} SELECT hour, round(total, 6) AS total, round(z, 6) AS z, abs(z) > 2 AS outlier FROM z")
 def contributions_of_fixed_components(spark, sf_dir):
-    rows = [(h, round(c["total"], 9), round(c["z"], 9), c["outlier"]) for h, c in diagnostics(_FIXED)["contribution"].items()]
+    """Each hour's part in the variance that the fixed components have in the wide table."""
+    rows = [(h, round(c["total"], 6), round(c["z"], 6), c["outlier"]) for h, c in diagnostics(_measured(spark, sf_dir))["contribution"].items()]
     return spark.createDataFrame(rows, "hour string, total double, z double, outlier boolean")
 
 
 @query(f"""WITH {_LOADED}, {_PART}, d AS (SELECT DISTINCT k, lam FROM l), g AS (SELECT max(abs(s - CASE WHEN i = j THEN 1 ELSE 0 END)) AS o FROM (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM l a JOIN l b ON a.hour = b.hour GROUP BY a.k, b.k))
-SELECT arg_max(hour, total) AS peak_hour, arg_min(hour, total) AS quiet_hour, (SELECT round(max(lam) / min(lam), 9) FROM d) AS condition_number, (SELECT round(sum(lam) * sum(lam) / sum(lam * lam), 9) FROM d) AS effective_rank,
-(SELECT count(*) FROM d WHERE lam / 8.0 > 1.0 / 24) AS kaiser, (SELECT round(o, 9) FROM g) AS orthogonality FROM c""")
+SELECT arg_max(hour, total) AS peak_hour, arg_min(hour, total) AS quiet_hour, (SELECT round(max(lam) / min(lam), 6) FROM d) AS condition_number, (SELECT round(sum(lam) * sum(lam) / sum(lam * lam), 6) FROM d) AS effective_rank,
+(SELECT count(*) FROM d WHERE lam / (SELECT max(lam) FROM d) > 1.0 / 24) AS kaiser, (SELECT round(o, 9) FROM g) AS orthogonality FROM c""")
 def summary_of_fixed_components(spark, sf_dir):
-    d = diagnostics(_FIXED)
-    row = (d["peak_hour"], d["quiet_hour"], round(d["condition_number"], 9), round(d["effective_rank"], 9), d["kaiser"], round(d["orthogonality"], 9))
+    d = diagnostics(_measured(spark, sf_dir))
+    row = (d["peak_hour"], d["quiet_hour"], round(d["condition_number"], 6), round(d["effective_rank"], 6), d["kaiser"], round(d["orthogonality"], 9))
     return spark.createDataFrame([row], "peak_hour string, quiet_hour string, condition_number double, effective_rank double, kaiser long, orthogonality double")
 
 
-@query("SELECT l_shipdate AS pickup_datetime, l_shipdate AS dropoff_datetime, l_quantity AS trip_distance, l_extendedprice AS fare_amount, l_linenumber AS passenger_count, l_suppkey AS pickup_location FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_shipdate AS pickup_datetime, l_shipdate AS dropoff_datetime, l_quantity AS trip_distance, l_extendedprice AS fare_amount, l_linenumber AS passenger_count, l_suppkey AS pickup_location FROM lineitem")
 def fare_columns(spark, sf_dir):
     names = {"surcharge_fare": "l_discount", "Trip_Pickup_DateTime": "l_shipdate", "trip_dropoff_datetime": "l_shipdate", "trip_dist": "l_quantity", "fare_amt": "l_extendedprice", "pax_count": "l_linenumber", "pickup_place": "l_suppkey"}
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    lines = table(spark, sf_dir, "lineitem")
     return normalize_fares(lines.select(*(F.col(c).alias(n) for n, c in names.items())))
 
 
-@query("SELECT l_shipdate AS raw_pickup_datetime, l_shipdate AS raw_dropoff_datetime, l_quantity AS trip_distance, l_linenumber AS passenger_count, CAST(1 AS INTEGER) AS taxi_type_int FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_shipdate AS raw_pickup_datetime, l_shipdate AS raw_dropoff_datetime, l_quantity AS trip_distance, l_linenumber AS passenger_count, CAST(1 AS INTEGER) AS taxi_type_int FROM lineitem")
 def classifier_columns(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    lines = table(spark, sf_dir, "lineitem")
     return normalize_classifier(lines.select(F.col("l_shipdate").alias("lpep_pickup_datetime"), F.col("l_shipdate").alias("lpep_dropoff_datetime"), F.col("l_quantity").alias("trip_distance"), F.col("l_linenumber").alias("passenger_count")), 1)
 
 
-_CASES = [
-    ("ids", ["VendorID", "tpep_pickup_datetime", "PULocationID", "pickup_latitude"], "tpep_pickup_datetime", "PULocationID"),
-    ("known names", ["PickupDateTime", "pickup_place", "pickup_location"], "PickupDateTime", "pickup_place"),
-    ("column order", ["pickup_datetime", "pickup_zone", "pickup_location_id"], "pickup_datetime", "pickup_zone"),
-    ("patterns", ["Trip_Pickup_DateTime", "do_location", "pu_location"], "Trip_Pickup_DateTime", "pu_location"),
-    ("coordinates", ["pickup_datetime", "pickup_longitude", "pickup_latitude"], "pickup_datetime", "pickup_longitude"),
-    ("start", ["start_lat", "Start_Location_ID"], None, "Start_Location_ID"),
-    ("nothing", ["vendor", "amount"], None, None),
+#: Headers that tables of trips come with, for a datetime, a place and two measures.
+_HEADERS = [
+    ("ids", ["tpep_pickup_datetime", "PULocationID", "VendorID", "amount"]),
+    ("known names", ["PickupDateTime", "pickup_place", "pickup_location", "amount"]),
+    ("column order", ["pickup_datetime", "pickup_zone", "pickup_location_id", "amount"]),
+    ("patterns", ["Trip_Pickup_DateTime", "pu_location", "do_location", "amount"]),
+    ("coordinates", ["pickup_datetime", "pickup_longitude", "pickup_latitude", "amount"]),
+    ("start", ["start_lat", "Start_Location_ID", "vendor", "amount"]),
 ]
-_TEXT = lambda v: "NULL" if v is None else f"'{v}'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({_TEXT(a)} AS VARCHAR), CAST({_TEXT(b)} AS VARCHAR))" for n, _, a, b in _CASES) + ") t(kind, datetime, location)")
+@query(" UNION ALL ".join(f"SELECT '{n}' AS kind, event_type, count(*) AS n, " + ("max(ts)" if n != "start" else "CAST(NULL AS TIMESTAMP)") + " AS last, count(DISTINCT user_id) AS places FROM events GROUP BY event_type" for n, _ in _HEADERS))
 def resolved_columns(spark, sf_dir):
-    found = [(n, (r := pivot_roles(c))["datetime"], r["location"]) for n, c, _, _ in _CASES]
-    return spark.createDataFrame(found, "kind string, datetime string, location string")
+    """Events under several tables' headers: rows, last datetime and places, by the columns that are resolved."""
+    e, out = table(spark, sf_dir, "events"), None
+    for kind, (at, place, *more) in _HEADERS:
+        rows = e.select(F.col("ts").alias(at), F.col("user_id").alias(place), *(F.lit(-1).alias(c) for c in more), "event_type")
+        roles = pivot_roles([at, place, *more])
+        last = F.max(roles["datetime"]) if roles["datetime"] else F.lit(None)
+        one = rows.groupBy("event_type").agg(F.count("*").alias("n"), last.cast(rows.schema[at].dataType).alias("last"), F.count_distinct(roles["location"]).alias("places")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.select("kind", "event_type", "n", "last", "places")
 
 
-@query("SELECT 'pickup_datetime' AS datetime, 'pickup_zone' AS location, CAST(NULL AS VARCHAR) AS taxi_type, 'pickup_datetime,pickup_location,x' AS renamed, 'hour_2,hour_10' AS hours")
+@query("SELECT 'events' AS source, CAST(ts AS DATE) AS day, user_id AS place, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'orders', CAST(o_orderdate AS DATE), o_custkey, count(*) FROM orders GROUP BY ALL")
 def common_columns(spark, sf_dir):
-    found = common_schema({"a": ["x"], "b": ["pickup_datetime", "x"], "c": ["tpep_pickup_datetime", "pickup_zone"]})
-    renamed = normalize_trips(spark.createDataFrame([], "pickup_datetime string, pickup_zone int, x int"), found).columns
-    row = (found["datetime"], found["location"], found["taxi_type"], ",".join(renamed), ",".join(hour_columns(["hour_10", "x", "hour_2", "hour_x"])))
-    return spark.createDataFrame([row], "datetime string, location string, taxi_type string, renamed string, hours string")
+    """Two tables of differing headers under the names that they have in common."""
+    parts = {
+        "events": table(spark, sf_dir, "events").select(F.col("ts").alias("tpep_pickup_datetime"), F.col("user_id").alias("pickup_zone"), F.lit(1).alias("hour_10"), F.lit(1).alias("hour_2")),
+        "orders": table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("pickup_datetime"), F.col("o_custkey").alias("pickup_zone"), F.lit(1).alias("x")),
+    }
+    found, out = common_schema({n: df.columns for n, df in parts.items()}), None
+    for name, df in parts.items():
+        rows = normalize_trips(df, {**found, "datetime": df.columns[0], "location": df.columns[1]})
+        assert hour_columns(df.columns) == (["hour_2", "hour_10"] if name == "events" else [])
+        one = rows.groupBy(F.to_date(rows.columns[0]).alias("day"), F.col(rows.columns[1]).alias("place")).agg(F.count("*").alias("n")).withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("source", "day", "place", "n")
+
+
+_UNIT = "CASE WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END"
 
 
-@query("SELECT * FROM (VALUES ('200MB', 209715200, '200.00MB', '25.00%'), ('1.5GB', 1610612736, '1.50GB', 'N/A'), ('1024kb', 1048576, '1.00MB', '0.00%'), (' 2 TB ', 2199023255552, '2.00TB', '50.00%')) t(text, bytes, again, share)")
+@query(f"""WITH g AS (SELECT source, lang, CAST(sum(strlen(text)) AS BIGINT) AS n FROM documents GROUP BY ALL), t AS (SELECT *, {_UNIT} AS u, sum(n) OVER (PARTITION BY source) AS whole FROM g),
+s AS (SELECT *, CASE WHEN u = 0 THEN n || 'B' ELSE printf('%.2f', n / pow(1024, u)) || ['KB', 'MB'][u] END AS size FROM t)
+SELECT source, lang, n AS bytes, size, CASE WHEN u = 0 THEN n ELSE CAST(floor(CAST(printf('%.2f', n / pow(1024, u)) AS DOUBLE) * pow(1024, u)) AS BIGINT) END AS again, printf('%.2f', 100.0 * n / whole) || '%' AS share FROM s""")
 def size_texts(spark, sf_dir):
-    rows = [(t, parse_size(t), format_size(parse_size(t)), percent(a, b)) for t, a, b in (("200MB", 1, 4), ("1.5GB", 1, 0), ("1024kb", 0, 7), (" 2 TB ", 1, 2))]
-    return spark.createDataFrame(rows, "text string, bytes long, again string, share string")
+    """Bytes of texts by source and language, as text, read back, and as a share of the source's."""
+    d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    whole = F.sum("bytes").over(Window.partitionBy("source"))
+    out = d.withColumns({"size": size_text(F.col("bytes")), "share": percent_text(F.col("bytes"), whole)})
+    return out.select("source", "lang", "bytes", "size", size_of(F.col("size")).alias("again"), "share")
 
 
-@query("SELECT * FROM (VALUES (2022, 12, 1), (2023, 1, 2), (2023, 5, 1), (2023, 6, 1), (2023, 12, 1), (NULL, NULL, 10)) t(year, month, files)")
+@query(f"SELECT s.y AS year, s.m AS month, count(DISTINCT path) AS files FROM (SELECT path, {_MONTH} AS s FROM {_PATHS}) GROUP BY ALL")
 def files_by_month(spark, sf_dir):
-    return spark.createDataFrame([(y, m, len(f)) for (y, m), f in group_by_month(PATHS).items()], "year int, month int, files long")
+    """Distinct paths by the month that they name."""
+    paths = _paths(spark, sf_dir).select("path").distinct()
+    year, month = month_of(F.col("path"))
+    return paths.groupBy(year.alias("year"), month.alias("month")).agg(F.count("*").alias("files"))
 
 
-@query(f"SELECT event_type AS taxi_type, CAST(ts AS DATE) AS date, user_id AS pickup_place, {_H} FROM events WHERE user_id % 9 = 0 GROUP BY event_type, CAST(ts AS DATE), user_id")
+@query(f"SELECT event_type AS taxi_type, CAST(ts AS DATE) AS date, user_id AS pickup_place, {_H} FROM events GROUP BY event_type, CAST(ts AS DATE), user_id")
 def pivot_of_trips(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("user_id % 9 = 0").select(F.col("ts").cast("string").alias("pickup_datetime"), F.col("user_id").alias("pickup_location"), F.col("event_type").alias("taxi_type"))
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("string").alias("pickup_datetime"), F.col("user_id").alias("pickup_location"), F.col("event_type").alias("taxi_type"))
     return pivot_trips(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,14 @@ from tideline.functions.special import ACKLAM, ACKLAM_EDGE
 from tideline.functions.splines import spline_basis as basis
 from tideline.models.distributions import chi2_quantile
 from tideline.operators import distributions as dist
+from tideline.models.power import leading_components
+from tideline.models.trees import accuracy_bootstrap
+from tideline.operators.lineage import cut, shared_folder
 from tideline.operators.quantiles import grouped_quantiles
-from tideline.plans.catalogue import query, table
+from tideline.operators.sampling import POISSON
+from tideline.plans.catalogue import _RULE, _W, HOURS, _ruled, _wide, query, table
+from tideline.sources.discovery import delete
+from tideline.sources.months import read_months, with_path_month, write_months
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -139,3 +147,59 @@ def spline_basis(spark, sf_dir):
     a, b = rows.agg(F.min("l_quantity"), F.max("l_quantity")).first()
     out = rows.withColumn("b", basis(F.col("l_quantity"), a, b, _N))
     return out.select("l_orderkey", "l_linenumber", *(F.round(F.col("b")[j], 9).alias(f"b{j}") for j in range(_N)))
+
+
+_DRAWN = " + ".join(f"CAST(u > {p!r} AS INTEGER)" for p in POISSON)
+
+
+@query(f"""WITH {_RULE.replace('FROM events', ', event_id FROM events')}, b AS (SELECT CAST(label = pred AS INTEGER) AS hit, g, md5(concat_ws('|', CAST(event_id AS VARCHAR), CAST(g AS VARCHAR), '42')) AS h FROM r, range(25) t(g)),
+u AS (SELECT hit, 4 * g + i AS b, (CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM b, range(4) s(i)), w AS (SELECT b, hit, {_DRAWN} AS w FROM u),
+a AS (SELECT b, CAST(sum(w * hit) AS DOUBLE) / sum(w) AS a FROM w GROUP BY b) SELECT round(avg(a), 9) AS mean, round(stddev_pop(a), 9) AS std, round(quantile_cont(a, 0.025), 9) AS low, round(quantile_cont(a, 0.975), 9) AS high FROM a""")
+def accuracy_bootstrap_rows(spark, sf_dir):
+    """The accuracy of a rule over 100 resamples whose counts come from digests of the event's id."""
+    return _rounded(accuracy_bootstrap(_ruled(spark, sf_dir), "label", "pred", ["event_id"]), 9, "mean", "std", "low", "high")
+
+
+_REDONE = (1995, 3)
+
+
+@query(f"""WITH o AS (SELECT ['yellow', 'green', 'fhv'][o_custkey % 3 + 1] AS type, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(o_orderdate AS DATE) AS date FROM orders),
+d AS (SELECT type, year, month, date, count(*) AS rides FROM o GROUP BY ALL)
+SELECT type, year, month, count(*) AS days, CAST(sum(rides) AS BIGINT) AS rides FROM d WHERE (year, month) <> {_REDONE} OR rides >= 2 GROUP BY ALL""")
+def replayed_months(spark, sf_dir):
+    """Orders a day by type, year and month; one month is redone with a threshold, all are read back, and named by their paths."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.element_at(F.array(F.lit("yellow"), F.lit("green"), F.lit("fhv")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    days = o.groupBy(kind.alias("taxi_type"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("rides"))
+    path = f"{shared_folder(spark)}/replayed-{uuid.uuid4().hex}"
+    write_months(days, path)
+    write_months(days.where((F.col("year") == _REDONE[0]) & (F.col("month") == _REDONE[1]) & (F.col("rides") >= 2)), path, redo=[_REDONE])
+    rows = with_path_month(read_months(spark, path), path)
+    out = cut(rows.groupBy(F.col("path_type").alias("type"), F.col("path_year").alias("year"), F.col("path_month").alias("month")).agg(F.count("*").alias("days"), F.sum("rides").alias("rides")))
+    delete(spark, path)
+    return out
+
+
+_STEPS = 300
+
+
+def _power_sql() -> str:
+    rows = ", ".join("[" + ", ".join(f"covar_pop(hour_{min(i, j)}, hour_{max(i, j)})" for j in range(24)) + "]" for i in range(24))
+    start = "[" + ", ".join(repr(1 + i / 100) for i in range(24)) + "]"
+    unit = lambda v: f"[x / sqrt(list_dot_product({v}, {v})) FOR x IN {v}]"
+    parts = [f"WITH RECURSIVE {_W}, m1 AS (SELECT [{rows}] AS m FROM w)"]
+    for k in (1, 2):
+        parts.append(f"p{k}(s, v) AS (SELECT 0, {unit(start)} UNION ALL SELECT s + 1, {unit('w')} FROM (SELECT s, [list_dot_product(r, v) FOR r IN m] AS w FROM p{k}, m{k} WHERE s < {_STEPS}))")
+        parts.append(f"u{k} AS (SELECT v, list_dot_product(v, [list_dot_product(r, v) FOR r IN m]) AS variance, m FROM p{k}, m{k} WHERE s = {_STEPS})")
+        parts.append(f"c{k} AS (SELECT {k} AS component, variance, m, CASE WHEN list_contains(v, list_max([abs(x) FOR x IN v])) THEN v ELSE [-x FOR x IN v] END AS v FROM u{k})")
+        parts.append(f"m{k + 1} AS (SELECT [[m[i][j] - variance * v[i] * v[j] FOR j IN range(1, 25)] FOR i IN range(1, 25)] AS m FROM c{k})")
+    every = " UNION ALL ".join(f"SELECT component, variance, v FROM c{k}" for k in (1, 2))
+    return ", ".join(parts) + f" SELECT component, round(variance, 6) AS variance, 'hour_' || h AS feature, round(v[h + 1], 6) AS loading FROM ({every}), range(24) r(h)"
+
+
+@query(_power_sql())
+def leading_component(spark, sf_dir):
+    """The two leading components of the wide table, by power iteration and deflation."""
+    found = leading_components(_wide(spark, sf_dir), HOURS, 2, _STEPS)
+    rows = found.select("component", F.round("variance", 6).alias("variance"), F.posexplode("loadings").alias("h", "x"))
+    return rows.select("component", "variance", F.concat(F.lit("hour_"), F.col("h").cast("string")).alias("feature"), F.round("x", 6).alias("loading"))
