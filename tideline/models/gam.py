@@ -146,7 +146,7 @@ class Gam:
         for i, t in enumerate(self.terms):
             x, beta = F.col(f"`{t.column}`").cast("double"), self.beta[self.blocks[i]]
             whole = spline_sum(F.col(f"__first{i}"), F.col(f"__at{i}"), beta.tolist(), t.order) if isinstance(t, Smooth) else x * F.lit(float(beta[0]))
-            parts[f"__part{i}"] = F.when(~F.isnan(x), whole - F.lit(float(self.centre[self.blocks[i]] @ beta)))
+            parts[f"__part{i}"] = F.when(x.isNotNull() & ~F.isnan(x), whole - F.lit(float(self.centre[self.blocks[i]] @ beta)))
         rows = rows.withColumns(parts)
         mean = self.intercept + float(self.centre @ self.beta)
         more = {out: reduce(lambda a, c: a + F.col(c), parts, F.lit(mean))}

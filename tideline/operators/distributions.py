@@ -114,13 +114,12 @@ def spread_tests(df: DataFrame, by: str, value: str) -> DataFrame:
         F.sum((F.col("n") - 1) * F.col("s2")).alias("within"), F.sum((F.col("n") - 1) * F.when(F.col("s2") > 0, F.log("s2"))).alias("logs"), F.sum(1 / (F.col("n") - 1)).alias("inverse"),
         F.sum(F.col("n") * F.col("z2")).alias("within_z"), F.sum(F.col("n") * F.col("z")).alias("sum_z"), F.sum(F.col("n") * F.col("z") * F.col("z")).alias("square_z"),
     ).where("n > 0")
-    free = F.col("n") - F.col("k")
-    bartlett = (free * F.log(F.col("within") / free) - F.col("logs")) / (1 + (F.col("inverse") - 1 / free) / (3 * (F.col("k") - 1)))
+    free, degrees = F.when(F.col("n") > F.col("k"), F.col("n") - F.col("k")), F.when(F.col("k") > 1, F.col("k") - 1)
+    bartlett = (free * F.log(F.col("within") / free) - F.col("logs")) / (1 + (F.col("inverse") - 1 / free) / (3 * degrees))
     between = F.col("square_z") - F.col("sum_z") * F.col("sum_z") / F.col("n")
-    levene = free / (F.col("k") - 1) * between / F.col("within_z")
-    several = F.col("k") > 1
-    named = one.select("n", "k", F.when(several & (F.col("least") > 0), bartlett).alias("b"), F.when(several & (F.col("within_z") > 0), levene).alias("l"))
-    tests = F.array(F.struct(F.lit("bartlett").alias("test"), F.col("b").alias("statistic"), chi2_sf(F.col("b"), F.col("k") - 1).alias("p")), F.struct(F.lit("levene").alias("test"), F.col("l").alias("statistic"), f_sf(F.col("l"), F.col("k") - 1, free).alias("p")))
+    levene = free / degrees * between / F.when(F.col("within_z") > 0, F.col("within_z"))
+    named = one.select("n", "k", F.when(F.col("least") > 0, bartlett).alias("b"), levene.alias("l"), degrees.alias("degrees"), free.alias("free"))
+    tests = F.array(F.struct(F.lit("bartlett").alias("test"), F.col("b").alias("statistic"), chi2_sf(F.col("b"), F.col("degrees")).alias("p")), F.struct(F.lit("levene").alias("test"), F.col("l").alias("statistic"), f_sf(F.col("l"), F.col("degrees"), F.col("free")).alias("p")))
     return named.select(F.explode(tests).alias("t"), "k", "n").select("t.*", (F.col("t.p") < 0.05).alias("reject"), F.col("k").alias("groups"), "n")
 
 

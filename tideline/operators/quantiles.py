@@ -99,8 +99,9 @@ def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], left: int) ->
     r, i = rows.alias("r"), intervals.alias("i")
     inside = (F.col("r.v") >= F.col("i.low")) & (F.col("r.v") <= F.col("i.high"))
     on = reduce(and_, (F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys))
-    # halves, as the width of an interval may exceed the largest double
-    bin_ = F.least(F.floor((F.col("r.v") / 2 - F.col("i.low") / 2) / (F.col("i.high") / 2 - F.col("i.low") / 2) * BINS), F.lit(BINS - 1))
+    span = F.col("i.high") / 2 - F.col("i.low") / 2  # halves, as the width of an interval may exceed the largest double
+    part = (F.col("r.v") / 2 - F.col("i.low") / 2) / F.when(span > 0, span)
+    bin_ = F.coalesce(F.least(F.floor(part * BINS), F.lit(BINS - 1)), F.when(F.col("r.v") > F.col("i.low"), BINS - 1).otherwise(0))
     found = r.join(i, on & inside).select(*(F.col(f"r.{k}") for k in keys), "i.low", "i.high", bin_.alias("bin"), "r.v")
     bins = found.groupBy(*keys, "low", "high", "bin").agg(F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b"))
     w = Window.partitionBy(*keys, "low", "high").orderBy("bin")  # BINS rows at most
