@@ -50,8 +50,8 @@ LIMIT = 16
 BLOCK, STEP, IMAGE_IDS = 1 << 16, 1 << 10, 1 << 20
 #: Bytes of ids in a range of documents.
 PART_BYTES = 64 << 20
-#: Distinct words that a worker remembers (about 110 MB); of a full memory those stay that were met again. Words that are encoded together.
-REMEMBERED, TOGETHER = 650_000, 64
+#: Distinct words that a worker remembers (about 75 MB); of a full memory those stay that were met again. Words that are encoded together.
+REMEMBERED, TOGETHER = 450_000, 64
 #: Bytes of texts that are encoded together.
 ENCODED_BYTES = 4 << 20
 #: Ranges whose beginnings may be broadcast (16 bytes each).
