@@ -29,13 +29,6 @@ from tideline.sources.readers import union_sources
 MIN_RIDES, FILE_MIN_RIDES = 10, 4
 KEYS = ["event_type", "date", "place"]
 HOURS = [f"hour_{h}" for h in range(24)]
-#: The paths whose months and types are inferred.
-PATHS = [
-    "yellow_tripdata_2023-01.parquet", "/data/2023-06/file.parquet", "s3://bucket/year=2023/month=05/data.parquet", "data_202312.parquet", "data_2023-13.parquet", "data_2023-00.parquet",
-    "data_abc_xyz.parquet", "2022-12_data_2023-01.parquet", "/data/yellow/file.parquet", "YELLOW_data.parquet", "green_tripdata_2023-01.parquet", "Green_data.parquet",
-    "fhv_tripdata.parquet", "fhvhv_tripdata.parquet", "uber_data.parquet", "data.parquet",
-]
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
