@@ -17,11 +17,11 @@ def write_months(df: DataFrame, path: str, kind: str = "taxi_type", redo: Iterab
     """Write by type, year and month. Folders that the table has rows for replace those that stand there; others stay as they are.
 
     Of the months to ``redo``, folders that the table has no row for go. Rows are dealt by
-    folder first, so that a task has few files open and a folder few files.
+    folder first, so that a folder gets few files; Spark splits a folder that is too large for a task.
     """
     folders = ["type", "year", "month"]
     rows = df.withColumnRenamed(kind, "type")
-    rows.repartition(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(hadoop_path(path))
+    rows.hint("rebalance", *(F.col(c) for c in folders)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(hadoop_path(path))
     for year, month in redo:
         kept = {str(r["type"]) for r in rows.where((F.col("year") == year) & (F.col("month") == month)).select("type").distinct().collect()}  # a row a type
         fs, pattern = filesystem(df.sparkSession, f"{path}/type=*/year={year}/month={month}")
