@@ -199,3 +199,21 @@ def test_classes(spark, sf):
     wide = classes.profiles({"yellow": events.where("event_type = 'click'"), "green": events.where("event_type <> 'click'")}, fraction=1.0, min_rides=10)
     found = classes.classify_profiles(wide, trees=2)
     assert 0 <= found["accuracy"] <= 1 and len(found["importances"]) == 10
+
+
+def test_command_lines_of_fares_and_classes(spark, sf, tmp_path):
+    """Both stages from files to files."""
+    from tideline.plans import classes, fares
+
+    green, yellow = str(tmp_path / "green"), str(tmp_path / "yellow")
+    _raw_trips(spark, sf).write.parquet(green)
+    _raw_trips(spark, sf, 60.0).write.parquet(yellow)
+    spark.createDataFrame([(i, b) for i, b in enumerate(["Manhattan", "Queens", "Bronx", "EWR"])], "LocationID int, Borough string").write.csv(str(tmp_path / "zones"), header=True)
+    fares.main(["--input", green, "--output-dir", str(tmp_path / "out"), "--resamples", "2", "--zones-csv", str(tmp_path / "zones")])
+    found = json.loads((tmp_path / "out/fares.json").read_text())
+    assert found["r2"] > 0.5 and set(found["bootstrap"]) == set(found["partial_dependence"]) >= {"trip_distance", "hour"} and not found["with_scores"]
+    assert set(json.loads((tmp_path / "out/boroughs.json").read_text())) == {"Manhattan", "Queens", "Bronx"}
+    assert "trip_distance" in {r["term"] for r in spark.read.csv(str(tmp_path / "out/breakdown"), header=True).collect()}
+    classes.main(["--green", green, "--yellow", yellow, "--output-dir", str(tmp_path / "out"), "--rows-per-class", "200", "--trees", "2"])
+    told = json.loads((tmp_path / "out/classes.json").read_text())
+    assert told["accuracy"] > 0.9 and told["services"] == ["green", "yellow"]

@@ -16,6 +16,7 @@ from tideline.models.trees import accuracy_bootstrap
 from tideline.operators.lineage import cut, shared_folder
 from tideline.operators.quantiles import grouped_quantiles
 from tideline.operators.sampling import POISSON
+from tideline.plans.fares import compare_services
 from tideline.plans.catalogue import _RULE, _W, HOURS, _ruled, _wide, query, table
 from tideline.sources.discovery import delete
 from tideline.sources.months import read_months, with_path_month, write_months
@@ -203,3 +204,24 @@ def leading_component(spark, sf_dir):
     found = leading_components(_wide(spark, sf_dir), HOURS, 2, _STEPS)
     rows = found.select("component", F.round("variance", 6).alias("variance"), F.posexplode("loadings").alias("h", "x"))
     return rows.select("component", "variance", F.concat(F.lit("hour_"), F.col("h").cast("string")).alias("feature"), F.round("x", 6).alias("loading"))
+
+
+_CAPPED = """t AS (SELECT l_returnflag AS service, l_extendedprice AS fare, l_quantity AS distance, date_diff('microsecond', o_orderdate, l_shipdate) / 6e7 AS minutes FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT * FROM t WHERE fare > 0 AND distance > 0 AND minutes > 0),
+b AS (SELECT a.* FROM a JOIN (SELECT service, quantile_cont(fare, 0.99) AS q FROM a GROUP BY service) USING (service) WHERE fare <= q),
+c AS (SELECT b.* FROM b JOIN (SELECT service, quantile_cont(distance, 0.99) AS q FROM b GROUP BY service) USING (service) WHERE distance <= q),
+d AS (SELECT c.* FROM c JOIN (SELECT service, quantile_cont(minutes, 0.99) AS q FROM c GROUP BY service) USING (service) WHERE minutes <= q)"""
+
+
+@query(f"""WITH {_CAPPED} SELECT service, count(*) AS n, round(avg(fare), 2) AS mean, round(median(fare), 2) AS median, round(stddev_samp(fare), 2) AS std, round(quantile_cont(fare, 0.25), 2) AS p25, round(quantile_cont(fare, 0.75), 2) AS p75,
+round(regr_slope(ln(1 + fare), ln(1 + distance)), 6) AS slope, round(regr_intercept(ln(1 + fare), ln(1 + distance)), 6) AS intercept, round(regr_r2(ln(1 + fare), ln(1 + distance)), 6) AS r2, true AS fitted FROM d GROUP BY service""")
+def services_compared(spark, sf_dir):
+    """The fare stage's comparison of services: cleaned and capped each by itself, fare statistics, log trend, and whether a spline model was fit."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_returnflag", F.col("o_orderdate").alias("tpep_pickup_datetime"), F.col("l_shipdate").alias("tpep_dropoff_datetime"), F.col("l_quantity").alias("trip_distance"), F.col("l_extendedprice").alias("fare_amount"),
+        F.col("l_linenumber").alias("passenger_count"), F.col("l_suppkey").alias("PULocationID"),
+    )
+    stats, trend, models = compare_services([(f, rows.where(F.col("l_returnflag") == f).drop("l_returnflag")) for f in ("A", "N", "R")], None)
+    out = stats.join(_rounded(trend, 6, "slope", "intercept", "r2"), "service")
+    return out.withColumn("fitted", F.col("service").isin(list(models)))

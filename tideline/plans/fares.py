@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import argparse
+import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.paths import anonymous_conf
+
 from tideline.functions.columns import normalize_fares
 from tideline.functions.scalars import day_of_week, fill_and_clip, minutes_between, to_datetime, to_number
 from tideline.models.gam import Gam, Linear, Smooth, fit_by_group
@@ -14,7 +18,9 @@ from tideline.operators import aggregates as agg
 from tideline.operators.filters import cap_sequentially, positive
 from tideline.operators.joins import enrich, enrich_if_matched, zone_lookup
 from tideline.operators.sampling import sample_rows, stratified_split
-from tideline.sources.readers import union_sources
+from tideline.session import build_session
+from tideline.sources.readers import read_csv, read_parquet, union_sources
+from tideline.sources.sinks import write_csv, write_text
 
 #: Fixed values of the stage: services compared, boroughs compared, least rows of a group.
 BOROUGHS = ["Manhattan", "Brooklyn", "Queens", "Bronx", "Staten Island"]
@@ -72,9 +78,52 @@ def by_borough(trips: DataFrame) -> tuple[DataFrame, dict[str, Gam]]:
     return grid, fit_by_group(known, "borough", [Smooth("trip_distance"), Smooth("duration_min"), Smooth("hour", 24)], "fare_amount", BOROUGHS, LEAST_ROWS)
 
 
-def compare_services(sources: Iterable[tuple[str, DataFrame | None]], max_rows: int = 100_000) -> tuple[DataFrame, DataFrame, dict[str, Gam]]:
+def compare_services(sources: Iterable[tuple[str, DataFrame | None]], max_rows: int | None = 100_000) -> tuple[DataFrame, DataFrame, dict[str, Gam]]:
     """(fare statistics, log trend of fare on distance, a model) per service; missing services are skipped."""
     parts = [(name, fare_features(df, max_rows, clip_passengers=False) if df is not None else None) for name, df in sources]
     rows = union_sources(parts)
     names = [name for name, df in parts if df is not None]
     return agg.group_stats(rows, "service", "fare_amount"), agg.log_trend(rows, "service", "trip_distance", "fare_amount"), fit_by_group(rows, "service", [Smooth("trip_distance"), Smooth("duration_min")], "fare_amount", names, LEAST_ROWS)
+
+
+def run(spark: SparkSession, source: str, output: str, max_rows: int | None = None, scores_csv: str | None = None, zones_csv: str | None = None, resamples: int = 50, train: float = 0.8, seed: int = 42) -> dict:
+    """Fit the fares of one file or folder; metrics, curves and bands as fares.json, the parts of the terms and mean fares by borough as CSV."""
+    trips, scored = fare_features(read_parquet(spark, source), max_rows, seed), False
+    if scores_csv:
+        trips, scored = add_scores(trips, read_csv(spark, scores_csv))
+    trips = trips.persist()  # read for the split, the ranges, the moments and the errors
+    try:
+        model, metrics, held = fit_fares(trips, scored, resamples, train, seed)
+        used = terms(scored)
+        curves = {t.column: model.partial_dependence(i) for i, t in enumerate(used)}
+        bands = {t.column: model.bootstrap_band(i) for i, t in enumerate(used)} if model.boot else {}
+        found = {"rows": model.n, "penalty": float(model.lam), "with_scores": scored, **metrics.first().asDict(), "partial_dependence": curves, "bootstrap": bands}
+        write_text(spark, f"{output}/fares.json", json.dumps(found, indent=2))
+        write_csv(model.breakdown(held), f"{output}/breakdown")
+        if zones_csv:
+            grid, models = by_borough(add_boroughs(trips, read_csv(spark, zones_csv)))
+            write_csv(grid, f"{output}/borough_hours")
+            write_text(spark, f"{output}/boroughs.json", json.dumps({b: {"rows": m.n, "trip_distance": m.partial_dependence(0)} for b, m in models.items()}, indent=2))
+        return found
+    finally:
+        trips.unpersist()
+
+
+def main(args: list[str] | None = None) -> None:
+    p = argparse.ArgumentParser(description="Additive spline regression of trip fares")
+    p.add_argument("--input", required=True, help="Parquet file or folder of one service's trips")
+    p.add_argument("--output-dir", required=True)
+    p.add_argument("--max-rows", type=int, help="sample so many rows; all by default")
+    p.add_argument("--scores-csv", help="scores of the pickup places' components")
+    p.add_argument("--zones-csv", help="table of zones and boroughs")
+    p.add_argument("--resamples", type=int, default=50)
+    p.add_argument("--train", type=float, default=0.8)
+    p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--anon-s3", action="store_true", help="read s3 paths without credentials")
+    a = p.parse_args(args)
+    spark = build_session("fares", None, anonymous_conf(a.input) if a.anon_s3 else None)
+    run(spark, a.input, a.output_dir.rstrip("/"), a.max_rows, a.scores_csv, a.zones_csv, a.resamples, a.train, a.seed)
+
+
+if __name__ == "__main__":
+    main()
