@@ -19,7 +19,7 @@ from tideline.models.trees import accuracy_bootstrap
 from tideline.operators import distributions as dist
 from tideline.operators import quantiles
 from tideline.operators.quantiles import grouped_quantiles
-from tideline.operators.sampling import poisson_array, poisson_resamples
+from tideline.operators.sampling import POISSON, _poisson, poisson_array, poisson_resamples, poisson_sums
 from tideline.sources.months import read_months, with_path_month, write_months
 
 
@@ -190,6 +190,18 @@ def test_poisson_resamples(spark):
     assert one["low"] < one["mean"] < one["high"] and one["mean"] == pytest.approx(0.2, abs=0.01) and one["std"] == pytest.approx(math.sqrt(0.16 / 3000), rel=0.5)
 
 
+def test_poisson_sums(spark):
+    """The sums are those of the rows' counts, null keys included; a file of one partition is dealt out; digits beside each limit count as their numbers do."""
+    df = spark.createDataFrame([(None if i % 7 == 0 else i, None if i % 5 == 0 else "k", i % 3 == 0 if i % 11 else None) for i in range(500)], "a int, b string, hit boolean").coalesce(1)
+    want = {r[0]: r[1:] for r in poisson_resamples(df, 6, "a", "b").groupBy("resample").agg(F.sum("weight"), F.sum(F.col("weight") * F.col("hit").cast("int"))).collect()}
+    sums = poisson_sums(df, 6, {"hits": F.col("hit")}, "a", "b")
+    assert {r[0]: r[1:] for r in sums.collect()} == want and len(want) == 6
+    assert "RoundRobinPartitioning" in sums._jdf.queryExecution().toString()
+    digits = sorted({max(0, min((1 << 32) - 1, math.floor(p * (1 << 32)) + k)) for p in POISSON for k in range(-2, 3)} | {0})
+    got = [r[0] for r in spark.createDataFrame([(f"{d:08x}",) for d in digits], "d string").coalesce(1).select(_poisson(F.col("d"))).collect()]
+    assert got == [sum((d + 0.5) / 4294967296.0 > p for p in POISSON) for d in digits]
+
+
 @pytest.mark.parametrize("order,splines", [(3, 7), (1, 4), (2, 12), (3, 24)])
 def test_splines(spark, order, splines):
     x = [-5.0, 0.0, 0.1, 1.0, 3.3333, 9.999, 10.0, 20.0]

@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.sampling import poisson_resamples, stratified_split
+from tideline.operators.sampling import poisson_sums, stratified_split
 
 #: Bins of a feature, as Spark's trees have; steps an octave in which values are counted to place them.
 BINS, STEPS = 32, 4096
@@ -203,7 +203,6 @@ def _splits(bins: np.ndarray, node: np.ndarray, weight: np.ndarray, total: np.nd
 
 def accuracy_bootstrap(df: DataFrame, label: str, prediction: str, keys: list[str], resamples: int = 100, seed: int = 42) -> DataFrame:
     """mean, std (n), low, high (2.5 and 97.5 %) of the accuracy over Poisson resamples, from one pass over the rows."""
-    rows = df.select((F.col(label) == F.col(prediction)).cast("int").alias("hit"), *keys)
-    each = poisson_resamples(rows, resamples, *keys, seed=seed).groupBy("resample").agg((F.sum(F.col("weight") * F.col("hit")) / F.sum("weight")).alias("a"))
+    each = poisson_sums(df, resamples, {"hits": F.col(label) == F.col(prediction)}, *keys, seed=seed).select((F.col("hits") / F.col("weight")).alias("a"))
     p = F.percentile("a", F.array(F.lit(0.025), F.lit(0.975)))  # a value a resample
     return each.agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("std"), p[0].alias("low"), p[1].alias("high"))
