@@ -161,6 +161,25 @@ def test_sweep_grows_the_same_trees_without_a_job_each(spark):
     assert four[0]["accuracy"] > 0.85
 
 
+def test_trees_grow_on_counted_cells(spark, monkeypatch):
+    """Copies of rows add weight, not rows to fit on; bins are ordered, not categories; the model takes the features as they are."""
+    from tideline.models import trees
+
+    seen = []
+
+    class Fitted(trees.GBTClassifier):
+        def _fit(self, data):
+            seen.append(data.agg(F.count("*"), F.sum("__weight")).first())
+            return super()._fit(data)
+
+    monkeypatch.setattr(trees, "GBTClassifier", Fitted)
+    df = spark.range(40000).selectExpr("cast(id % 40 as double) a", "cast(id % 7 as int) b", "cast(id % 40 > 25 as int) label")
+    model = trees.fit_trees(df, ["a", "b"], "label", 2, 2)
+    assert seen[0][1] == 40000 and seen[0][0] <= 2 * 32 * 7 * trees.PARTS and " in {" not in model.stages[-1].toDebugString
+    held = spark.createDataFrame([(12.0, 3, 0), (39.0, 6, 1), (None, 1, 1)], "a double, b int, label int")
+    assert [r.prediction for r in trees.predict(model, held, ["a", "b"]).orderBy("a").collect()] == [0, 1]
+
+
 def test_sweep_beyond_the_cells(spark, monkeypatch):
     """Too many cells: Spark's trees on the rows, to the same result but for the draws."""
     from tideline.models import trees

@@ -6,7 +6,8 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,28 +18,55 @@ from tideline.operators.sampling import poisson_sums, stratified_split
 BINS, STEPS = 32, 4096
 #: Distinct cells up to which each setting's trees grow in one task; settings that are fit side by side beyond that.
 CELLS, BESIDE = 1 << 22, 4
+#: Weighted rows at most that a cell's rows become for Spark's trees, and those that are worth a task.
+PARTS, PART_ROWS = 4, 20_000
 
 
-def fit_trees(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 4, rate: float = 0.1, subsample: float = 0.8, seed: int = 42) -> GBTClassificationModel:
-    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(train).select("__x", F.col(label).cast("double").alias("__y"))
-    return GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed).fit(rows)
+def fit_trees(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 4, rate: float = 0.1, subsample: float = 0.8, seed: int = 42) -> PipelineModel:
+    """Spark's boosted trees over bins of the features, on rows counted by cell (a bin of each feature) and label.
+
+    Trees over bins can't tell rows of one cell apart, so a cell's rows are given as ``PARTS`` weighted rows at most, which a tree
+    draws or leaves out: one for each row where there are so few, else equal shares. So a tree's passes grow with the distinct
+    cells, not with the rows. Rows are in a fixed order in partitions of about ``PART_ROWS``, as each level of a tree is a job.
+    """
+    names = [f"__bin{i}" for i in range(len(features))]
+    whole = train.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in features), F.col(label).cast("double").alias("__y"))
+    whole = whole.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in features))
+    ends = [[-np.inf, *(t or [0.0]), np.inf] for t in thresholds(whole, features)]  # a feature of one value isn't split on, wherever it is cut
+    binned = Bucketizer(inputCols=features, outputCols=names, splitsArray=ends, handleInvalid="skip")
+    cells = binned.transform(whole).groupBy(*names, "__y").agg(F.count("*").alias("__n"))
+    parts = F.least("__n", F.lit(PARTS))
+    ordinals = ((F.col(n) + F.lit(0.0)).alias(n) for n in names)  # without the bucketizer's attributes, by which bins would be categories
+    rows = cells.select(*ordinals, "__y", (F.col("__n") / parts).alias("__weight"), F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("__part")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tasks = max(1, min(train.sparkSession.sparkContext.defaultParallelism, rows.count() // PART_ROWS))
+        dealt = rows.repartition(tasks, *names, "__y", "__part").sortWithinPartitions(*names, "__y", "__part").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            assembler = VectorAssembler(inputCols=names, outputCol="__x")
+            fitted = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed).fit(assembler.transform(dealt))
+        finally:
+            dealt.unpersist()
+    finally:
+        rows.unpersist()
+    return PipelineModel([binned, assembler, fitted])
 
 
-def predict(model: GBTClassificationModel, df: DataFrame, features: list[str], out: str = "prediction") -> DataFrame:
-    rows = model.transform(VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df))
+def predict(model: PipelineModel, df: DataFrame, features: list[str], out: str = "prediction") -> DataFrame:
+    """Rows that have all features, with the class that the trees tell."""
+    rows = model.transform(df)
     rows = rows.withColumn(out, F.col("prediction").cast("int"))
     return rows.select(*df.columns, out)
 
 
-def importances(model: GBTClassificationModel, features: list[str]) -> list[tuple[str, float]]:
-    return sorted(zip(features, (float(x) for x in model.featureImportances.toArray()), strict=True), key=lambda x: -x[1])
+def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+    return sorted(zip(features, (float(x) for x in model.stages[-1].featureImportances.toArray()), strict=True), key=lambda x: -x[1])
 
 
 def accuracy(df: DataFrame, label: str, prediction: str = "prediction") -> float:
     return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double"))).first()[0] or 0.0
 
 
-def evaluate(df: DataFrame, features: list[str], label: str, keys: list[str], fraction: float = 0.8, **options) -> tuple[GBTClassificationModel, DataFrame]:
+def evaluate(df: DataFrame, features: list[str], label: str, keys: list[str], fraction: float = 0.8, **options) -> tuple[PipelineModel, DataFrame]:
     """Fit on a stratified split; the other rows come back with their predictions. The split is persisted while the trees grow."""
     split = stratified_split(df, label, *keys, fraction=fraction)
     train = split.where("split = 'train'").select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)

@@ -10,6 +10,11 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.lineage import cut
+
+#: Labels up to which the place where a label's rows are split is broadcast, some 50 bytes each; Spark chooses beyond that.
+MOST_LABELS = 50_000
+
 
 def order_key(*keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
@@ -39,7 +44,7 @@ def _in_ranges(df: DataFrame, label: str, keys: tuple[str, ...], seed: int, rang
     sizes = ordered.groupBy(label, "__range").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(label)
     before = F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ordered, sizes.select(F.col(label).alias("__label"), F.col("__range").alias("__r"), before.alias("__before"), F.sum("__n").over(w).alias("__all"))
+    return ordered, sizes.select(F.col(label).alias("__label"), F.col("__range").alias("__r"), "__n", before.alias("__before"), F.sum("__n").over(w).alias("__all"))
 
 
 def _ranked(ordered: DataFrame, sizes: DataFrame, label: str, keys: tuple[str, ...], ties: tuple[str, ...] = ()) -> DataFrame:
@@ -56,10 +61,22 @@ def sample_balanced(df: DataFrame, label: str, n: int, *keys: str, seed: int = 4
 
 
 def stratified_split(df: DataFrame, label: str, *keys: str, fraction: float = 0.8, seed: int = 42, salts: int = 1024) -> DataFrame:
-    """Add ``split``: exactly floor(fraction x n) rows of each label are train, the rest valid."""
-    out = _ranked(*_in_ranges(df, label, keys, seed, salts), label, keys)
-    train = F.col("__place") <= F.floor(F.col("__all") * fraction)
-    return out.withColumn("split", F.when(train, "train").otherwise("valid")).select(*df.columns, "split")
+    """Add ``split``: exactly floor(fraction x n) rows of each label are train, the rest valid.
+
+    Ranges of order keys are counted first. All but one range of a label lie on one side of its last train row, so only the
+    rows of that range are shuffled and ranked. ``df`` is read three times; persist it if it is dear.
+    """
+    ordered, sizes = _in_ranges(df, label, keys, seed, salts)
+    quota = F.floor(F.col("__all") * fraction)
+    edges = cut(sizes.withColumn("__quota", quota).where((F.col("__before") <= F.col("__quota")) & (F.col("__quota") < F.col("__before") + F.col("__n"))))
+    if edges.count() <= MOST_LABELS:
+        edges = F.broadcast(edges)  # a row a label
+    split = lambda train: F.when(train, "train").otherwise("valid")
+    beside = ordered.join(edges, F.col(label).eqNullSafe(F.col("__label")), "left")
+    beside = beside.where(F.col("__r").isNull() | (F.col("__range") != F.col("__r"))).withColumn("split", split(F.coalesce(F.col("__range") < F.col("__r"), F.lit(True))))
+    within = _ranked(ordered, edges, label, keys)
+    within = within.withColumn("split", split(F.col("__place") <= F.col("__quota")))
+    return beside.select(*df.columns, "split").unionByName(within.select(*df.columns, "split"))
 
 
 def poisson_weight(b: Column | int, *keys: str) -> Column:

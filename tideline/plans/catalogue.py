@@ -7,8 +7,10 @@ fare, a distance and a duration; nation and region are the zone lookup.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -489,18 +491,30 @@ def gam_breakdown(spark, sf_dir):
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "duration_min"]
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the quantity less its discount is above the median: two of the features tell it, the other two don't."""
-    rows = positive(_trips(spark, sf_dir), ["l_quantity", "duration_min"]).withColumn("net", F.col("l_quantity") * (1 - F.col("l_discount")))
-    return rows.withColumn("label", (F.col("net") > exact_quantile(rows, "net", 0.5)).cast("int")).drop("net")
+@contextmanager
+def _classified(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """Whether the quantity less its discount is above the median: two of the features tell it, the other two don't.
+
+    The join is persisted meanwhile, as the median, the split and the bins take several passes.
+    """
+    rows = positive(_trips(spark, sf_dir), ["l_quantity", "duration_min"]).select("l_orderkey", "l_linenumber", *_FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        net = F.col("l_quantity") * (1 - F.col("l_discount"))
+        yield rows.withColumn("label", (net > exact_quantile(rows.select(net.alias("net")), "net", 0.5)).cast("int"))
+    finally:
+        rows.unpersist()
 
 
 @query()
 def gbt_accuracy(spark, sf_dir):
     """Held-out accuracy, its bootstrap, and the features' importances."""
-    model, held = evaluate(_classified(spark, sf_dir), _FEATURES, "label", ["l_orderkey", "l_linenumber"])
-    boot = accuracy_bootstrap(held, "label", "prediction", ["l_orderkey", "l_linenumber"], 100).first()
-    rows = [("accuracy", accuracy(held, "label")), *((f"boot_{k}", float(boot[k])) for k in ("mean", "std", "low", "high")), *importances(model, _FEATURES)]
+    keys = ["l_orderkey", "l_linenumber"]
+    with _classified(spark, sf_dir) as rows:
+        model, held = evaluate(rows, _FEATURES, "label", keys)
+        held = held.select(*keys, "label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+        boot = accuracy_bootstrap(held, "label", "prediction", keys, 100).first()
+        rows = [("accuracy", accuracy(held, "label")), *((f"boot_{k}", float(boot[k])) for k in ("mean", "std", "low", "high")), *importances(model, _FEATURES)]
+        held.unpersist()
     return spark.createDataFrame([(a, float(b)) for a, b in rows], "measure string, value double")
 
 
@@ -522,5 +536,6 @@ def gbt_profiles(spark, sf_dir):
 
 @query()
 def gbt_sweep(spark, sf_dir):
-    rows = sweep(_classified(spark, sf_dir), _FEATURES, "label", ["l_orderkey", "l_linenumber"])
+    with _classified(spark, sf_dir) as rows:
+        rows = sweep(rows, _FEATURES, "label", ["l_orderkey", "l_linenumber"])
     return spark.createDataFrame([(r["depth"], r["rate"], float(r["accuracy"])) for r in rows], "depth int, rate double, accuracy double")
