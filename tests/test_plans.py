@@ -217,3 +217,15 @@ def test_command_lines_of_fares_and_classes(spark, sf, tmp_path):
     classes.main(["--green", green, "--yellow", yellow, "--output-dir", str(tmp_path / "out"), "--rows-per-class", "200", "--trees", "2"])
     told = json.loads((tmp_path / "out/classes.json").read_text())
     assert told["accuracy"] > 0.9 and told["services"] == ["green", "yellow"]
+
+
+def test_joins_are_made_once(spark, sf):
+    """What the queries return doesn't read the tables again, and what they persisted meanwhile is released."""
+    from tideline.plans import catalogue
+
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for name in ("gam_breakdown", "services_compared"):
+        out = catalogue.QUERIES[name](spark, sf)
+        assert "parquet" not in out._jdf.queryExecution().optimizedPlan().toString().lower(), name
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
