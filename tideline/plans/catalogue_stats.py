@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,7 +222,10 @@ def services_compared(spark, sf_dir):
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_returnflag", F.col("o_orderdate").alias("tpep_pickup_datetime"), F.col("l_shipdate").alias("tpep_dropoff_datetime"), F.col("l_quantity").alias("trip_distance"), F.col("l_extendedprice").alias("fare_amount"),
         F.col("l_linenumber").alias("passenger_count"), F.col("l_suppkey").alias("PULocationID"),
-    )
-    stats, trend, models = compare_services([(f, rows.where(F.col("l_returnflag") == f).drop("l_returnflag")) for f in ("A", "N", "R")], None)
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:  # the services read the join once each for their caps and once for what is left
+        stats, trend, models = compare_services([(f, rows.where(F.col("l_returnflag") == f).drop("l_returnflag")) for f in ("A", "N", "R")], None)
+    finally:
+        rows.unpersist()
     out = stats.join(_rounded(trend, 6, "slope", "intercept", "r2"), "service")
     return out.withColumn("fitted", F.col("service").isin(list(models)))

@@ -6,6 +6,7 @@ import argparse
 import json
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tideline.functions.scalars import day_of_week, fill_and_clip, minutes_betwe
 from tideline.models.gam import Gam, Linear, Smooth, fit_by_group
 from tideline.operators import aggregates as agg
 from tideline.operators.filters import cap_sequentially, positive
+from tideline.operators.lineage import cut
 from tideline.operators.joins import enrich, enrich_if_matched, zone_lookup
 from tideline.operators.sampling import sample_rows, stratified_split
 from tideline.session import build_session
@@ -79,11 +81,18 @@ def by_borough(trips: DataFrame) -> tuple[DataFrame, dict[str, Gam]]:
 
 
 def compare_services(sources: Iterable[tuple[str, DataFrame | None]], max_rows: int | None = 100_000) -> tuple[DataFrame, DataFrame, dict[str, Gam]]:
-    """(fare statistics, log trend of fare on distance, a model) per service; missing services are skipped."""
-    parts = [(name, fare_features(df, max_rows, clip_passengers=False) if df is not None else None) for name, df in sources]
-    rows = union_sources(parts)
+    """(fare statistics, log trend of fare on distance, a model) per service; missing services are skipped.
+
+    The measures that are left are persisted while they are compared, as quantiles and models take several passes.
+    """
+    parts = [(name, fare_features(df, max_rows, clip_passengers=False).select(*MEASURES) if df is not None else None) for name, df in sources]
+    rows = union_sources(parts).persist(StorageLevel.MEMORY_AND_DISK)
     names = [name for name, df in parts if df is not None]
-    return agg.group_stats(rows, "service", "fare_amount"), agg.log_trend(rows, "service", "trip_distance", "fare_amount"), fit_by_group(rows, "service", [Smooth("trip_distance"), Smooth("duration_min")], "fare_amount", names, LEAST_ROWS)
+    try:
+        stats, trend = cut(agg.group_stats(rows, "service", "fare_amount")), cut(agg.log_trend(rows, "service", "trip_distance", "fare_amount"))  # a row a service
+        return stats, trend, fit_by_group(rows, "service", [Smooth("trip_distance"), Smooth("duration_min")], "fare_amount", names, LEAST_ROWS)
+    finally:
+        rows.unpersist()
 
 
 def run(spark: SparkSession, source: str, output: str, max_rows: int | None = None, scores_csv: str | None = None, zones_csv: str | None = None, resamples: int = 50, train: float = 0.8, seed: int = 42) -> dict:
