@@ -362,6 +362,30 @@ def test_passages_of_hot_windows(spark, monkeypatch, run):
     assert {r.label for r in components(links).collect()} == {0} and {p.doc_id for p in found} == set(range(150))
 
 
+@pytest.mark.parametrize("block", [1 << 13, 32])
+def test_passages_behind_hot_seeds(spark, monkeypatch, block):
+    """Two texts whose common seeds are all in more texts than are paired have their passage, with other words or one more in it; so have near copies that share no window."""
+    monkeypatch.setattr(substring, "BLOCK", block)
+    r = random.Random(31)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows, one, two, copied = [], words(90), words(60), words(120)
+    for d in range(200):
+        at, to = r.randrange(81), r.randrange(51)
+        rows.append((1000 + d, words(30) + one[at : at + 10] + words(30) + two[to : to + 10] + words(30)))
+    other = [words(1)[0] if i in (30, 60) else w for i, w in enumerate(one)]
+    rows += [(1, words(30) + one + words(30)), (2, words(30) + other + words(30))]
+    rows += [(3, words(30) + two + words(30)), (4, words(30) + two[:30] + words(1) + two[30:] + words(30))]
+    for d in range(100):
+        rows.append((10 + d, words(30) + [words(1)[0] if i % 25 == d % 25 else w for i, w in enumerate(copied)] + words(30)))
+    found = passages(spark.createDataFrame([(d, " ".join(w), "s", 0) for d, w in rows], DOCS)).collect()
+    got = {(p.doc_id, p.other, p.start, p.end) for p in found}
+    assert {(1, 2, 30, 120), (2, 1, 30, 120), (3, 4, 30, 90), (4, 3, 30, 91)} <= got
+    links = spark.createDataFrame([(p.doc_id, p.other) for p in found], "a long, b long")
+    label = {p.id if hasattr(p, "id") else p[0]: p.label for p in components(links).collect()}
+    assert {label[10 + d] for d in range(100)} == {10}
+    assert not any(d >= 1000 for d in label)
+
+
 def test_passages_ship_words_once(spark, monkeypatch):
     """A text's own words go to the alignment of its pairs once, not for each of them, and seeds to no table."""
     r = random.Random(23)
