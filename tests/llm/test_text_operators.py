@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import substring
+from tideline.llm import hot_seeds, substring
 from tideline.llm import decontaminate as decontaminate_module
 from tideline.llm.decontaminate import decontaminate, find_contamination
 from tideline.llm.graph import components
@@ -386,6 +386,59 @@ def test_passages_behind_hot_seeds(spark, monkeypatch, block):
     assert not any(d >= 1000 for d in label)
 
 
+def test_hot_seeds_meet_by_rare_words(monkeypatch):
+    """Occurrences of a seed hang together as if each had been compared with every other, whether or not the seed is one word on and on; few of them are."""
+    r = np.random.default_rng(33)
+    far, k, text, compared = 43, substring.K, 0, []
+    on_diagonal = hot_seeds.on_diagonal
+    monkeypatch.setattr(hot_seeds, "on_diagonal", lambda a, b, *more: (compared.append(len(a)), on_diagonal(a, b, *more))[1])
+    for one_word in (False, True):
+        rows, texts = [], []
+        while len(rows) < 1500:
+            text += 1
+            w = r.integers(1, 1 << 16, 2 * far + k)
+            if one_word:  # the seed's word on and on between two others
+                i, j = r.integers(0, far + 1, 2)
+                w[:] = 7
+                w[: far - i], w[far + k + j :] = r.integers(20, 60, 2)
+                w[r.random(len(w)) < r.choice([0, 0.1])] = 9
+            w[far : far + k] = 7 if one_word else range(1, k + 1)
+            if r.random() < 0.3:  # beyond the text
+                w[: r.integers(0, far)] = 0
+            for _ in range(r.choice([1, 1, 1, 2, 5])):
+                v = w.copy()
+                some = (r.random(len(w)) < r.choice([0, 0.1, 0.25])) & (w > 0)
+                some[far : far + k] = False
+                v[some] = r.integers(1, 1 << 16, int(some.sum()))
+                rows.append(v)
+                texts.append(text)
+        words, texts = np.array(rows).astype(np.uint16), np.array(texts)
+        n, every = len(words), np.arange(len(words))
+
+        def label(found, n=n):
+            of = hot_seeds.Labels(n)
+            for a, b in found:
+                of.unite(a, b)
+            return of.of
+
+        alike = [np.flatnonzero(on_diagonal(words, np.broadcast_to(words[i], words.shape), 50, 40)) for i in range(n)]
+        want = label((at, np.full(len(at), i)) for i, at in enumerate(alike))
+        compared.clear()
+        whole = list(hot_seeds.links(words, texts, every, None, far, 50, 0.8))
+        assert sum(compared) < 20 * n, sum(compared) / n
+        a, b = (np.concatenate(v) for v in zip(*whole, strict=True))
+        assert (on_diagonal(words[a], words[b], 50, 40) | hot_seeds.with_gaps(words[a], words[b], far, 40)).all()
+        got = label(whole)
+        assert len(np.unique(want)) > 100 and all(len(np.unique(got[want == x])) == 1 for x in np.unique(want))
+        block, parts = every % 3, []
+        for low, high in [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]:
+            at = np.flatnonzero((block == low) | (block == high))
+            first, second = (np.flatnonzero(block[at] == x) for x in (low, high))
+            parts += [(at[a], at[b]) for a, b in hot_seeds.links(words[at], texts[at], first, None if low == high else second, far, 50, 0.8)]
+        got = label(parts)
+        assert all(len(np.unique(got[want == x])) == 1 for x in np.unique(want))
+
+
 def test_passages_ship_words_once(spark, monkeypatch):
     """A text's own words go to the alignment of its pairs once, not for each of them, and seeds to no table."""
     r = random.Random(23)
